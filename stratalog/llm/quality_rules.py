@@ -40,6 +40,7 @@ METRICS = {
     "upper_ratio": (0.05, False),
     "dup_line_ratio": (0.15, False),
     "repeat_ratio": (0.1, False),
+    "stutter_ratio": (0.05, False),
     "mean_word_chars": (1.5, True),
 }
 
@@ -94,8 +95,10 @@ def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         coalesce(transform(array({positions}), p -> if(size(p) = 0, 0L,
           aggregate(zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p) - 1),
             (a, b) -> least({WINDOW}, b - a)), {WINDOW}L, (acc, x) -> acc + x)))[0], 0L))"""
+    stutter = "size(filter(zip_with(h1, slice(h1, 2, greatest(size(h1) - 1, 0)), (a, b) -> a <=> b), x -> x))"
     return rows.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines",
+        F.expr(stutter).cast("long").alias("n_stutters"),  # words equal to the word before
         F.expr(covered).cast("long").alias("n_repeat_words"),
     )
 
@@ -107,6 +110,7 @@ def _ratios(rows: DataFrame) -> DataFrame:
         "upper_ratio": per("n_upper", "word_chars"),
         "dup_line_ratio": per("n_dup_lines", "n_lines"),
         "repeat_ratio": per("n_repeat_words", "n_words"),
+        "stutter_ratio": per("n_stutters", "n_words"),
         "mean_word_chars": per("word_chars", "n_words"),
         "base_failed": (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
