@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, sharding
+from . import exact_dedup, language_id, packing, quality_rules, sharding
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_predictions(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -20,12 +24,16 @@ def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(documents(spark, sf_dir)).drop("failed")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_exact_dedup, op6_extendible_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_language_id, op3_exact_dedup, op6_extendible_sharding, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
