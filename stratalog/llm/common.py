@@ -62,3 +62,12 @@ def process_cache(key: tuple, make: Callable[[], Any]) -> Any:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more. Between the
+    written steps of a long job this keeps the disk it needs at what one step needs."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, packing, quality_rules, sharding, simhash, substring_dedup
+from . import exact_dedup, language_id, lm_scoring, packing, quality_rules, sharding, simhash, substring_dedup
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.held_out_scores(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -41,7 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language_id, op3_exact_dedup, op5_simhash_near_dedup, op6_extendible_sharding, op7_substring_dedup, op9_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_language_id, op3_exact_dedup, op5_simhash_near_dedup, op6_extendible_sharding, op7_substring_dedup, op8_lm_scoring, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
