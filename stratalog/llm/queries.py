@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, lm_scoring, packing, quality_rules, sharding, simhash, substring_dedup
+from . import exact_dedup, html_extraction, language_id, lm_scoring, packing, piece_encoding, quality_rules, sharding, simhash, substring_dedup
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_predictions(documents(spark, sf_dir))
 
@@ -20,6 +24,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding.encode(documents(spark, sf_dir))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -45,7 +53,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language_id, op3_exact_dedup, op5_simhash_near_dedup, op6_extendible_sharding, op7_substring_dedup, op8_lm_scoring, op9_best_fit_packing, op10_quality_rules)}
+    found = (
+        op1_html_extraction, op2_language_id, op3_exact_dedup, op4_piece_encoding, op5_simhash_near_dedup,
+        op6_extendible_sharding, op7_substring_dedup, op8_lm_scoring, op9_best_fit_packing, op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
