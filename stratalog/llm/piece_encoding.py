@@ -256,15 +256,15 @@ class Encoder:
 
     @staticmethod
     def units(text: str) -> list[str]:
-        """Parts that start at a space mark."""
+        """Parts that start at a space mark, which is left out where it is the only one."""
         parts = text.replace(MARK, " ").split(" ")
         if "" not in parts:
-            return [MARK + p for p in parts]
+            return parts
         out, marks = [], ""
         for p in parts:
             marks += MARK
             if p:
-                out.append(marks + p)
+                out.append(marks + p if len(marks) > 1 else p)
                 marks = ""
         return out + [marks] if marks else out
 
@@ -272,7 +272,7 @@ class Encoder:
         """The ids of each text, a batch at a time."""
         a = 0
         while a < len(texts):
-            b, size, split, new = a, 0, [], {}
+            b, size, split, new = a, 0, [], set()
             while b < len(texts) and (b == a or size + len(texts[b] or "") < BATCH_CHARS):
                 size += len(texts[b] or "")
                 split.append(self.units(texts[b]) if texts[b] else [])
@@ -280,11 +280,9 @@ class Encoder:
             if len(self.seen) > UNIT_CACHE:
                 self.seen = {}
             for own in split:
-                for u in own:
-                    if u not in self.seen:
-                        new[u] = None
+                new.update(set(own).difference(self.seen))
             if new:
-                self.seen.update(zip(new, self.encode_units(list(new))))
+                self.seen.update(zip(new, self.encode_units([u if u[0] == MARK else MARK + u for u in new])))
             for own in split:
                 yield list(chain.from_iterable(map(self.seen.__getitem__, own)))
             a = b
