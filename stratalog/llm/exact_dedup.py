@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(
         F.col("doc_id").alias(id_col)
     )
-    return docs.join(gone.distinct(), id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone.distinct().hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
 
 
 #: DuckDB.

@@ -297,9 +297,22 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
     )
 
 
-def language_filter(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are text in a known language: it rejects ``und`` and predictions
-    with a posterior below ``least_score``."""
-    model = train(docs)
-    gone = predict(docs, model).where((F.col("lang_pred") == "und") | (F.col("score") < least_score)).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def language_filter(docs: DataFrame, least_score: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are text in a known language, in the columns of ``docs``: it
+    rejects ``und`` and predictions with a posterior below ``least_score``. A map without a
+    shuffle. If no row has a language to learn from, it rejects only text without a letter."""
+    langs, prob = train(docs, text_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast((langs, prob))  # vocabulary x languages
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            if scorer.langs:
+                keep = [lang != "und" and score >= least_score for lang, score in scorer.score(texts)]
+            else:
+                keep = [any(c.isalpha() for c in t or "") for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
