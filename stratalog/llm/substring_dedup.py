@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, process_cache
+from .common import materialize, process_cache, release
 
 #: Fixed by the contract.
 WINDOW = 13
@@ -409,6 +409,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")
     ).where("lo < hi").select("m", "n")
     spread = materialize(spread, "substring-minimisers")
+    release(spark)
     n_shared, n_hot = spread.agg(F.count(F.lit(1)), F.count_if(F.col("n") > HOT)).first()
     wrap = lambda b: None if b is None else spark.sparkContext.broadcast(b)  # noqa: E731  MAP_BITS / 8 bytes at most
     shared = wrap(bit_map(spread, n_shared))
@@ -420,15 +421,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         .repartition("m")
         .sortWithinPartitions("m")
     )
-    least = window_owners(distinct)
+    least = materialize(window_owners(distinct), "substring-windows")
+    del distinct
+    release(spark)
     found = occurrences(docs, shared, hot, False).drop("frag").join(least, ["m", "h"])
     starts = F.expr("transform(filter(transform(least, (x, i) -> struct(x, i)), s -> s.x < doc_id), s -> pos + s.i)")
-    return (
+    marks = (
         found.select("doc_id", "row_hash", starts.alias("s"))
         .where(F.size("s") > 0)
         .groupBy("doc_id", "row_hash")
         .agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("marks"))  # at most a document's words
     )
+    marks = materialize(marks, "substring-marks")
+    del found
+    release(spark)
+    return marks
 
 
 def _covered(n: int, marks) -> np.ndarray:
