@@ -49,8 +49,8 @@ def metadata_violations(rows: DataFrame, stated: DataFrame) -> DataFrame:
 
 
 def size_class(size: Column) -> Column:
-    """0 below the base, then one more for each factor of four; integer arithmetic only."""
-    return F.when(size < SIZE_CLASS_BASE, 0).otherwise(1 + F.floor((F.length(F.bin((size / SIZE_CLASS_BASE).cast("long"))) - 1) / 2)).cast("int")
+    """0 below the base of 2^12, then one more for each factor of four; integer arithmetic only."""
+    return F.when(size < SIZE_CLASS_BASE, 0).otherwise(1 + F.floor((F.length(F.bin(F.shiftright(size, 12))) - 1) / 2)).cast("int")
 
 
 def pick_compaction(files: DataFrame) -> DataFrame:

@@ -677,13 +677,13 @@ def corpus_violations(spark, sf):
 @query("""SELECT event_type, quantile_disc(k, 0.5) AS p50, quantile_disc(k, 0.95) AS p95, quantile_disc(k, 0.99) AS p99, max(k) AS max
 FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000 + event_id % 1000 AS k FROM events) GROUP BY event_type""", raw=True)
 def latency_quantiles_nearest_rank(spark, sf):
-    e = src.table(spark, sf, "events").withColumn("k", src.KEY.cast("long") * 1000 + F.col("event_id") % 1000)
+    e = src.table(spark, sf, "events").withColumn("k", src.key_of().cast("long") * 1000 + F.col("event_id") % 1000)
     return benchmarks.nearest_rank(e, ["event_type"], "k")
 
 
 @query("SELECT event_type, median(k) AS median, min(k) AS min, max(k) AS max FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type", raw=True)
 def trial_median_min_max(spark, sf):
-    return benchmarks.median_min_max(src.table(spark, sf, "events").withColumn("k", src.KEY.cast("long")), ["event_type"], "k")
+    return benchmarks.median_min_max(src.table(spark, sf, "events").withColumn("k", src.key_of().cast("long")), ["event_type"], "k")
 
 
 WRITE_ROWS = "(1, 1, 65536, 2000, 59000000), (1, 1, 4194304, 2000, 4300000), (2, 1, 65536, 2000, 61000000), (1, 1, 65536, 2000, 0), (1, 9, 128, 1999, 5)"

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-KEY = F.get_json_object("props", "$.k").cast("int")
+def key_of() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def raw_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("idx"),
         F.col("user_id").alias("client_id"),
         op.alias("op"),
-        KEY.alias("key"),
+        key_of().alias("key"),
         "value",
         F.date_format("ts", "yyyy-MM-dd").alias("day"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
