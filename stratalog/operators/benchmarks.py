@@ -236,3 +236,26 @@ def sampled_reads(spark: SparkSession, operations: int, keyspace: int, hit_perce
         part = reads.join(pool, "r").select("read", "key", F.lit(hit).alias("hit"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def document_violations(documents: DataFrame, schema_version: int = 1) -> DataFrame:
+    """rule of what a benchmark document's head must not be. documents: schema_version, profile,
+    collected_at_utc, os, arch, cpus, and rows, a map of family to number of rows."""
+    from ..functions.scalars import is_utc_timestamp
+
+    expected = {name: p.expected_rows() for name, p in PROFILES.items()}
+    counts = F.lit(False)
+    for name, per in expected.items():
+        same = F.lit(True)
+        for family, n in per.items():
+            same = same & (F.coalesce(F.try_element_at("rows", F.lit(family)), F.lit(0)) == n)
+        counts = counts | ((F.col("profile") == name) & same)
+    rules = [
+        ("schema version", F.col("schema_version") == schema_version),
+        ("profile", F.col("profile").isin(*PROFILES)),
+        ("collection time", is_utc_timestamp(F.col("collected_at_utc"))),
+        ("environment", (F.col("os") != "") & (F.col("arch") != "") & (F.col("cpus") > 0)),
+        ("row counts", counts),
+    ]
+    found = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules]), lambda x: x.isNotNull())
+    return documents.select(F.explode(found).alias("rule"))

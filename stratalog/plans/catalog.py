@@ -760,6 +760,29 @@ def amplification_read_split(spark, sf):
     return benchmarks.sampled_reads(spark, 1000, 500, 50, live).groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT rule FROM (VALUES ('profile'), ('collection time'), ('row counts')) t(rule)", raw=True)
+def bench_document_violations(spark, sf):
+    d = spark.sql("""SELECT 1 AS schema_version, 'other' AS profile, '2026-07-31 10:00' AS collected_at_utc, 'linux' AS os, 'arm64' AS arch, 8 AS cpus,
+      map('bloom', 3) AS rows""")
+    return benchmarks.document_violations(d)
+
+
+@query("SELECT 3::BIGINT AS ops, 40::BIGINT AS per_client, 8::BIGINT AS keys, 4000::BIGINT AS n", raw=True)
+def workload_shape(spark, sf):
+    from . import campaign
+
+    w = campaign.workload(spark, 20)
+    return w.agg(F.count_distinct("op").alias("ops"), F.max("seq").alias("per_client"), F.count_distinct("key").alias("keys"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 20::BIGINT AS seeds, 0::BIGINT AS failed, 4000::BIGINT AS operations", raw=True)
+def seed_campaign(spark, sf):
+    """Twenty seeds: every history has a linearization, and every run is evidence."""
+    from . import campaign
+
+    return campaign.aggregate(campaign.summaries(spark, 20)).select("seeds", "failed", "operations")
+
+
 # Functions.
 
 

@@ -275,3 +275,28 @@ def test_plans_push_filters_and_prune_columns(spark, sf_dir):
     plan = commands.table(spark, sf_dir, "lineitem").where("l_orderkey = 7").select("l_orderkey", "l_partkey")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_orderkey,7)" in text and "l_comment" not in text and "struct<l_orderkey:bigint,l_partkey:bigint>" in text
+
+
+def test_campaign_catches_broken_reads(spark):
+    """Negative control: reads that miss the last write are not linearizable."""
+    from stratalog.plans import campaign
+
+    assert campaign.summaries(spark, 4).where("bad_keys > 0").count() == 0
+    assert campaign.summaries(spark, 4, break_reads=True).where("bad_keys > 0").count() == 4
+
+
+def test_charts(spark):
+    from stratalog.plans import charts
+
+    rows = [(1, "a", 2.0), (2, "a", 3.0), (1, "b", 5.0), (2, "b", 1.0)]
+    draw = lambda r: charts.chart(spark.createDataFrame(r, "x int, s string, v double"), "x", "v", "s", "A & B")
+    assert draw(rows) == draw(rows[::-1]) and "A &amp; B" in draw(rows) and draw(rows).count("<polyline") == 2
+    assert charts.bounds([]) == charts.bounds([float("nan")]) == (0.0, 1.0) and charts.bounds([0.0]) == (0.0, 1.0)
+
+
+def test_command_line(capsys):
+    from stratalog.__main__ import main, parser
+
+    assert main(["list"]) == 0 and "kv_latest_state" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        parser().parse_args(["campaign", "--seeds", "0"])
