@@ -35,7 +35,8 @@ TRAIN_DOCS = 400
 EM_ROUNDS = 4
 MAX_PIECE = 10
 CHUNK = 24
-WORD_CACHE = 400_000
+WORD_CACHE = 300_000
+SCORE_CHARS = 1_000_000
 UNKNOWN = 1e-7
 START = "▁"
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -221,8 +222,6 @@ class Scorer:
         self.rows = np.zeros((1 << 14, len(langs)))
 
     def _learn(self, tokens: set[str]) -> None:
-        if len(self.seen) + len(tokens) > WORD_CACHE:
-            self.seen.clear()
         todo = list(tokens)
         for a in range(0, len(todo), 10_000):
             own, parts = [], []
@@ -241,19 +240,20 @@ class Scorer:
             self.seen.update(zip(todo[a : a + 10_000], range(at, at + len(out))))
 
     def score(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        split = [t.lower().split() if t else [] for t in texts]
         a = 0
-        while a < len(split):  # a slice at a time, so that its words fit the cache
-            b, new, room = a, set(), WORD_CACHE // 2
-            while b < len(split) and (b == a or len(new) < room):
-                new.update(w for w in split[b] if w not in self.seen)
+        while a < len(texts):  # so many texts at a time that their words fit memory and cache
+            b, size, split, new = a, 0, [], set()
+            while b < len(texts) and (b == a or size + len(texts[b] or "") < SCORE_CHARS):
+                size += len(texts[b] or "")
+                split.append((texts[b] or "").lower().split())
+                new.update(split[-1])
                 b += 1
+            if len(self.seen) + len(new) > WORD_CACHE:
+                self.seen.clear()
+            new.difference_update(self.seen)
             if new:
-                if len(self.seen) + len(new) > WORD_CACHE:
-                    for words in split[a:b]:
-                        new.update(words)
                 self._learn(new)
-            for words in split[a:b]:
+            for words in split:
                 yield self._best(words)
             a = b
 
