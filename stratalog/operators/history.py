@@ -24,6 +24,30 @@ def call_return_events(ops: DataFrame) -> DataFrame:
     )
 
 
+def placed(rows: DataFrame, order: list[str], width: int) -> DataFrame:
+    """rows with ``place``, their number in the total order (the first of ``order`` is a time). Rows
+    are numbered within time buckets, and the sizes of earlier buckets, a row each, are added; no
+    task sorts all rows."""
+    b = rows.withColumn("bucket", F.floor(F.col(order[0]) / width))
+    sizes = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
+    return b.withColumn("inside", inside).join(sizes.select("bucket", before.alias("before")), "bucket").withColumn(
+        "place", F.col("inside") + F.col("before")
+    ).drop("bucket", "inside", "before")
+
+
+def running_total(points: DataFrame, at: str, up: str, width: int) -> DataFrame:
+    """at, and ``below``: the sum of ``up`` over all points with a lower time. Two-level, as placed."""
+    sums = points.groupBy(at).agg(F.sum(up).alias("s")).withColumn("bucket", F.floor(F.col(at) / width))
+    per = sums.groupBy("bucket").agg(F.sum("s").alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("s").over(Window.partitionBy("bucket").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.withColumn("inside", inside).join(per.select("bucket", before.alias("before")), "bucket").select(
+        at, (F.col("inside") + F.col("before")).alias("below")
+    )
+
+
 def max_concurrency(ops: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:
     """The most operations in flight at once, closed intervals, for clients whose own intervals
     don't touch. A sweep in two steps: sums of starts and ends per time bucket carry over to the
@@ -47,19 +71,29 @@ def max_concurrency(ops: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:
 
 def faults_in_flight(faults: DataFrame, ops: DataFrame, strict_start: bool = True, width: int = 600_000_000) -> DataFrame:
     """fault_id and clients: how many clients have an operation that the fault catches, i.e. that
-    started before (or, unless strict_start, at) its time and has not returned before it. A
-    range join without a nested loop: each operation goes to the time buckets that it spans, open
-    ones to the last bucket of the faults, and an equi-join on the bucket is then filtered."""
-    bucket = lambda c: F.floor(F.col(c) / width)
-    last = faults.agg(F.max("at").alias("last_at"))
-    spans = ops.join(F.broadcast(last)).where("invoke <= last_at").select(
-        "client_id", "invoke", "ret",
-        F.explode(F.sequence(bucket("invoke"), F.floor(F.least(F.coalesce("ret", "last_at"), F.greatest("last_at", "invoke")) / width))).alias("bucket"),
+    started before (or, unless strict_start, at) its time and has not returned before it.
+
+    A range join without a nested loop: each finished operation goes to the time buckets that it
+    spans, and an equi-join on the bucket is then filtered. An open operation would span all later
+    buckets; since it is its client's last, no other of the client can be in flight after it
+    starts, and open ones are counted by a running total instead."""
+    closed = ops.where("ret IS NOT NULL").select(
+        "client_id", "invoke", "ret", F.explode(F.sequence(F.floor(F.col("invoke") / width), F.floor(F.col("ret") / width))).alias("bucket")
     )
     started = F.col("invoke") < F.col("at") if strict_start else F.col("invoke") <= F.col("at")
-    caught = faults.withColumn("bucket", bucket("at")).join(spans, "bucket").where(started & (F.col("ret").isNull() | (F.col("ret") >= F.col("at"))))
-    counts = caught.groupBy("fault_id").agg(F.count_distinct("client_id").alias("clients"))
-    return faults.select("fault_id").join(counts, "fault_id", "left").select("fault_id", F.coalesce("clients", F.lit(0)).alias("clients"))
+    caught = faults.withColumn("bucket", F.floor(F.col("at") / width)).join(closed, "bucket").where(started & (F.col("ret") >= F.col("at")))
+    counts = caught.groupBy("fault_id").agg(F.count_distinct("client_id").alias("n"))
+    # Times are doubled, so that a start at a fault's time can be put just before or after it.
+    after = 0 if strict_start else 1
+    points = ops.where("ret IS NULL").select((F.col("invoke") * 2).alias("t"), F.lit(1).alias("up")).unionByName(
+        faults.select((F.col("at") * 2 + after).alias("t"), F.lit(0).alias("up"))
+    )
+    opened = running_total(points, "t", "up", 2 * width)
+    return (
+        faults.withColumn("t", F.col("at") * 2 + after)
+        .join(opened, "t").join(counts, "fault_id", "left")
+        .select("fault_id", (F.coalesce("n", F.lit(0)) + F.col("below")).cast("long").alias("clients"))
+    )
 
 
 def session_violations(ops: DataFrame) -> DataFrame:

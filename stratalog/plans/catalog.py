@@ -466,7 +466,7 @@ def history_intervals(spark, sf):
 SELECT id, is_return, row_number() OVER (ORDER BY at, is_return, id) AS place FROM ev""")
 def history_call_return_order(spark, sf):
     e = history.call_return_events(src.operations(spark, sf))
-    return e.select("id", "is_return", F.row_number().over(Window.orderBy("at", "is_return", "id")).alias("place"))
+    return history.placed(e, ["at", "is_return", "id"], 600_000_000).select("id", "is_return", "place")
 
 
 @query(""", pt AS (SELECT invoke AS at, 1 AS d FROM oper UNION ALL SELECT ret, -1 FROM oper WHERE ret IS NOT NULL),
