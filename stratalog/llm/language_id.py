@@ -32,6 +32,7 @@ from .common import process_cache
 
 VOCABULARY = "piece_bpe_32k.model"
 TRAIN_DOCS = 400
+MAX_LANGS = 200
 EM_ROUNDS = 4
 MAX_PIECE = 10
 CHUNK = 24
@@ -170,14 +171,17 @@ def lattice() -> Lattice:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and log-free piece probabilities, from a bounded sample of ``docs``: at most
-    ``per_lang`` rows of each language. Only ids are ranked; a rank limit is applied before the
-    shuffle, so each task sends at most ``per_lang`` ids a language."""
+    """Languages and piece probabilities, from a bounded sample of ``docs``: at most ``per_lang``
+    rows of each of the ``MAX_LANGS`` most frequent languages. Ids are thinned by hash to a few
+    times ``per_lang`` a language where they are, and only what is left is ranked."""
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l")
     )
-    w = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    picked = ids.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("i", "l").distinct()
+    counts = ids.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS)
+    share = F.ceil(F.lit(4 * per_lang << 32) / F.col("n")).alias("share")  # of hashes below 2^32
+    thin = ids.withColumn("u", F.pmod(F.xxhash64("i"), F.lit(1 << 32))).join(F.broadcast(counts.select("l", share)), "l")
+    w = Window.partitionBy("l").orderBy("u", "i")
+    picked = thin.where("u < share").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("i", "l").distinct()
     sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(
         F.broadcast(picked), "i"  # at most per_lang ids a language
     )
