@@ -39,7 +39,7 @@ from .common import process_cache
 MODEL = "piece_bpe_32k.model"
 MAX_PIECE = 16
 BATCH_CHARS = 2_000_000
-UNIT_CACHE = 250_000
+UNIT_CACHE = 600_000
 MARK = "▁"
 UNREACHED, BEGIN, UNKNOWN = -3, -2, -1
 SCHEMA = "doc_id long, n_ids int, ids array<int>, round_trip boolean"
@@ -155,15 +155,31 @@ class SuffixMatcher:
             out = (out << np.uint64(16)) | padded[j : j + n]
         return out
 
+    @staticmethod
+    def _sorted(first: np.ndarray) -> np.ndarray:
+        """Suffixes by MAX_PIECE symbols, from keys of four symbols, by doubling."""
+        n, size = len(first), 4
+        order = np.argsort(first)
+        while size < MAX_PIECE:
+            same = first[order[1:]] != first[order[:-1]]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.concatenate(([1], 1 + np.cumsum(same)))
+            if rank[order[-1]] == n:
+                break
+            second = np.concatenate((rank[size:], np.zeros(min(size, n), np.int64)))[:n]
+            first = rank * (n + 1) + second
+            order = np.argsort(first)
+            size *= 2
+        return order
+
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """codes: code points + 1, and 0 between units. Start, length, piece of each occurrence."""
         alphabet = np.unique(np.concatenate(([0], codes)))
         n = len(codes)
         text = np.searchsorted(alphabet, codes).astype(np.uint64)
         packed = np.concatenate((self._packed(text), np.zeros(MAX_PIECE, np.uint64)))
-        keys = [packed[4 * j : 4 * j + n] for j in range(MAX_PIECE // 4)]
-        suffixes = np.lexsort(keys[::-1])
-        keys = [k[suffixes] for k in keys]
+        suffixes = self._sorted(packed[:n])
+        keys = [packed[4 * j : 4 * j + n][suffixes] for j in range(MAX_PIECE // 4)]
         # Pieces in the text's alphabet.
         at = np.minimum(np.searchsorted(alphabet, self.codes), len(alphabet) - 1)
         known = (alphabet[at] == self.codes).all(1)
@@ -173,8 +189,8 @@ class SuffixMatcher:
         lo = self._search(keys, pack4(np.where(free, np.uint64(0), piece)), n, False)
         hi = self._search(keys, pack4(np.where(free, np.uint64(0xFFFF), piece)), n, True)
         count = hi - lo
-        start = suffixes[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-        return start, np.repeat(lens, count), np.repeat(self.ids[known], count)
+        start = suffixes.astype(np.int32)[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        return start, np.repeat(lens.astype(np.int32), count), np.repeat(self.ids[known].astype(np.int32), count)
 
     @staticmethod
     def _search(keys: list, want: list, n: int, right: bool) -> np.ndarray:
@@ -192,12 +208,30 @@ class SuffixMatcher:
         return lo
 
 
+class Numbering(dict):
+    """Numbers units in the order in which they first come; ``new`` has those since it was cleared."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.matcher, self.apart = vocabulary, SuffixMatcher(vocabulary), PairTable(vocabulary)
-        self.seen: dict[str, list[int]] = {}
+        self.forget()
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
+    def forget(self) -> None:
+        self.numbers = Numbering()
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, one after the other, and how many each has."""
         lens = np.fromiter(map(len, units), np.int64, len(units))
         start = np.cumsum(lens + 1) - (lens + 1)
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -207,52 +241,56 @@ class Encoder:
         codes[inside] = flat + 1
         if len(np.unique(codes)) > 0xFFFE and len(units) > 1:
             half = len(units) // 2
-            return self.encode_units(units[:half]) + self.encode_units(units[half:])
+            parts = self.encode_units(units[:half]), self.encode_units(units[half:])
+            return tuple(np.concatenate(x) for x in zip(*parts))
         a, size, piece = self.matcher.edges(codes)
         bare = inside.copy()
         bare[a[size == 1]] = False
-        bare = np.flatnonzero(bare)
+        bare = np.flatnonzero(bare).astype(np.int32)
         a = np.concatenate((a, bare))
-        size = np.concatenate((size, np.ones(len(bare), np.int64)))
-        piece = np.concatenate((piece, np.full(len(bare), UNKNOWN)))
+        end = a + np.concatenate((size, np.ones(len(bare), np.int32)))
+        piece = np.concatenate((piece, np.full(len(bare), UNKNOWN, np.int32)))
         # Edges by how far from the unit's start they end: edges of one group don't depend on each other.
-        end = a + size
-        reach = end - np.repeat(start, lens + 1)[a]
-        order = np.argsort(reach, kind="stable")
-        a, end, piece, reach = a[order], end[order], piece[order], reach[order]
-        last = np.full(len(codes) + 1, UNREACHED)
-        origin = np.zeros(len(codes) + 1, np.int64)
+        reach = end - np.repeat(start.astype(np.int32), lens + 1)[a]
+        narrow = reach.astype(np.uint16) if reach.max(initial=0) < 1 << 16 else reach
+        order = np.argsort(narrow, kind="stable")
+        a, end, piece = a[order], end[order], piece[order]
+        cuts = np.flatnonzero(np.diff(narrow[order])) + 1
+        last = np.full(len(codes) + 1, UNREACHED, np.int32)
+        origin = np.zeros(len(codes) + 1, np.int32)
         last[start] = BEGIN
-        cuts = np.flatnonzero(np.diff(reach)) + 1
         for x, y in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(a)]))):
-            left, p = last[a[x:y]], piece[x:y]
-            good = left != UNREACHED
+            live = x + np.flatnonzero(last[a[x:y]] != UNREACHED)
+            left, p = last[a[live]], piece[live]
+            good = np.ones(len(live), bool)
             ask = np.flatnonzero((left >= 0) & (p >= 0))
             if len(ask):
-                good[ask] = self.apart(left[ask], p[ask])
-            to = end[x:y][good]
-            last[to], origin[to] = p[good], a[x:y][good]
+                good[ask] = self.apart(left[ask].astype(np.int64), p[ask].astype(np.int64))
+            live, p = live[good], p[good]
+            to = end[live]
+            last[to], origin[to] = p, a[live]
         self.apart.settle()
-        # Back from each unit's end.
-        who, at, found = np.flatnonzero(lens), (start + lens)[lens > 0], []
-        while len(who):
-            found.append((who, origin[at], last[at]))
-            at = origin[at]
-            more = at > start[who]
-            who, at = who[more], at[more]
-        who, at, ids = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((at, who))
-        who, at, ids = who[order], at[order], ids[order]
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(units)))))
-        flat = ids.tolist()
-        out = [flat[x:y] for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
-        for u in np.unique(who[ids == UNKNOWN]).tolist():
-            where = at[bounds[u] : bounds[u + 1]] - start[u]
-            own: list[int] = []
-            for i, p in zip(out[u], where.tolist()):
-                own += [i] if i != UNKNOWN else [self.v.id_of_byte[b] for b in units[u][p].encode("utf-8", "surrogatepass")]
-            out[u] = own
-        return out
+        # Back from each unit's end; a token is noted at its first position.
+        token = np.full(len(codes), UNREACHED, np.int32)
+        first, at = start[lens > 0], (start + lens)[lens > 0]
+        while len(at):
+            before = origin[at]
+            token[before] = last[at]
+            more = before > first
+            first, at = first[more], before[more]
+        where = np.flatnonzero(token != UNREACHED)
+        ids = token[where]
+        count = np.bincount(np.searchsorted(start, where, "right") - 1, minlength=len(units))
+        odd = np.flatnonzero(ids == UNKNOWN)
+        if len(odd):  # letters of no piece: their bytes
+            own = [[self.v.id_of_byte[b] for b in chr(int(codes[p]) - 1).encode("utf-8", "surrogatepass")] for p in where[odd]]
+            size = np.ones(len(ids), np.int64)
+            size[odd] = [len(x) for x in own]
+            unit = np.searchsorted(start, where, "right") - 1
+            count = np.bincount(unit, size, len(units)).astype(np.int64)
+            ids = np.repeat(ids, size)
+            ids[ids == UNKNOWN] = list(chain.from_iterable(own))
+        return ids, count
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -268,23 +306,29 @@ class Encoder:
                 marks = ""
         return out + [marks] if marks else out
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, a batch at a time."""
         a = 0
         while a < len(texts):
-            b, size, split, new = a, 0, [], set()
+            if len(self.numbers) > UNIT_CACHE:
+                self.forget()
+            b, size, rows, number = a, 0, [], self.numbers.__getitem__
             while b < len(texts) and (b == a or size + len(texts[b] or "") < BATCH_CHARS):
                 size += len(texts[b] or "")
-                split.append(self.units(texts[b]) if texts[b] else [])
+                rows.append(list(map(number, self.units(texts[b]))) if texts[b] else [])
                 b += 1
-            if len(self.seen) > UNIT_CACHE:
-                self.seen = {}
-            for own in split:
-                new.update(set(own).difference(self.seen))
-            if new:
-                self.seen.update(zip(new, self.encode_units([u if u[0] == MARK else MARK + u for u in new])))
-            for own in split:
-                yield list(chain.from_iterable(map(self.seen.__getitem__, own)))
+            if new := self.numbers.new:
+                ids, count = self.encode_units([u if u[0] == MARK else MARK + u for u in new])
+                self.ids = np.concatenate((self.ids, ids))
+                self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(count)))
+                new.clear()
+            flat = np.fromiter(chain.from_iterable(rows), np.int64, sum(map(len, rows)))
+            n = self.ends[flat + 1] - self.ends[flat]
+            place = np.concatenate(([0], np.cumsum(n)))
+            ids = self.ids[np.repeat(self.ends[flat] - place[:-1], n) + np.arange(place[-1])]
+            cuts = place[np.concatenate(([0], np.cumsum([len(r) for r in rows])))]
+            for x, y in zip(cuts.tolist(), cuts[1:].tolist()):
+                yield ids[x:y]
             a = b
 
 
@@ -304,8 +348,8 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
                 texts = part.column(1).to_pylist()
                 ids = list(own.encode(texts))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-                same = [own.v.decode(x) == (t or "") for x, t in zip(ids, texts)]
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                same = [own.v.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(same)],
                     ["doc_id", "n_ids", "ids", "round_trip"],
