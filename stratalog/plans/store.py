@@ -2,18 +2,20 @@
 
 Data files are Parquet, sorted by key with falling sequences, with a Bloom filter on the key and
 row-group bounds; the manifest is a table of edits, one file a commit, written after the data it
-names. Readers take the live files of the manifest, so an unfinished write is never seen. The
-driver handles the manifest only, a few rows a commit; data stays distributed.
+names. Readers take the live files of the manifest, so an unfinished write is never seen. A store
+holds a snapshot of the manifest (a row a live file) and updates it with its own commits, so it is
+the only writer; other readers open a store of their own. Data stays distributed, and what the
+manifest says of a file (bounds, count) is observed while the file is written.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.runs import FAN_IN, live_files, pick_compaction
+from ..operators.runs import FAN_IN, live_files
 from ..operators.state import latest_versions
 
 EDIT = "ord long, action string, file string, tier int, min_key string, max_key string, n long, flushed_index long"
@@ -23,6 +25,7 @@ VERSION = "key string, seq long, value double, tombstone boolean"
 class RunStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.refresh()
 
     # Manifest.
 
@@ -31,19 +34,35 @@ class RunStore:
             return self.spark.createDataFrame([], EDIT)
         return self.spark.read.schema(EDIT).parquet(f"{self.path}/manifest")
 
+    def refresh(self) -> None:
+        """Replay the manifest."""
+        self._files: dict[str, tuple] = {}
+        self._flushed, self._ord = -1, 0
+        if not self._exists("manifest"):
+            return
+        edits = self.edits()
+        rows = live_files(edits.where("file IS NOT NULL")).join(edits.where("action = 'add'"), "file").select(*edits.columns)
+        self._files = {r["file"]: tuple(r) for r in rows.collect()}  # a row a live file
+        self._flushed, self._ord = edits.agg(F.coalesce(F.max("flushed_index"), F.lit(-1)), F.coalesce(F.max("ord"), F.lit(0))).first()
+
     def live(self) -> DataFrame:
         """file, tier, bounds and count of the live files."""
-        edits = self.edits()
-        return live_files(edits).join(edits.where("action = 'add' AND file IS NOT NULL"), "file").dropDuplicates(["file"])
+        return self.spark.createDataFrame(list(self._files.values()), EDIT)
 
     def flushed_index(self) -> int:
-        return self.edits().agg(F.coalesce(F.max("flushed_index"), F.lit(-1))).first()[0]
+        return self._flushed
 
     def _commit(self, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, EDIT).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-
-    def _next(self) -> int:
-        return (self.edits().agg(F.max("ord")).first()[0] or 0) + 1
+        for row in rows:
+            if row[1] == "remove":
+                del self._files[row[2]]
+        for row in rows:
+            if row[1] == "add":
+                self._files[row[2]] = row
+            if row[7] is not None:
+                self._flushed = max(self._flushed, row[7])
+        self._ord = rows[0][0]
 
     def _exists(self, name: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -52,57 +71,57 @@ class RunStore:
 
     # Data.
 
-    def _write(self, rows: DataFrame, number: int) -> str:
+    def _write(self, rows: DataFrame, number: int) -> tuple:
+        """name, min_key, max_key, n of the file written."""
         name = f"{number:06d}-{uuid.uuid4().hex[:8]}"
+        seen = Observation()
         (
             rows.repartitionByRange("key").sortWithinPartitions("key", F.desc("seq"))
+            .observe(seen, F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n"))
             .write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/data/{name}")
         )
-        return name
+        got = seen.get
+        return name, got["lo"], got["hi"], got["n"]
 
     def _read(self, files: list[str]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], VERSION)
         return self.spark.read.schema(VERSION).parquet(*[f"{self.path}/data/{f}" for f in files])
 
-    def _added(self, ord_: int, name: str, tier: int, flushed: int | None) -> tuple:
-        lo, hi, n = self._read([name]).agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
-        return (ord_, "add", name, tier, lo, hi, n, flushed)
-
     def flush(self, log: DataFrame, through: int, tier: int = 0) -> None:
         """Write the winners of the versions above the flushed index, up to ``through``. An empty
-        flush still moves the index; one that would set it back is an error."""
-        flushed = self.flushed_index()
-        if through < flushed:
-            raise ValueError(f"flush through {through} is below the flushed index {flushed}")
-        rows = latest_versions(log.where((F.col("seq") > flushed) & (F.col("seq") <= through))).select("key", "seq", "value", "tombstone")
-        ord_ = self._next()
-        if rows.isEmpty():
-            self._commit([(ord_, "advance", None, None, None, None, None, through)])
-            return
-        self._commit([self._added(ord_, self._write(rows, ord_), tier, through)])
+        flush still moves the index (its empty file is left to vacuum); one that would set it back
+        is an error."""
+        if through < self._flushed:
+            raise ValueError(f"flush through {through} is below the flushed index {self._flushed}")
+        rows = latest_versions(log.where((F.col("seq") > self._flushed) & (F.col("seq") <= through))).select("key", "seq", "value", "tombstone")
+        number = self._ord + 1
+        name, lo, hi, n = self._write(rows, number)
+        self._commit([(number, "add", name, tier, lo, hi, n, through) if n else (number, "advance", None, None, None, None, None, through)])
 
     def compact(self) -> int:
         """Merge FAN_IN files of the lowest tier that has as many into one of the next tier, until
         no tier has. Tombstones are kept: an older version may lie in a run outside the merge."""
         rounds = 0
         while True:
-            picked = pick_compaction(self.live().select("file", "tier")).collect()  # FAN_IN rows
-            if len(picked) < FAN_IN:
+            tiers: dict[int, list[str]] = {}
+            for row in self._files.values():
+                tiers.setdefault(row[3], []).append(row[2])
+            full = [t for t, names in tiers.items() if len(names) >= FAN_IN]
+            if not full:
                 return rounds
-            files = sorted(r["file"] for r in picked)
-            ord_ = self._next()
-            name = self._write(latest_versions(self._read(files)).select("key", "seq", "value", "tombstone"), ord_)
-            removed = [(ord_, "remove", f, None, None, None, None, None) for f in files]
-            self._commit([*removed, self._added(ord_, name, picked[0]["tier"] + 1, None)])
+            tier = min(full)
+            files = sorted(tiers[tier])[:FAN_IN]
+            number = self._ord + 1
+            name, lo, hi, n = self._write(latest_versions(self._read(files)).select("key", "seq", "value", "tombstone"), number)
+            removed = [(number, "remove", f, None, None, None, None, None) for f in files]
+            self._commit([*removed, (number, "add", name, tier + 1, lo, hi, n, None)])
             rounds += 1
 
     def versions(self, key: str | None = None) -> DataFrame:
         """All live versions; with a key, of the runs whose bounds hold it, by a pushed-down filter."""
-        live = self.live()
-        if key is not None:
-            live = live.where((F.col("min_key") <= key) & (F.col("max_key") >= key))
-        rows = self._read([r["file"] for r in live.select("file").collect()])  # file names
+        files = [r[2] for r in self._files.values() if key is None or r[4] <= key <= r[5]]
+        rows = self._read(files)
         return rows if key is None else rows.where(F.col("key") == key)
 
     def read(self, key: str | None = None) -> DataFrame:
@@ -113,10 +132,9 @@ class RunStore:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
         fs = root.getFileSystem(conf)
-        live = {r["file"] for r in self.live().select("file").collect()}  # file names
         gone = []
         for status in fs.listStatus(root) if fs.exists(root) else []:
-            if status.getPath().getName() not in live:
+            if status.getPath().getName() not in self._files:
                 gone.append(status.getPath().getName())
                 fs.delete(status.getPath(), True)
         return sorted(gone)
