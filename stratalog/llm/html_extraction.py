@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 1_000
 SEED = 7
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -78,6 +78,8 @@ class Node:
     commas: int = 0
     ends: int = 0
     blocks: int = 0
+    below: int = 0  # characters of the whole subtree, and of links in it
+    below_links: int = 0
 
 
 @dataclass
@@ -198,15 +200,27 @@ def parse(source: str) -> Page:
     while len(stack) > 1:
         pop()
     flush()
+    for node in reversed(nodes):
+        node.below += node.chars
+        node.below_links += node.link_chars
+        if node.parent >= 0:
+            nodes[node.parent].below += node.below
+            nodes[node.parent].below_links += node.below_links
     return page
 
 
+def _share(links: int, chars: int) -> str:
+    share = links / chars if chars else -1
+    return "none" if share < 0 else "0" if share == 0 else "1" if share < 0.4 else "2"
+
+
 def features(node: Node) -> list[str]:
-    share = node.link_chars / node.chars if node.chars else -1
     out = [
         f"tag={node.tag}",
         f"len={min(10, node.chars.bit_length())}",
-        f"link={'none' if share < 0 else 0 if share == 0 else 1 if share < 0.4 else 2}",
+        f"link={_share(node.link_chars, node.chars)}",
+        f"below={node.below.bit_length() // 3}",
+        f"below_link={_share(node.below_links, node.below)}",
         f"ends={min(3, node.ends)}",
         f"commas={min(2, node.commas)}",
         f"blocks={min(3, node.blocks)}",
