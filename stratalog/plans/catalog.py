@@ -754,7 +754,7 @@ def point_read_fixture(spark, sf):
     return f.groupBy("table_no").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
 
 
-@query("SELECT hit, n FROM (VALUES (true, 500), (false, 500)) t(hit, n)", raw=True)
+@query("SELECT hit, n::BIGINT AS n FROM (VALUES (true, 500), (false, 500)) t(hit, n)", raw=True)
 def amplification_read_split(spark, sf):
     live = src.table(spark, sf, "events").select((F.col("event_id") * 2 % 500).alias("key")).distinct()
     return benchmarks.sampled_reads(spark, 1000, 500, 50, live).groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
@@ -797,7 +797,7 @@ def scalar_functions(spark, sf):
     )
 
 
-@query("SELECT id, n, ok FROM (VALUES (1, 12, true), (2, NULL, false), (3, NULL, false)) t(id, n, ok)", raw=True)
+@query("SELECT id, n::BIGINT AS n, ok FROM (VALUES (1, 12, true), (2, NULL, false), (3, NULL, false)) t(id, n, ok)", raw=True)
 def file_name_checks(spark, sf):
     f = spark.sql("SELECT * FROM VALUES (1, '000012.sst'), (2, '12.sst'), (3, '../000012.sst') AS t(id, name)")
     return f.select("id", scalars.file_number(F.col("name")).alias("n"), scalars.valid_file_name(F.col("name")).alias("ok"))
@@ -815,7 +815,7 @@ def nibble_round_trip(spark, sf):
     return e.select(e.event_id.alias("id"), scalars.nibble_decode(scalars.nibble_encode(e.props.cast("binary"))).cast("string").alias("back"))
 
 
-@query("SELECT id, s, p FROM (VALUES (1, 3, 2), (2, NULL, NULL)) t(id, s, p)", raw=True)
+@query("SELECT id, s::BIGINT AS s, p::BIGINT AS p FROM (VALUES (1, 3, 2), (2, NULL, NULL)) t(id, s, p)", raw=True)
 def checked_arithmetic(spark, sf):
     a = spark.sql("SELECT * FROM VALUES (1, 1L, 2L), (2, 9223372036854775807L, 2L) AS t(id, a, b)")
     return a.select("id", scalars.checked_add(F.col("a"), F.col("b")).alias("s"), scalars.checked_multiply(F.col("a"), F.col("b")).alias("p"))
