@@ -9,7 +9,8 @@ adaptive skew join can split a hot group.
 
 Cases: null text counts as empty, and all empty texts are equal; rows that repeat an id and its
 text count in ``group_size`` and are all kept if that id is the smallest; a null id never is the
-id that stays unless the whole group has null ids; an empty table gives an empty result; other
+id that stays unless the whole group has null ids, and ``exact_dedup`` drops by id, so that it
+leaves rows without one; an empty table gives an empty result; other
 columns, of whatever name, are not read.
 """
 
@@ -41,7 +42,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "doc_id",
             F.coalesce("group_min", "doc_id").alias("keep_id"),
             F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-            F.coalesce(F.col("group_min") == F.col("doc_id"), F.col("n").isNull()).alias("kept"),
+            (F.col("n").isNull() | F.col("group_min").eqNullSafe(F.col("doc_id"))).alias("kept"),
             "text_sha256",
         )
     )

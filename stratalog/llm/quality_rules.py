@@ -140,13 +140,13 @@ def adaptive_thresholds(rows: DataFrame) -> DataFrame:
     by_lang = fine.groupBy("lang").agg(F.sum("n").alias("lang_n"), *merged).select(
         F.col("lang").alias("l"), "lang_n", F.struct(*_fences("k_")).alias("lang_f")
     )
-    by_all = fine.agg(*merged).select(F.struct(*_fences("k_")).alias("all_f"))
+    by_all = fine.agg(*merged).select(F.lit(1).alias("one"), F.struct(*_fences("k_")).alias("all_f"))
     level = F.when(F.col("n") >= MIN_GROUP, "source").when(F.col("lang_n") >= MIN_GROUP, "language").otherwise("all")
     picked = F.when(F.col("level") == "source", F.col("own_f")).when(F.col("level") == "language", F.col("lang_f")).otherwise(F.col("all_f"))
     return (
-        fine.select("lang", "source", "n", F.struct(*_fences("k_")).alias("own_f"))
+        fine.select("lang", "source", "n", F.lit(1).alias("one"), F.struct(*_fences("k_")).alias("own_f"))
         .join(by_lang, F.col("lang").eqNullSafe(F.col("l")))
-        .join(F.broadcast(by_all))  # one row
+        .join(F.broadcast(by_all), "one")  # one row
         .withColumn("level", level)
         .withColumn("f", picked)
         .select("lang", "source", F.col("n").alias("group_docs"), "level", *[F.col(f"f.{c}") for c in fences])
