@@ -868,7 +868,7 @@ def _work_dir(spark: SparkSession, name: str) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="stratalog-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
