@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     is the cluster, falls back on a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
         path = spark.sparkContext.getCheckpointDir()
@@ -66,8 +66,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more. Between the
-    written steps of a long job this keeps the disk it needs at what one step needs."""
+    written steps of a long job this keeps the disk it needs at what one step needs. The listener
+    bus holds the plan of the last query until another event comes, hence the trivial query."""
     import gc
+    import time
 
     gc.collect()
+    spark.range(1).count()
+    time.sleep(0.2)
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)

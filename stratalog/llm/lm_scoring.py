@@ -47,7 +47,7 @@ from .language_id import remainder
 from .substring_dedup import SLAB, Slab, _mix
 
 K = 5
-BLOCK = 2_500_000
+BLOCK = 1_200_000
 END = np.uint64(0)
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Fixed by the contract: the added count of the base score.
@@ -109,11 +109,12 @@ class Unigrams:
         return np.where(c > 0, d * c / self.whole, self.rest)
 
 
-BLOCKS = "block long, ids binary, held binary, lens binary, words binary, seen binary, tok binary"
+BLOCKS = "block long, ids binary, held binary, lens binary, words binary, parts binary, seen binary, tok binary"
 
 
-def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """docs: doc_id, text, held. seen: the training count of each of the block's words."""
+def blocks(docs: DataFrame, parts: int, size: int = BLOCK) -> DataFrame:
+    """docs: doc_id, text, held. Of each of the block's words: its hash, the part of the unigram
+    table that owns it, and its training count in the block."""
 
     def row(n: int, ids: list, held: list, lens: list, toks: list) -> pa.RecordBatch:
         from pyspark import TaskContext
@@ -128,9 +129,9 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
         seen = np.bincount(tok[train], minlength=len(words)).astype(np.uint32)
         some = np.array([i is not None for i in ids])
         number = np.array([i or 0 for i in ids], np.int64)
-        out = [pack(np.concatenate((number, some.astype(np.int64)))), pack(held), pack(lens.astype(np.uint32)), pack(words), pack(seen), pack(tok)]
+        out = [pack(np.concatenate((number, some.astype(np.int64)))), pack(held), pack(lens.astype(np.uint32)), pack(words), pack(word_part(words, parts).astype(np.uint32)), pack(seen), pack(tok)]
         arrays = [pa.array([(TaskContext.get().partitionId() << 24) + n], pa.int64())] + [pa.array([b], pa.binary()) for b in out]
-        return pa.RecordBatch.from_arrays(arrays, ["block", "ids", "held", "lens", "words", "seen", "tok"])
+        return pa.RecordBatch.from_arrays(arrays, ["block", "ids", "held", "lens", "words", "parts", "seen", "tok"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, ids, held, lens, toks = 0, 0, [], [], [], []
@@ -216,7 +217,7 @@ class Known:
         self.ids, self.some = np.split(ids, 2)
         self.held, self.lens = unpack(row["held"], np.uint8), unpack(row["lens"], np.uint32).astype(np.int64)
         self.tok = unpack(row["tok"], np.uint32).astype(np.int64)
-        part = word_part(unpack(row["words"], np.uint64), parts)
+        part = unpack(row["parts"], np.uint32)
         order = np.argsort(part, kind="stable")
         own = answers[answers["kind"] == 1].sort_values("part")
         n = len(order)
@@ -231,8 +232,9 @@ class Known:
         self.ctx[first] = n
 
     def pairs(self, parts: int, hot: int):
-        """Distinct pairs that training may have: sorted by part, context and word; and which pair
-        each token is (-1: none)."""
+        """Distinct pairs that training may have, sorted by part, context and word: context, word,
+        part, training count, flags of the context (1: dealt over several parts, 2: its unigram
+        mass is needed); and which pair each token is (-1: none)."""
         width = self.begin + 1
         live = np.flatnonzero(self.c[self.ctx] > 0)
         known = self.c[self.tok[live]] > 0
@@ -249,10 +251,14 @@ class Known:
         place[order] = np.arange(len(own))
         token = np.full(len(self.tok), -1)
         token[live[known]] = place[at[known]]
-        return h[order], w[order], part[order], seen[order], slices[order] > 1, token
+        # Texts that train the model have seen pairs only; the others may need their contexts' mass.
+        backs_off = np.zeros(width, bool)
+        backs_off[self.ctx[np.repeat(self.held != 0, self.lens)]] = True
+        flags = (slices > 1) + 2 * backs_off[h]
+        return h[order], w[order], part[order], seen[order], flags[order].astype(np.uint8), token
 
 
-PAIRS = "part int, block long, ctx binary, hot binary, n binary, word binary, count binary, seen binary"
+PAIRS = "part int, block long, ctx binary, flags binary, n binary, word binary, count binary, seen binary"
 
 
 def pair_table(packed: DataFrame, words: DataFrame, parts: int, offsets: np.ndarray, docs: int, hot: int, unigrams: Unigrams) -> DataFrame:
@@ -262,16 +268,16 @@ def pair_table(packed: DataFrame, words: DataFrame, parts: int, offsets: np.ndar
         rows = []
         for _, row in left.iterrows():
             b = Known(row, right, parts, offsets, docs)
-            h, w, part, seen, several, _ = b.pairs(parts, hot)
+            h, w, part, seen, flags, _ = b.pairs(parts, hot)
             for p, x, y in _split(part, parts):
                 ctx = h[x:y]
                 first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
                 rows.append((
-                    p, row["block"], pack(b.number[ctx[first]]), pack(several[x:y][first].astype(np.uint8)),
+                    p, row["block"], pack(b.number[ctx[first]]), pack(flags[x:y][first]),
                     pack(np.diff(np.append(first, y - x)).astype(np.uint32)), pack(b.number[w[x:y]].astype(np.uint64)),
                     pack(b.c[w[x:y]]), pack(seen[x:y]),
                 ))
-        return pd.DataFrame(rows, columns=["part", "block", "ctx", "hot", "n", "word", "count", "seen"])
+        return pd.DataFrame(rows, columns=["part", "block", "ctx", "flags", "n", "word", "count", "seen"])
 
     def reduce(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
@@ -293,19 +299,20 @@ def pair_table(packed: DataFrame, words: DataFrame, parts: int, offsets: np.ndar
         mass = np.add.reduceat(mass, start)
         stats = np.bincount(np.minimum(r, K + 2), minlength=K + 3)[: K + 2]
         out = [(-1, 2, part, pack(stats.astype(np.int64)), None, None)]
-        shared = np.unique(np.concatenate([c[unpack(b, np.uint8) > 0] for c, b in zip(ctx, pdf["hot"])]))
+        flags = [unpack(b, np.uint8) for b in pdf["flags"]]
+        shared = np.unique(np.concatenate([c[f & 1 > 0] for c, f in zip(ctx, flags)]))
         for h in shared:
             i = int(np.searchsorted(own_ctx, np.uint64(h)))
             out.append((-2, 2, part, pack(np.array([h])), pack(of_counts[i]), pack(mass[i : i + 1])))
         end = 0
-        for block, c, k in zip(pdf["block"], ctx, n):
+        for block, c, k, f in zip(pdf["block"], ctx, n, flags):
             size = int(k.sum())
             i = np.searchsorted(own_ctx, c.astype(np.uint64))
-            out.append((block, 2, part, pack(r[at[end : end + size]].astype(np.uint32)), pack(of_counts[i].astype(np.uint32).ravel()), pack(mass[i])))
+            out.append((block, 2, part, pack(r[at[end : end + size]].astype(np.uint32)), pack(of_counts[i].astype(np.uint32).ravel()), pack(np.where(f & 2, mass[i], 0.0))))
             end += size
         return _answers(out)
 
-    left, right = packed.groupBy("block"), words.where("block >= 0").groupBy("block")
+    left, right = packed.drop("words", "seen").groupBy("block"), words.where("block >= 0").groupBy("block")
     return left.cogroup(right).applyInPandas(ask, PAIRS).groupBy("part").applyInPandas(reduce, ANSWER)
 
 
@@ -313,7 +320,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _score_block(b: Known, pairs: pd.DataFrame, parts: int, hot: int, total: int, types: int, unigrams: Unigrams, d: np.ndarray, shared: dict) -> pd.DataFrame:
-    h, w, part, _, several, token = b.pairs(parts, hot)
+    h, _, part, _, flags, token = b.pairs(parts, hot)
     r, of_counts, mass = np.zeros(len(h), np.int64), np.zeros((b.begin + 1, K)), np.zeros(b.begin + 1)
     answers = {int(x["part"]): x for _, x in pairs.iterrows()}
     for p, x, y in _split(part, parts):
@@ -322,7 +329,7 @@ def _score_block(b: Known, pairs: pd.DataFrame, parts: int, hot: int, total: int
         own = ctx[np.concatenate(([True], ctx[1:] != ctx[:-1]))]
         of_counts[own] = unpack(answers[p]["b"], np.uint32).reshape(-1, K)
         mass[own] = unpack(answers[p]["c"], np.float64)
-    for i in np.unique(h[several]):
+    for i in np.unique(h[flags & 1 > 0]):
         of_counts[i], mass[i] = shared[int(b.number[i])]
     # Per context: what discounts leave, and the weight of the unigrams.
     c = b.c.astype(float)
@@ -353,7 +360,7 @@ def katz_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     parts = max(2, shuffle_partitions(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
-    packed = materialize(blocks(rows, block), "lm-blocks")
+    packed = materialize(blocks(rows, parts, block), "lm-blocks")
     words = materialize(word_table(packed, parts), "lm-words")
     release(spark)
     stats = {x["part"]: unpack(bytes(x["a"]), np.int64) for x in words.where("block = -1").select("part", "a").toLocalIterator()}
@@ -385,7 +392,7 @@ def katz_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
         return pd.concat(out)
 
     answers = words.unionByName(pairs).where("block >= 0")
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, SCORES)
+    return packed.drop("words", "seen").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, SCORES)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
