@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 ENTRY_OVERHEAD = 9
 
 
+#: Types whose aggregation buffers can be updated in place.
+FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+
+
 def latest_versions(rows: DataFrame, key: str = "key", seq: str = "seq", payload: tuple = ("value", "tombstone")) -> DataFrame:
-    """One row per key: the version with the highest sequence, tombstones included. A map-side
-    combinable aggregate; the payload is a struct, so a null value can win."""
+    """One row per key: the version with the highest sequence, tombstones included; a null value
+    can win. A map-side combinable aggregate. Payloads of fixed width are picked column by column,
+    which hash-aggregates (all picks follow the same comparisons, so they come from one row);
+    others are picked as one struct, which Spark sort-aggregates."""
+    types = dict(rows.dtypes)
+    if all(types[c] in FIXED_WIDTH for c in (seq, *payload)):
+        return rows.groupBy(key).agg(F.max(seq).alias(seq), *[F.max_by(p, seq).alias(p) for p in payload])
     best = F.max_by(F.struct(*payload), seq).alias("best")
     return rows.groupBy(key).agg(F.max(seq).alias(seq), best).select(key, seq, *[F.col(f"best.{p}").alias(p) for p in payload])
 
