@@ -52,6 +52,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts in one Arrow batch, at most: what a task holds at a time, on either side.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def process_cache(key: tuple, make: Callable[[], Any]) -> Any:
     """One object per key and Python process."""
     store = sys.__dict__.setdefault("_stratalog_process_cache", {})

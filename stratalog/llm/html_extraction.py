@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 TRAIN_PAGES = 1_000
 SEED = 7
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -425,4 +427,4 @@ def extract_text(pages: DataFrame, model: TreeModel | None = None, id_col: str =
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     )
-    return rows.mapInArrow(run, SCHEMA)
+    return bounded_batches(rows).mapInArrow(run, SCHEMA)

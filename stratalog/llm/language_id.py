@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import process_cache
+from .common import bounded_batches, process_cache
 
 VOCABULARY = "piece_bpe_32k.model"
 TRAIN_DOCS = 400
@@ -285,7 +285,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return bounded_batches(rows).mapInArrow(run, SCHEMA)
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -319,4 +319,4 @@ def language_filter(docs: DataFrame, least_score: float = 0.5, text_col: str = "
                 keep = [any(c.isalpha() for c in t or "") for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

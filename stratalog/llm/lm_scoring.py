@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shuffle_partitions
+from .common import bounded_batches, materialize, release, shuffle_partitions
 from .language_id import remainder
 from .substring_dedup import SLAB, Slab, _mix
 
@@ -158,7 +158,7 @@ def blocks(docs: DataFrame, parts: int, size: int = BLOCK) -> DataFrame:
         if ids:
             yield row(n, ids, held, lens, toks)
 
-    return docs.mapInArrow(run, BLOCKS)
+    return bounded_batches(docs).mapInArrow(run, BLOCKS)
 
 
 #: Answers to a block: kind 1 has counts and numbers of its words, kind 2 has counts of its pairs,

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, process_cache
+from .common import bounded_batches, materialize, process_cache
 
 CAPACITY = 2048
 DISTRICT = 4096
@@ -88,7 +88,7 @@ def token_pieces(docs: DataFrame, encoder=tiktoken_encoder, capacity: int = CAPA
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return bounded_batches(rows).mapInArrow(run, PIECES)
 
 
 class Packer:

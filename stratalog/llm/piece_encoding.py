@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache
+from .common import bounded_batches, process_cache
 
 MODEL = "piece_bpe_32k.model"
 MAX_PIECE = 16
@@ -356,7 +356,7 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return bounded_batches(rows).mapInArrow(run, SCHEMA)
 
 
 def decode(encoded: DataFrame, model_path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .components import components
 
 #: Fixed by the contract.
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

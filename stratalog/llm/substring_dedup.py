@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, process_cache, release
+from .common import bounded_batches, materialize, process_cache, release
 
 #: Fixed by the contract.
 WINDOW = 13
@@ -160,7 +160,7 @@ def minimisers(docs: DataFrame) -> DataFrame:
                 own = slab.ids[slab.doc[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(own)], ["m", "doc_id"])
 
-    return docs.mapInArrow(run, "m long, doc_id long")
+    return bounded_batches(docs).mapInArrow(run, "m long, doc_id long")
 
 
 def bit_map(keys: DataFrame, n: int) -> bytes | None:
@@ -238,7 +238,7 @@ def occurrences(docs: DataFrame, shared, hot, with_text: bool) -> DataFrame:
                     ["m", "h", "doc_id", "row_hash", "pos", "frag"],
                 )
 
-    return docs.mapInArrow(run, OCCURRENCE)
+    return bounded_batches(docs).mapInArrow(run, OCCURRENCE)
 
 
 class BitRanks:
