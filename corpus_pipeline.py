@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import exact_dedup, language_id, packing, simhash, substring_dedup
+from stratalog.llm import exact_dedup, language_id, near_dedup, packing, substring_dedup
 from stratalog.llm.common import documents, materialize, release
 
 
@@ -24,8 +24,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each group of near duplicates, the document with the smallest id stays."""
-    return simhash.near_dedup(docs)
+    """Of each group of texts linked by five-word shingles of similarity 0.8 or more, the document
+    with the smallest id stays. Operator 5's contract (three words, three bits) is its query's own."""
+    return near_dedup.near_dedup(docs)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
