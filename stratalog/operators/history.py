@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.linearizability import linearizable
+from ..plans.linearizability import Search
 
 FAR = (1 << 62) - 1
 
@@ -125,13 +127,45 @@ def stale_read_candidates(ops: DataFrame) -> DataFrame:
     return asof.join(source, (asof["key"] == source["key"]) & (asof["read"] == source["value"])).where("w_ret < latest").select("id")
 
 
-def linearizable_per_key(ops: DataFrame, max_steps: int = 200_000) -> DataFrame:
-    """key, operations, verdict (ok, illegal, unchecked): each key's history is searched on its
-    own, in one task. ops: id, op, key, in_value, out_value, found, ok, unknown, invoke, ret."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        verdict = linearizable(pdf, max_steps)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "operations": [len(pdf)], "verdict": [verdict]})
-
+def linearizable_per_key(ops: DataFrame, max_steps: int | None = None) -> DataFrame:
+    """key, operations, verdict (ok, illegal; unchecked only beyond max_steps, if given): the calls
+    and returns of each key are streamed in order through one task, which holds a batch and what is
+    in flight. ops: id, op, key, in_value, out_value, found, ok, unknown, invoke, ret."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, current, n, of = None, None, 0, None
+        for batch in batches:
+            of, out = batch.schema.field(0).type, []
+            for key, at, is_return, i, *call in zip(*(c.to_pylist() for c in batch.columns)):
+                if search is None or key != current:
+                    if search is not None:
+                        out.append((current, n, search.verdict))
+                    search, current, n = Search(max_steps), key, 0
+                if is_return:
+                    search.ret(at, i)
+                else:
+                    n += 1
+                    search.call(at, i, *call)
+            if out:
+                yield verdicts(out, of)
+        if search is not None:
+            yield verdicts([(current, n, search.verdict)], of)
+
+    def verdicts(rows: list, of: pa.DataType) -> pa.RecordBatch:
+        key, n, verdict = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(key, of), pa.array(n, pa.int64()), pa.array(verdict, pa.string())], ["key", "operations", "verdict"])
+
+    unknown = F.col("unknown") | F.col("ret").isNull()
+    moments = F.array(
+        F.struct(F.col("invoke").alias("at"), F.lit(False).alias("is_return")),
+        F.struct(F.when(~unknown, F.col("ret")).alias("at"), F.lit(True).alias("is_return")),
+    )
+    present = F.when(F.col("op") == "GET", F.col("found")).otherwise(F.col("op") == "PUT")
+    value = F.when(present, F.when(F.col("op") == "GET", F.col("out_value")).otherwise(F.col("in_value")))
+    state = F.xxhash64("key", present, value)  # states that share a hash are only looked for longer
+    ops = ops.withColumn("state", state)
+    asked = ops.where("op = 'GET'").groupBy("state").agg(F.max("invoke").alias("until"))
+    ops = ops.join(asked, "state", "left")
+    events = ops.select("key", F.inline(moments), "id", "op", "in_value", "out_value", "found", "ok", unknown.alias("unknown"), "ret", "until").where("at IS NOT NULL")
     key_type = dict(ops.dtypes)["key"]
-    return ops.groupBy("key").applyInPandas(run, f"key {key_type}, operations long, verdict string")
+    return events.repartition("key").sortWithinPartitions("key", "at", "is_return", "id").mapInArrow(run, f"key {key_type}, operations long, verdict string")

@@ -1,51 +1,164 @@
-"""Search for a linearization of one key's history (Wing and Gong, with Lowe's memoisation)."""
+"""Linearizability of one key's history, decided event by event (just-in-time linearization).
+
+Calls and returns are taken in order. What is carried on is the set of possible register states,
+each with the operations still in flight that have taken effect in it, so the work and memory for
+an event depend on what overlaps it, not on the length of the history; where nothing is in flight,
+only states are left.
+
+- A read takes effect as soon as a state shows its value; that restricts nothing else.
+- A write takes effect only if a read in flight asks for its value, or at its own return. It may
+  instead stay unseen, just before a later write, if one took effect since its call.
+- Of writes of one value the one that returns first is taken: the others can do all it could.
+- A state that no later read asks for is like any other such state, and having used up a write
+  whose value no later read asks for is no loss; of configurations that differ in nothing else, the
+  one with more reads done stays.
+- A write without an outcome may take effect at any later point, or never."""
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 
+DEAD = (True, object())  # any state that no read will ask for
+#: Up to so many configurations are carried on without comparing them.
+PRUNE_ABOVE = 16
+
 
 def _null(x) -> bool:
     return x is None or x != x
 
 
-def linearizable(pdf: pd.DataFrame, max_steps: int) -> str:
+class Search:
+    """The verdict on one key's history. max_steps: states examined, at most; None for no limit."""
+
+    def __init__(self, max_steps: int | None = None):
+        self.max_steps = max_steps
+        self.verdict = "ok"
+        self.steps = self.now = 0
+        self.reads: dict = {}  # in flight: id -> the state it asks for
+        self.writes: dict = {}  # in flight or without outcome: id -> (state, place of its call, its return)
+        self.until: dict = {}  # state -> the last call of a read that asks for it, where known
+        self.by_state: dict = {}  # state -> ids of such writes
+        # (state, writes in flight that took effect, reads in flight that did) -> place of the last write
+        self.configs: dict = {((False, None), frozenset(), frozenset()): -1}
+
+    def call(self, at, i, op, value, out, found, ok, unknown, ret, until) -> None:
+        """ret: null for none; until: the last call of a read that asks for the state which this
+        operation writes or reads, null for none."""
+        self.now += 1
+        if self.verdict != "ok":
+            return
+        if not unknown and not ok:
+            self._end("illegal")
+        elif op in ("PUT", "DELETE"):
+            state = (True, None if _null(value) else value) if op == "PUT" else (False, None)
+            self.writes[i] = (state, self.now, math.inf if unknown else ret)
+            self.until[state] = -math.inf if _null(until) else until
+            self.by_state.setdefault(state, {})[i] = None
+        elif not unknown:
+            want = (bool(found), None if not found or _null(out) else out)
+            self.reads[i] = want
+            self.configs = {(s, w, r | {i} if s == want else r): last for (s, w, r), last in self.configs.items()}
+
+    def _live(self, state, at) -> bool:
+        return state != DEAD and self.until.get(state, math.inf) >= at
+
+    def _prune(self, configs: dict, at) -> dict:
+        merged: dict = {}
+        for (s, w, r), last in configs.items():
+            key = (s if self._live(s, at) else DEAD, w, r)
+            merged[key] = max(last, merged.get(key, -1))
+        groups: dict = {}
+        for (s, w, r), last in merged.items():
+            groups.setdefault(s, []).append((len(r), last, -len(w), w, r))
+        kept = {}
+        for s, rows in groups.items():
+            best: list = []
+            for _, last, _, w, r in sorted(rows, key=lambda c: c[:3], reverse=True):
+                if not any(r <= r2 and last <= last2 and used <= w for r2, last2, used in best):
+                    asked = {want for i, want in self.reads.items() if i not in r}
+                    best.append((r, last, {x for x in w if self.writes[x][0] in asked or self._live(self.writes[x][0], at)}))
+                    kept[s, w, r] = last
+        return kept
+
+    def ret(self, at, i) -> None:
+        self.now += 1
+        if self.verdict != "ok":
+            return
+        if i not in self.reads and i not in self.writes:
+            return self._end("illegal")  # returned before its call
+        is_read, one = i in self.reads, frozenset((i,))
+        after: dict = {}
+        stack, seen = list(self.configs.items()), set(self.configs)
+        while stack:
+            (state, done, read), last = stack.pop()
+            self.steps += 1
+            if self.max_steps is not None and self.steps > self.max_steps:
+                return self._end("unchecked")
+            moves = []
+            if i in (read if is_read else done):
+                key = (state, done - one, read - one)
+                after[key] = max(last, after.get(key, -1))
+                continue
+            if not is_read:
+                if last > self.writes[i][1]:
+                    key = (state, done, read)
+                    after[key] = max(last, after.get(key, -1))
+                moves.append(i)
+            for want in {w for r, w in self.reads.items() if r not in read}:
+                free = [w for w in self.by_state.get(want, ()) if w not in done]
+                if free:
+                    moves.append(min(free, key=lambda w: self.writes[w][2]))
+            for w in moves:
+                new = self.writes[w][0]
+                key = (new, done | {w}, read | {r for r, want in self.reads.items() if want == new})
+                # Configurations of before may recur with an older last write.
+                if key not in seen or self.configs.get(key, self.now) < self.now:
+                    seen.add(key)
+                    if key in self.configs:
+                        self.configs[key] = self.now
+                    stack.append((key, self.now))
+        if is_read:
+            del self.reads[i]
+        else:
+            state = self.writes.pop(i)[0]
+            del self.by_state[state][i]
+            if not self.by_state[state]:
+                del self.by_state[state]
+        self.configs = self._prune(after, at) if len(after) > PRUNE_ABOVE else after
+        if len(self.until) > 1000 + 2 * (len(self.configs) + len(self.writes)):
+            used = {c[0] for c in self.configs} | {w[0] for w in self.writes.values()}
+            self.until = {state: until for state, until in self.until.items() if state in used}
+        if not after:
+            self._end("illegal")
+
+    def _end(self, verdict: str) -> None:
+        self.verdict = verdict
+        self.reads, self.writes, self.by_state, self.configs, self.until = {}, {}, {}, {}, {}
+
+
+def linearizable(pdf: pd.DataFrame, max_steps: int | None = None) -> str:
     """ok, illegal, or unchecked once the search exceeds max_steps.
 
     A write is legal if it succeeded or its outcome is unknown; a read must see the register unless
     its outcome is unknown; a known failure is illegal. An operation without a return may take
     effect at any later point, or never."""
-    ops = []
-    for row in pdf.sort_values(["invoke", "id"]).itertuples():
+    calls, until = [], {}
+    for row in pdf.itertuples():
         unknown = bool(row.unknown) or _null(row.ret)
-        if not unknown and not row.ok:
-            return "illegal"
-        ret = float("inf") if _null(row.ret) or bool(row.unknown) else row.ret
-        ops.append((row.invoke, ret, row.op, None if _null(row.in_value) else row.in_value, None if _null(row.out_value) else row.out_value, bool(row.found), unknown))
-    must = sum(1 << i for i, o in enumerate(ops) if not o[6])
-    seen: set = set()
-    stack = [(0, (False, None))]
-    steps = 0
-    while stack:
-        done, state = stack.pop()
-        if done & must == must:
-            return "ok"
-        if (done, state) in seen:
-            continue
-        seen.add((done, state))
-        steps += 1
-        if steps > max_steps:
-            return "unchecked"
-        limit = min((o[1] for i, o in enumerate(ops) if not done >> i & 1), default=float("inf"))
-        for i, (invoke, _, op, value, out, found, unknown) in enumerate(ops):
-            if invoke > limit:
-                break
-            if done >> i & 1:
-                continue
-            if op == "PUT":
-                stack.append((done | 1 << i, (True, value)))
-            elif op == "DELETE":
-                stack.append((done | 1 << i, (False, None)))
-            elif unknown or (found, out if found else None) == state:
-                stack.append((done | 1 << i, state))
-    return "illegal"
+        value = row.in_value if row.op == "PUT" else row.out_value if row.op == "GET" and row.found else None
+        present = row.op == "PUT" or (row.op == "GET" and bool(row.found))
+        state = (present, None if _null(value) else value)
+        if row.op == "GET":
+            until[state] = max(row.invoke, until.get(state, row.invoke))
+        calls.append((row.invoke, False, row.id, state, (row.op, row.in_value, row.out_value, bool(row.found), bool(row.ok), unknown, row.ret)))
+    events = [(at, r, i, (*call, until.get(state))) for at, r, i, state, call in calls]
+    events += [(call[6], True, i, None) for _, _, i, _, call in calls if not call[5]]
+    search = Search(max_steps)
+    for at, is_return, i, call in sorted(events, key=lambda e: e[:3]):
+        if is_return:
+            search.ret(at, i)
+        else:
+            search.call(at, i, *call)
+    return search.verdict
