@@ -1,26 +1,34 @@
 """Quality rules with adaptive thresholds, native DataFrame operations only.
 
-Every metric of a document is held against a fence made from quantile sketches (KLL) of its own
-language and source: ``q50 + WIDTH * max(q75 - q50, q50 - q25, spread)``, and the mirrored lower
-fence where a metric has one. ``spread`` is the least distance that counts as spread; without it a
-group whose quartiles agree (no symbols in three of four texts) would reject any text that
-differs. Sketches are mergeable: (language, source) sketches are merged into one for the language
-and one for all, and a group with fewer than ``MIN_GROUP`` texts uses the next wider one. The
-thresholds are then joined to the documents; a hot source is one row of that table and many rows
-of documents, which the adaptive skew join splits.
+Every metric of a document is held against a fence made from the quartiles of its own language and
+source: ``q50 + WIDTH * max(q75 - q50, q50 - q25, spread)``, and the mirrored lower fence where a
+metric has one. ``spread`` is the least distance that counts as spread; without it a group whose
+quartiles agree (no symbols in three of four texts) would reject any text that differs.
+
+Quartiles come from mergeable sketches: counts of values in logarithmic bins (a relative error of
+half of ``BIN`` - 1 at most, zero in a bin of its own). Counts are integers and are only added, so
+a sketch, and with it every fence, is the same however the rows are partitioned. Sketches by
+language and source add up to those by language and to the one of all documents. The quartiles of
+a language and source are drawn to those of its language, and these to those of all documents, with
+the weight of ``PRIOR`` documents: a group of two texts is judged almost as its language, one of a
+million by itself, and the same rule holds at every size. The thresholds are joined to the
+documents; a hot source is one row of that table and many rows of documents, which the adaptive
+skew join splits.
 
 Repeated 8-word windows are found inside each row: word hashes are combined into window hashes by
 three doublings, and only a text in which two windows agree is looked at position by position, by
 sorting (window text, position) and comparing neighbours: exact, and n log n for any length.
 
 Cases: null text has no words and fails the base rule; null language or source is a group of its
-own; repeated rows each get a row; an empty table gives an empty result; other columns are not
-read.
+own; repeated rows each get a row; ``quality_filter`` drops rows, not ids (a row goes by its id, its
+text and its group, null or not); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS_CHARS, WS_RUN, materialize, text_or_empty
@@ -32,8 +40,10 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 WIDTH = 3.0
-MIN_GROUP = 200
-SKETCH_K = 400
+#: Documents that a group's parent counts for.
+PRIOR = 50
+#: Ratio of the bounds of a bin.
+BIN = 1.01
 #: metric: (least spread, has a lower fence)
 METRICS = {
     "symbol_ratio": (0.02, False),
@@ -53,18 +63,18 @@ def _doubled(h: str, step: int):
     )
 
 
-def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=("lang", "source")) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and what
-    the metrics need besides."""
+def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=("lang", "source"), *more: str) -> DataFrame:
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, what the
+    metrics need besides, and the columns ``more`` as they are."""
     ws = F.lit(WS_CHARS)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(group_cols[0]).cast("string").alias("lang"),
         F.col(group_cols[1]).cast("string").alias("source"),
-        text_or_empty(text_col).alias("t"),
+        text_or_empty(text_col).alias("t"), *more,
     )
     rows = rows.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", *more,
         F.length(F.translate("t", WS_CHARS, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}", ""))).cast("long").alias("n_upper"),
@@ -99,7 +109,7 @@ def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines",
         F.expr(stutter).cast("long").alias("n_stutters"),  # words equal to the word before
-        F.expr(covered).cast("long").alias("n_repeat_words"),
+        F.expr(covered).cast("long").alias("n_repeat_words"), *more,
     )
 
 
@@ -117,46 +127,69 @@ def _ratios(rows: DataFrame) -> DataFrame:
     })
 
 
-def _fences(sketch_prefix: str) -> list:
-    """Fences of one level's sketches, as columns lo_metric and hi_metric."""
-    out = []
-    for m, (spread, low) in METRICS.items():
-        q = {p: F.expr(f"kll_sketch_get_quantile_double({sketch_prefix}{m}, {p}D)") for p in (0.25, 0.5, 0.75)}
-        width = WIDTH * F.greatest(q[0.75] - q[0.5], q[0.5] - q[0.25], F.lit(spread))
-        out.append((q[0.5] + width).alias(f"hi_{m}"))
-        out.append((q[0.5] - width if low else F.lit(float("-inf"))).alias(f"lo_{m}"))
-    return out
+def _bin(value: Column) -> Column:
+    """The number of the bin: 0 for zero, else that of BIN ** (i - 1) < value <= BIN ** i, moved
+    above 0. Values are 0 or ratios of counts below 2 ** 40."""
+    shift = math.ceil(40 * math.log(2) / math.log(BIN))
+    return F.when(value <= 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log(value) / math.log(BIN)) + shift)).cast("int")
 
 
-def adaptive_thresholds(rows: DataFrame) -> DataFrame:
-    """lang, source, group_docs, level (source, language or all) and the fences."""
-    fine = rows.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.expr(f"kll_sketch_agg_double({m}, {SKETCH_K})").alias(f"k_{m}") for m in METRICS],
-    )
-    fine = materialize(fine, "quality-sketches")
-    merged = [F.expr(f"kll_merge_agg_double(k_{m}, {SKETCH_K})").alias(f"k_{m}") for m in METRICS]
-    fences = [c for m in METRICS for c in (f"hi_{m}", f"lo_{m}")]
-    by_lang = fine.groupBy("lang").agg(F.sum("n").alias("lang_n"), *merged).select(
-        F.col("lang").alias("l"), "lang_n", F.struct(*_fences("k_")).alias("lang_f")
-    )
-    by_all = fine.agg(*merged).select(F.lit(1).alias("one"), F.struct(*_fences("k_")).alias("all_f"))
-    level = F.when(F.col("n") >= MIN_GROUP, "source").when(F.col("lang_n") >= MIN_GROUP, "language").otherwise("all")
-    picked = F.when(F.col("level") == "source", F.col("own_f")).when(F.col("level") == "language", F.col("lang_f")).otherwise(F.col("all_f"))
-    return (
-        fine.select("lang", "source", "n", F.lit(1).alias("one"), F.struct(*_fences("k_")).alias("own_f"))
-        .join(by_lang, F.col("lang").eqNullSafe(F.col("l")))
-        .join(F.broadcast(by_all), "one")  # one row
-        .withColumn("level", level)
-        .withColumn("f", picked)
-        .select("lang", "source", F.col("n").alias("group_docs"), "level", *[F.col(f"f.{c}") for c in fences])
-    )
+def _bin_value(number: Column) -> Column:
+    shift = math.ceil(40 * math.log(2) / math.log(BIN))
+    return F.when(number == 0, 0.0).otherwise(F.pow(F.lit(BIN), number - shift) * (2 / (1 + BIN)))
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=("lang", "source")) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, failed (names of the metrics beyond their fences)."""
-    rows = materialize(_ratios(base_metrics(docs, id_col, text_col, group_cols)), "quality-metrics")
+QUARTILES = (25, 50, 75)
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """lang, source, metric, bin, n: the sketch of each group, at most some thousand bins each.
+    Partial counts are combined before the shuffle."""
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), _bin(F.col(m)).alias("bin")) for m in METRICS])
+    return rows.select("lang", "source", F.inline(values)).groupBy("lang", "source", "metric", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _quartiles(sketch: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """by, metric, {prefix}n, {prefix}25, ..: nearest-rank quartiles of merged sketches. A window
+    holds the bins of one metric of one group."""
+    merged = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
+    part = Window.partitionBy(*by, "metric")
+    below = merged.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("total", F.sum("n").over(part))
+    at = lambda p: _bin_value(F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bin"))))
+    return below.groupBy(*by, "metric").agg(F.max("total").alias(f"{prefix}n"), *[at(p).alias(f"{prefix}{p}") for p in QUARTILES])
+
+
+def _drawn(n: str, own: str, parent: Column) -> Column:
+    return (F.col(n) * F.col(own) + PRIOR * parent) / (F.col(n) + PRIOR)
+
+
+def adaptive_thresholds(rows: DataFrame) -> DataFrame:
+    """lang, source, group_docs and the fences lo_metric and hi_metric."""
+    fine = materialize(sketches(rows), "quality-sketches")
+    own = _quartiles(fine, ["lang", "source"], "g")
+    by_lang = _quartiles(fine, ["lang"], "l").withColumnsRenamed({"lang": "l", "metric": "lm"})
+    by_all = _quartiles(fine, [], "a").withColumnRenamed("metric", "am")
+    held = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("lm")))
+    held = held.join(F.broadcast(by_all), F.col("metric") == F.col("am"))  # a row a metric
+    q = {p: _drawn("gn", f"g{p}", _drawn("ln", f"l{p}", F.col(f"a{p}"))) for p in QUARTILES}
+    held = held.select("lang", "source", "metric", "gn", *[q[p].alias(f"q{p}") for p in QUARTILES])
+    spread = F.element_at(F.create_map(*[F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s)]), F.col("metric"))
+    width = WIDTH * F.greatest(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25"), spread)
+    held = held.withColumn("hi", F.col("q50") + width).withColumn("lo", F.col("q50") - width)
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    fences = [pick(m, "hi").alias(f"hi_{m}") for m in METRICS]
+    fences += [(pick(m, "lo") if low else F.lit(float("-inf"))).alias(f"lo_{m}") for m, (_, low) in METRICS.items()]
+    return held.groupBy("lang", "source").agg(F.max("gn").alias("group_docs"), *fences)
+
+
+def _row_key(id_col: str, text_col: str, group_cols) -> Column:
+    """A digest of what a verdict depends on, and of the id."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.hex(F.col(c).cast("string"))), F.lit("-"))
+    return F.sha2(F.concat_ws(",", *[part(c) for c in (id_col, *group_cols)], F.sha2(text_or_empty(text_col), 256)), 256)
+
+
+def _held(docs: DataFrame, id_col: str, text_col: str, group_cols, *more: str) -> DataFrame:
+    rows = materialize(_ratios(base_metrics(docs, id_col, text_col, group_cols, *more)), "quality-metrics")
     limits = adaptive_thresholds(rows).withColumnsRenamed({"lang": "l", "source": "s"})
     held = rows.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")))
     beyond = F.filter(
@@ -168,11 +201,20 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return held.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size(beyond) == 0)).alias("kept"),
-        F.concat_ws(",", beyond).alias("failed"),
+        F.concat_ws(",", beyond).alias("failed"), *more,
     )
 
 
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=("lang", "source")) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, kept, failed (names of the metrics beyond their fences)."""
+    return _held(docs, id_col, text_col, group_cols)
+
+
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=("lang", "source")) -> DataFrame:
-    """The rows of ``docs`` whose verdict is kept."""
-    gone = quality_verdicts(docs, id_col, text_col, group_cols).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone.distinct(), id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose own verdict is kept, in the columns of ``docs``."""
+    key = _row_key(id_col, text_col, group_cols)
+    gone = _held(docs.select(id_col, text_col, *group_cols, key.alias("row_key")), id_col, text_col, group_cols, "row_key")
+    gone = gone.where(~F.col("kept")).select(F.col("row_key").alias("gone_key"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("row_key"))
+    return rows.join(gone, F.col("row_key") == F.col("gone_key"), "left_anti").select("row.*")
