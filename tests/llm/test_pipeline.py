@@ -7,7 +7,8 @@ import pytest
 import corpus_pipeline
 from stratalog.llm import language_id, queries
 
-from .test_operators import brute_components, brute_fingerprint, brute_removal, fixture_rows, words_of  # noqa: F401
+from .test_near_dedup import brute_kept
+from .test_operators import brute_removal, words_of
 
 
 def test_stages(spark, sf_dir):
@@ -26,8 +27,7 @@ def test_stages(spark, sf_dir):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i]), i)
     assert sorted(r["doc_id"] for r in two.collect()) == sorted(first.values())
     three = stages["simhash_near_dedup"](spark, two, sf_dir)
-    comp = brute_components([(i, brute_fingerprint(texts[i])) for i in sorted(first.values())])
-    left = sorted(set(comp.values()))
+    left = brute_kept([(i, texts[i]) for i in sorted(first.values())])
     assert sorted(r["doc_id"] for r in three.collect()) == left
     four = stages["substring_dedup"](spark, three, sf_dir)
     want = brute_removal([(i, texts[i]) for i in left])
