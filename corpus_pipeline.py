@@ -24,8 +24,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by five-word shingles of similarity 0.8 or more, the document
-    with the smallest id stays. Operator 5's contract (three words, three bits) is its query's own."""
+    """Operator 5, with the stage's own parameters: of each group of texts linked by five-word
+    shingles of similarity 0.8 or more, the document with the smallest id stays. The contract of
+    the query op5 (three words, three bits) is its own."""
     return near_dedup.near_dedup(docs)
 
 
