@@ -9,17 +9,21 @@ is repeated if it also starts in a document with a smaller id.
 2. Minimisers that occur in one document only can't hold a repeated window. A narrow aggregation
    (map-side minimum, maximum, count) finds the shared ones, and a bit map of at most ``MAP_BITS``
    bits, filled by the executors a segment each and broadcast, lets only their fragments through.
-   A bit set by chance costs work, never a result; with too many shared minimisers for the map it
-   is left out, and every fragment goes on.
-3. A shared minimiser with over ``HOT`` occurrences (a passage in very many documents) is dealt by
-   window instead: each of its windows is a fragment of its own, keyed by its own hash, so that
-   the many contexts around a passage spread over all tasks.
-4. Equal fragments are combined before and after the shuffle (least and largest document id).
-   Distinct ones are dealt to shards; a shard is one FM-index: suffix array, Burrows-Wheeler
-   transform, wavelet matrix over packed bit vectors with block ranks. Fragments stream through it
-   from right to left: a backward-search step extends the match, and at ``WINDOW`` words the
-   interval is cut back to its ``WINDOW - 1``-word parent, so each word costs about one step. The
-   matches of ``WINDOW`` words are reported with the least id below their suffix interval.
+   A bit set by chance costs work, never a result; the fuller the map, the more goes on.
+3. A shared minimiser with over ``HOT`` occurrences (a passage in very many documents; more where
+   there are so many that ``HOT_COUNT`` would be exceeded) is dealt by window instead: each of its
+   windows is a fragment of its own, keyed by its own hash, so that the many contexts around a
+   passage spread over all tasks.
+4. Equal fragments are combined before and after the shuffle. Documents are in two shards by the
+   hash of their id, and a task builds an FM-index of each shard's fragments: Burrows-Wheeler
+   transform as a wavelet matrix over packed bit vectors with block ranks, bit vectors of the runs
+   of suffixes that agree in ``WINDOW`` and ``WINDOW - 1`` words, and the least document id of each
+   run; text and suffix array are dropped. Fragments of documents of one shard then stream through
+   the index of the other, which has not seen them, from right to left: a backward-search step
+   extends the match, and at ``WINDOW`` words its interval is cut back to its ``WINDOW - 1``-word
+   parent, so each word costs about one step. The matching statistics, capped at ``WINDOW``, give
+   the intervals that some document of the other shard repeats, with its least id; repeats inside
+   a shard are told while its index is built.
 5. Fragments whose matches have an id below that of some document that holds the fragment join
    their occurrences on two 64-bit hashes; the marked windows go to their documents, which drop
    the covered words.
@@ -46,6 +50,7 @@ from .common import bounded_batches, materialize, process_cache, release
 WINDOW = 13
 GRAM = 4
 HOT = 2_000
+HOT_COUNT = 1 << 24
 MAP_BITS = 1 << 29
 SEGMENT_BITS = 1 << 23
 MAX_RUN = 64
@@ -163,13 +168,10 @@ def minimisers(docs: DataFrame) -> DataFrame:
     return bounded_batches(docs).mapInArrow(run, "m long, doc_id long")
 
 
-def bit_map(keys: DataFrame, n: int) -> bytes | None:
-    """A bit map of the column ``m``, which has n rows: 16 bits a key, ``MAP_BITS`` at most; None
-    if over half of that would be set. Tasks fill segments; memory and what reaches the driver are
-    bounded by the map, not by n."""
+def bit_map(keys: DataFrame, n: int) -> bytes:
+    """A bit map of the column ``m``, which has n rows: 16 bits a key, ``MAP_BITS`` at most. Tasks
+    fill segments; memory and what reaches the driver are bounded by the map, not by n."""
     bits = min(MAP_BITS, max(SEGMENT_BITS, 1 << (16 * n).bit_length()))
-    if 2 * n > bits:
-        return None
     segments = bits // SEGMENT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +194,7 @@ def bit_map(keys: DataFrame, n: int) -> bytes | None:
     return out.tobytes()
 
 
-def _passes(bits: np.ndarray | None, m: np.ndarray) -> np.ndarray:
-    if bits is None:
-        return np.ones(len(m), bool)
+def _passes(bits: np.ndarray, m: np.ndarray) -> np.ndarray:
     at = m & np.uint64(len(bits) * 8 - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
@@ -204,19 +204,19 @@ OCCURRENCE = "m long, h long, doc_id long, row_hash long, pos int, frag binary"
 
 def occurrences(docs: DataFrame, shared, hot, with_text: bool) -> DataFrame:
     """Fragments of shared minimisers: m and h name the fragment, row_hash the whole text, pos is
-    the first word in the document. shared, hot: broadcast bit maps, or None for "all" and "none"."""
+    the first word in the document. shared, hot: broadcast bit maps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        maps = [np.frombuffer(b.value, np.uint8) if b is not None else None for b in (shared, hot)]
+        maps = [np.frombuffer(b.value, np.uint8) for b in (shared, hot)]
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for slab in _slabs(batch):
                 m, first, n = slab.fragments()
                 keep = _passes(maps[0], m)
                 m, first, n = m[keep], first[keep], n[keep]
-                if maps[1] is not None and len(m):
+                if len(m):
                     split = _passes(maps[1], m)
                     at = np.concatenate([np.arange(a, a + k) for a, k in zip(first[split], n[split])] or [first[:0]])
                     key = np.zeros(len(at), np.uint64)
@@ -258,58 +258,95 @@ class BitRanks:
         return self.before[w] + np.bitwise_count(self.words[w] & mask)
 
 
-class FMIndex:
-    """FM-index over sequences of symbols 1..sigma-1, each sequence ended by a separator."""
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th one, from 0."""
+        w = np.searchsorted(self.before, k, "right") - 1
+        left = k - self.before[w]
+        word, at = self.words[w], np.zeros(len(k), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left >= low
+            left = left - low * up
+            word = np.where(up, word >> np.uint64(half), word)
+            at += half * up
+        return (w << 6) + at
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.before.nbytes
+
 
-    def __init__(self, seqs: np.ndarray, lengths: np.ndarray, depth: int):
-        """seqs: all symbols, one sequence after the other."""
+class FMIndex:
+    """FM-index over sequences of symbols 1..sigma-1, each sequence ended by a separator. What it
+    keeps is the wavelet matrix of the transform, where symbols begin, the runs of suffixes that
+    agree in depth and in depth - 1 symbols, and the least owner of each run of depth; neither the
+    text nor the suffix array. ``own`` has, for each symbol of the input, the least owner of a
+    sequence with the depth symbols from there (NEVER where so many don't follow); it is for the
+    caller, who sets it to None to leave the index alone."""
+
+    def __init__(self, seqs: np.ndarray, lengths: np.ndarray, owners: np.ndarray, depth: int, sigma: int):
+        """seqs: all symbols, one sequence after the other; owners: of each sequence."""
         count = len(lengths)
         ends = np.cumsum(lengths + 1) - 1
         text = np.zeros(len(seqs) + count, np.int64)
         inside = np.ones(len(text), bool)
         inside[ends] = False
         text[inside] = seqs
-        self.text, self.n = text, len(text)
-        self.start = ends - lengths
+        n = self.n = len(text)
         # Suffix array by prefix doubling; separators are distinct and below all symbols.
         ordinal = text + count
         ordinal[ends] = np.arange(count)
         sa = np.argsort(ordinal, kind="stable")
-        rank = np.empty(self.n, np.int64)
+        rank = np.empty(n, np.int64)
         rank[sa] = np.cumsum(np.concatenate(([0], np.diff(ordinal[sa]) != 0)))
         k = 1
-        while rank[sa[-1]] < self.n - 1:
-            second = np.concatenate((rank[k:] + 1, np.zeros(min(k, self.n), np.int64)))[: self.n]
-            key = rank * (self.n + 1) + second
+        while rank[sa[-1]] < n - 1:
+            second = np.concatenate((rank[k:] + 1, np.zeros(min(k, n), np.int64)))[:n]
+            key = rank * (n + 1) + second
             sa = np.argsort(key, kind="stable")
             rank[sa] = np.cumsum(np.concatenate(([0], np.diff(key[sa]) != 0)))
             k *= 2
-        self.sa = sa
-        bwt = text[sa - 1]
-        sigma = int(text.max()) + 1
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
+        self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma)))).astype(np.int32)
         self.levels: list[tuple[int, BitRanks, int]] = []
-        x = bwt
+        x = text[sa - 1]
         for b in range(max(1, (sigma - 1).bit_length()) - 1, -1, -1):
             bit = (x >> b) & 1 == 1
             ranks = BitRanks(bit)
             self.levels.append((b, ranks, len(x) - ranks.ones))
             x = np.concatenate((x[~bit], x[bit]))
-        self.origin = self._descend(np.arange(sigma), np.zeros(sigma, np.int64))
-        # Runs of suffixes that agree in depth and depth - 1 symbols.
-        same = np.ones(self.n - 1, bool)
-        plain = ordinal
+        # The base of each symbol's interval, without what comes before it in the last level.
+        self.base = (self.before[:sigma] - self._descend(np.arange(sigma), np.zeros(sigma, np.int64))).astype(np.int32)
+        same = np.ones(n - 1, bool)
         for j in range(depth):
             a, b = sa[1:] + j, sa[:-1] + j
-            inside = (a < self.n) & (b < self.n)
-            same &= inside & (plain[np.minimum(a, self.n - 1)] == plain[np.minimum(b, self.n - 1)])
+            same &= (a < n) & (b < n) & (ordinal[np.minimum(a, n - 1)] == ordinal[np.minimum(b, n - 1)])
             if j == depth - 2:
-                shorter = same.copy()
-        self.run = np.cumsum(np.concatenate(([0], ~same)))
-        parent = np.concatenate(([0], np.cumsum(~shorter)))
-        first = np.flatnonzero(np.concatenate(([True], ~shorter)))
-        self.parent_lo = first[parent]
-        self.parent_hi = np.append(first[1:], self.n)[parent]
+                self.parents = BitRanks(np.concatenate(([True], ~same)))
+        new = np.concatenate(([True], ~same))
+        self.runs = BitRanks(new)
+        least = np.minimum.reduceat(np.repeat(owners, lengths + 1)[sa], np.flatnonzero(new))
+        self.owners, code = np.unique(least, return_inverse=True)
+        self.least = code.astype(np.min_scalar_type(len(self.owners)))
+        own = np.full(n, NEVER)
+        own[sa] = least[np.cumsum(new) - 1]
+        left = np.repeat(ends, lengths + 1) - np.arange(n)  # symbols from here to the separator
+        own[left < depth] = NEVER
+        self.own: np.ndarray | None = own[inside]
+
+    @property
+    def nbytes(self) -> int:
+        vectors = [r for _, r, _ in self.levels] + [self.parents, self.runs]
+        return sum(v.nbytes for v in vectors) + self.before.nbytes + self.base.nbytes + self.owners.nbytes + self.least.nbytes
+
+    def least_owner(self, lo: np.ndarray) -> np.ndarray:
+        """The least owner below the intervals of depth symbols that begin at lo."""
+        return self.owners[self.least[self.runs.rank(lo + 1) - 1]]
+
+    def _parent(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of depth - 1 symbols around lo."""
+        k = self.parents.rank(lo + 1).astype(np.int64)
+        last = k == self.parents.ones
+        return self.parents.select(k - 1), np.where(last, self.n, self.parents.select(np.where(last, 0, k)))
 
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for b, ranks, zeros in self.levels:
@@ -319,13 +356,12 @@ class FMIndex:
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the interval of symbol + pattern, from that of the pattern."""
-        base = self.before[symbol] - self.origin[symbol]
+        base = self.base[symbol]
         return base + self._descend(symbol, lo), base + self._descend(symbol, hi)
 
     def matches(self, text: np.ndarray, start: np.ndarray, length: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of ``text`` at which ``depth`` symbols match the index, and the lower end of
-        their intervals. Sequences stream from right to left, all at once; symbols that the index
-        lacks are 0."""
+        """Positions of ``text`` at which the matching statistic reaches ``depth`` symbols, and the
+        lower end of their intervals. Sequences stream from right to left, all at once."""
         end = start + length
         pos = end - 1
         lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.n)
@@ -340,7 +376,7 @@ class FMIndex:
             full = hit[end[hit] - pos[hit] == depth]
             found.append((pos[full], lo[full]))
             end[full] -= 1
-            hi[full], lo[full] = self.parent_hi[lo[full]], self.parent_lo[lo[full]]
+            lo[full], hi[full] = self._parent(lo[full])
             pos[hit] -= 1
             # No window with this symbol and the current match can match: drop its last symbol,
             # or, if the symbol itself is unknown, all of it.
@@ -352,28 +388,36 @@ class FMIndex:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def least_owners(frags: list[bytes], owners: np.ndarray, depth: int = WINDOW) -> list[np.ndarray]:
-    """For each fragment, and each of its windows, the least owner of a fragment with that window."""
+def least_owners(frags: list[bytes], owners: tuple[np.ndarray, ...], depth: int = WINDOW) -> list[np.ndarray]:
+    """For each fragment, and each of its windows, the least owner of a fragment with that window.
+    owners: for each shard of documents, the least owner of each fragment there, or NEVER."""
     ids: dict[bytes, int] = {}
     split = [f.split(b" ") for f in frags]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     seqs = np.fromiter((ids.setdefault(w, len(ids) + 1) for s in split for w in s), np.int64, int(lengths.sum()))
-    index = FMIndex(seqs, lengths, depth)
-    owner_at = np.repeat(owners, lengths + 1)[index.sa]
-    first = np.flatnonzero(np.concatenate(([True], np.diff(index.run) != 0)))
-    least = np.minimum.reduceat(owner_at, first)
-    at, lo = index.matches(index.text, index.start, lengths, depth)
-    out = np.full(index.n, NEVER)
-    out[at] = least[index.run[lo]]
-    return [out[a : a + n - depth + 1] for a, n in zip(index.start.tolist(), lengths.tolist())]
+    start = np.cumsum(lengths) - lengths
+    of = np.repeat(np.arange(len(frags)), lengths)
+    out = np.full(len(seqs), NEVER)
+    for own in owners:
+        held = own != NEVER
+        if not held.any():
+            continue
+        here = held[of]
+        index = FMIndex(seqs[here], lengths[held], own[held], depth, len(ids) + 1)
+        out[here] = np.minimum(out[here], index.own)
+        index.own = None
+        at, lo = index.matches(seqs, start[~held], lengths[~held], depth)
+        out[at] = np.minimum(out[at], index.least_owner(lo))
+    return [out[a : a + n - depth + 1] for a, n in zip(start.tolist(), lengths.tolist())]
 
 
 def window_owners(distinct: DataFrame) -> DataFrame:
     """(m, h, least): for each fragment whose windows some other document may repeat, the least
-    document id of each window. distinct: m, h, frag, lo, hi; partitioned and sorted by m."""
+    document id of each window. distinct: m, h, frag, lo0 and lo1 (the least document of either
+    shard, if any), hi; partitioned and sorted by m."""
 
-    def shard(m, h, frag, lo, hi):
-        least = least_owners(frag, lo)
+    def shard(m, h, frag, lo0, lo1, hi):
+        least = least_owners(frag, (lo0, lo1))
         keep = [i for i, x in enumerate(least) if x.min() < hi[i]]
         flat = np.concatenate([least[i] for i in keep]) if keep else np.zeros(0, np.int64)
         offsets = np.concatenate(([0], np.cumsum([len(least[i]) for i in keep]))).astype(np.int32)
@@ -382,20 +426,22 @@ def window_owners(distinct: DataFrame) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, h, frag, lo, hi, words = [], [], [], [], [], 0
+        held: list[list] = [[] for _ in range(6)]
+        words = 0
 
         def arrays():
-            return np.array(m, np.int64), np.array(h, np.int64), frag, np.array(lo, np.int64), np.array(hi, np.int64)
+            m, h, frag, *rest = held
+            return np.array(m, np.int64), np.array(h, np.int64), frag, *(np.array(x, np.int64) for x in rest)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if words > SHARD_WORDS and row[0] != m[-1]:
+                if words > SHARD_WORDS and row[0] != held[0][-1]:
                     yield shard(*arrays())
-                    m, h, frag, lo, hi, words = [], [], [], [], [], 0
-                for col, x in zip((m, h, frag, lo, hi), row):
+                    held, words = [[] for _ in range(6)], 0
+                for col, x in zip(held, row):
                     col.append(x)
                 words += row[2].count(b" ") + 1
-        if m:
+        if held[0]:
             yield shard(*arrays())
 
     return distinct.mapInArrow(run, "m long, h long, least array<long>")
@@ -410,14 +456,16 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     ).where("lo < hi").select("m", "n")
     spread = materialize(spread, "substring-minimisers")
     release(spark)
-    n_shared, n_hot = spread.agg(F.count(F.lit(1)), F.count_if(F.col("n") > HOT)).first()
-    wrap = lambda b: None if b is None else spark.sparkContext.broadcast(b)  # noqa: E731  MAP_BITS / 8 bytes at most
-    shared = wrap(bit_map(spread, n_shared))
-    hot = wrap(bit_map(spread.where(F.col("n") > HOT), n_hot)) if n_hot else None
+    n_shared, total = spread.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot_at = max(HOT, total // HOT_COUNT)
+    over = spread.where(F.col("n") > hot_at)
+    shared, hot = (spark.sparkContext.broadcast(bit_map(keys, n)) for keys, n in ((spread, n_shared), (over, over.count())))  # MAP_BITS / 8 bytes at most
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    lo = [F.coalesce(F.min(F.when(shard == k, F.col("doc_id"))), F.lit(int(NEVER))).alias(f"lo{k}") for k in range(2)]
     distinct = (
         occurrences(docs, shared, hot, True)
         .groupBy("m", "h", "frag")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        .agg(*lo, F.max("doc_id").alias("hi"))
         .repartition("m")
         .sortWithinPartitions("m")
     )
@@ -449,12 +497,11 @@ def _covered(n: int, marks) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs``, and the marks as the last column."""
-    marks = repeated_windows(_rows(docs, id_col, text_col)).withColumnsRenamed(
-        {"doc_id": "_marked_id", "row_hash": "_marked_text", "marks": "_marks"}
-    )
-    same = (F.col(id_col) == F.col("_marked_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_marked_text"))
-    return docs.select(*columns).join(marks.hint("shuffle_hash"), same, "left").select(*columns, "_marks")
+    """row (a struct of ``columns`` of ``docs``) and marks."""
+    marks = repeated_windows(_rows(docs, id_col, text_col))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"))
+    return rows.join(marks.hint("shuffle_hash"), ["doc_id", "row_hash"], "left").select("row", "marks")
 
 
 def _words(text, marks) -> tuple[list[bytes], np.ndarray]:
@@ -468,7 +515,8 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, removed, digest = [], [], []
-            for text, marks in zip(batch.column(1), batch.column(2)):
+            doc_id, text_of = batch.column(0).flatten()
+            for text, marks in zip(text_of, batch.column(1)):
                 words, gone = _words(text, marks)
                 n_words.append(len(words))
                 if gone.any():
@@ -476,7 +524,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 removed.append(n_words[-1] - len(words))
                 digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
+                [doc_id.cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
@@ -494,7 +542,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for text, marks in zip(batch.column(at), batch.column(len(columns))):
+            out = batch.column(0).flatten()
+            for text, marks in zip(out[at], batch.column(1)):
                 words, gone = _words(text, marks)
                 keep.append(not len(words) or not gone.all())
                 if gone.any():
@@ -502,8 +551,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
                 else:
                     texts.append(text.as_py())
-            out = list(batch.columns[: len(columns)])
-            out[at] = pa.array(texts, batch.column(at).type)
+            out[at] = pa.array(texts, out[at].type)
             yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array(keep))
 
     return _marked(docs, id_col, text_col, columns).mapInArrow(run, docs.schema)
+
+
+#: DuckDB.
+SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+place AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM place),
+owner AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN owner USING (k) WHERE m < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM t),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""

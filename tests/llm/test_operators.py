@@ -336,14 +336,26 @@ def test_substring_dedup(docs, hot, monkeypatch):
     assert sum(r["n_removed"] for r in got) > 300
 
 
-def test_substring_dedup_without_bit_map(docs, monkeypatch):
-    """With too many keys for the map, every fragment goes on, and the result is the same."""
-    monkeypatch.setattr(substring_dedup, "bit_map", lambda keys, n: None)
+def test_substring_dedup_with_a_full_bit_map(docs, monkeypatch):
+    """With too many keys for the map every fragment goes on, and all windows count as hot; the
+    result is the same."""
+    monkeypatch.setattr(substring_dedup, "bit_map", lambda keys, n: b"\xff" * 1024)
     want = brute_removal(fixture_rows())
     got = substring_dedup.removal_report(docs).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
 
 
+def test_substring_dedup_needs_its_index(monkeypatch):
+    """Without the matching statistics of streamed fragments, repeats between shards are lost."""
+    none = lambda self, text, *_: (text[:0], text[:0])
+    frags = [" ".join(f"w{i}" for i in range(a, a + 20)).encode() for a in range(6)]
+    lo = np.array([1, 2, 3, 4, 5, 6])
+    odd, even = np.where(lo % 2, lo, substring_dedup.NEVER), np.where(lo % 2, substring_dedup.NEVER, lo)
+    assert [x.tolist() for x in substring_dedup.least_owners(frags, (odd, even))] == [[max(1, i + j - 6) if i + j > 7 else 1 for j in range(8)] for i in range(6)]
+    monkeypatch.setattr(substring_dedup.FMIndex, "matches", none)
+    assert substring_dedup.least_owners(frags, (odd, even))[1].tolist() == [2] * 8
+
+
 def test_substring_dedup_keeps_columns(docs, empty):
     out = substring_dedup.substring_dedup(docs)
     assert out.columns == docs.columns
@@ -365,16 +377,28 @@ def test_fm_index_matches_external_text():
     rng = random.Random(2)
     seqs = [[rng.randint(1, 4) for _ in range(rng.randint(1, 12))] for _ in range(20)]
     lens = np.array([len(s) for s in seqs])
-    index = substring_dedup.FMIndex(np.array([x for s in seqs for x in s]), lens, 3)
-    queries = [[rng.randint(0, 4) for _ in range(15)] for _ in range(30)]
+    index = substring_dedup.FMIndex(np.array([x for s in seqs for x in s]), lens, np.arange(20) * 10, 3, 6)
+    queries = [[rng.randint(1, 5) for _ in range(15)] for _ in range(30)]
     text = np.array([x for q in queries for x in q])
     at, lo = index.matches(text, np.arange(30) * 15, np.full(30, 15), 3)
-    have = {tuple(s[i : i + 3]) for s in seqs for i in range(len(s) - 2)}
-    want = {q * 15 + i for q in range(30) for i in range(13) if tuple(queries[q][i : i + 3]) in have}
-    assert set(at.tolist()) == want
-    for p, low in zip(at.tolist(), lo.tolist()):
-        s = index.sa[low]
-        assert tuple(index.text[s : s + 3]) == tuple(text[p : p + 3])
+    have = {}
+    for k, s in enumerate(seqs):
+        for i in range(len(s) - 2):
+            have.setdefault(tuple(s[i : i + 3]), k * 10)
+    want = {q * 15 + i: have[tuple(queries[q][i : i + 3])] for q in range(30) for i in range(13) if tuple(queries[q][i : i + 3]) in have}
+    assert dict(zip(at.tolist(), index.least_owner(lo).tolist())) == want
+    assert index.own.tolist() == [have[tuple(s[i : i + 3])] if i + 3 <= len(s) else substring_dedup.NEVER for s in seqs for i in range(len(s))]
+
+
+def test_fm_index_is_smaller_than_its_text():
+    rng = np.random.default_rng(1)
+    vocab = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(5000)])
+    lens = np.full(6000, 20)
+    seqs = rng.integers(1, 5001, 120_000)
+    index = substring_dedup.FMIndex(seqs, lens, np.arange(6000), 13, 5001)
+    index.own = None
+    assert not any(isinstance(x, np.ndarray) and len(x) >= index.n for x in vars(index).values() if x is not index.least)
+    assert index.nbytes < sum(len(w) + 1 for w in vocab[seqs - 1])
 
 
 # 8: language model
