@@ -218,3 +218,58 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = gone.where(~F.col("kept")).select(F.col("row_key").alias("gone_key"))
     rows = docs.select(F.struct("*").alias("row"), key.alias("row_key"))
     return rows.join(gone, F.col("row_key") == F.col("gone_key"), "left_anti").select("row.*")
+
+
+_RATIOS = {
+    "symbol_ratio": "n_symbols / greatest(word_chars, 1)", "upper_ratio": "n_upper / greatest(word_chars, 1)",
+    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
+    "stutter_ratio": "n_stutters / greatest(n_words, 1)", "mean_word_chars": "word_chars / greatest(n_words, 1)",
+}
+_SHIFT = math.ceil(40 * math.log(2) / math.log(BIN))
+
+
+def _sql_quartiles(name: str, by: str, prefix: str) -> str:
+    part = f"PARTITION BY {by}metric"
+    at = ", ".join(f"min(bin) FILTER (upto * 100 >= total * {p}) AS {prefix}{p}" for p in QUARTILES)
+    value = ", ".join(f"CASE WHEN {prefix}{p} = 0 THEN 0 ELSE pow({BIN}, {prefix}{p} - {_SHIFT}) * {2 / (1 + BIN)!r} END AS {prefix}{p}" for p in QUARTILES)
+    return f"""{name}0 AS (SELECT {by}metric, bin, sum(n) AS n FROM sketch GROUP BY {by}metric, bin),
+{name}1 AS (SELECT *, sum(n) OVER ({part} ORDER BY bin) AS upto, sum(n) OVER ({part}) AS total FROM {name}0),
+{name}2 AS (SELECT {by}metric, max(total)::DOUBLE AS {prefix}n, {at} FROM {name}1 GROUP BY {by}metric),
+{name} AS (SELECT {by}metric, {prefix}n, {value} FROM {name}2)"""
+
+
+def _sql_drawn(p: int) -> str:
+    return f"(gn * g{p} + {PRIOR} * ((ln * l{p} + {PRIOR} * a{p}) / (ln + {PRIOR}))) / (gn + {PRIOR}) AS q{p}"
+
+
+#: DuckDB.
+SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+s AS (SELECT r, doc_id, lang, source, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper,
+  length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars FROM t),
+place AS (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM s),
+win AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM place),
+twice AS (SELECT r, k FROM win GROUP BY r, k HAVING count(*) > 1),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS p FROM win SEMI JOIN twice USING (r, k)),
+repeats AS (SELECT r, count(*) AS n FROM covered GROUP BY r),
+base AS (SELECT s.r, doc_id, lang, source, len(w)::BIGINT AS n_words, word_chars, n_symbols, n_upper, len(lines)::BIGINT AS n_lines,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters FROM s LEFT JOIN repeats USING (r)),
+value AS (SELECT r, lang, source, unnest([{", ".join(f"{{'metric': '{m}', 'x': {e}}}" for m, e in _RATIOS.items())}], recursive := true) FROM base),
+sketch AS (SELECT lang, source, metric, CASE WHEN x <= 0 THEN 0 ELSE greatest(1, ceil(ln(x) / {math.log(BIN)!r}) + {_SHIFT}) END AS bin, count(*) AS n
+  FROM value GROUP BY lang, source, metric, bin),
+{_sql_quartiles("g", "lang, source, ", "g")},
+{_sql_quartiles("l", "lang, ", "l")},
+{_sql_quartiles("a", "", "a")},
+q AS (SELECT g.lang, g.source, metric, {", ".join(map(_sql_drawn, QUARTILES))} FROM g JOIN a USING (metric)
+  JOIN l ON l.metric = g.metric AND l.lang IS NOT DISTINCT FROM g.lang),
+rule(metric, spread, low) AS (VALUES {", ".join(f"('{m}', {s}, {str(low).lower()})" for m, (s, low) in METRICS.items())}),
+fence AS (SELECT lang, source, metric, q50 + {WIDTH} * greatest(q75 - q50, q50 - q25, spread) AS hi,
+  CASE WHEN low THEN q50 - {WIDTH} * greatest(q75 - q50, q50 - q25, spread) END AS lo FROM q JOIN rule USING (metric)),
+beyond AS (SELECT DISTINCT r FROM value v JOIN fence f ON f.metric = v.metric AND f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source
+  WHERE x > hi OR x < lo)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT base_failed AND r NOT IN (SELECT r FROM beyond) AS kept FROM base
+"""

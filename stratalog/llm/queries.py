@@ -61,4 +61,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op6_extendible_sharding": sharding.SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.SQL, "op6_extendible_sharding": sharding.SQL, "op7_substring_dedup": substring_dedup.SQL,
+        "op10_quality_rules": quality_rules.SQL,
+    }

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialize, text_or_empty
 
 HASH_BITS = 60
-#: Production limit of a shard.
-LIMIT_BYTES = 4 << 20
+#: Limit of a shard: a few hundred documents, what a reader shuffles in memory.
+LIMIT_BYTES = 1 << 18
 
 
 def _directory(rows: DataFrame, limit: int, base: int, bits: int) -> DataFrame:
