@@ -7,11 +7,12 @@
    ``DISTRICT`` pieces: enough that a district wastes less than a sequence, and few enough that a
    task's memory is fixed.
 3. Each district evolves on ``ISLANDS`` islands, each a task with a seed of its own. A chromosome
-   is a list of bins. Crossover injects well-filled bins of one parent whole into the other,
-   removes the bins that hold a duplicate of an injected document, and best-fits the documents
-   thereby displaced; mutation dissolves poorly filled bins. After each epoch an island's elite
-   (its best packing) migrates to the next island of the ring, through a shuffle of narrow rows.
-   An island stops at the lower bound on bins.
+   is a list of bins; the first ones fill bins in random orders. Crossover injects well-filled bins
+   of one parent whole into the other and removes the bins that hold a duplicate of an injected
+   document; mutation dissolves some of the poorest bins that are left. Best fit, the longest
+   first, then places the documents displaced by either, and only those. After each epoch an
+   island's elite (its best packing) migrates to the next island of the ring, through a shuffle of
+   narrow rows. An island stops at the lower bound on bins.
 4. The district's best packing wins, the lower island number at a tie.
 
 Ids are those of the ``tokenizers`` library for ``byte_bpe_50k.json``; the default encoder reads
@@ -38,10 +39,13 @@ from .common import bounded_batches, materialize, process_cache
 
 CAPACITY = 2048
 DISTRICT = 4096
-ISLANDS = 2
+ISLANDS = 4
 EPOCHS = 2
-POPULATION = 3
+POPULATION = 4
+CHILDREN = 3
 GENERATIONS = 3
+#: Shares of the poorest bins that a mutation dissolves.
+DISSOLVED = (0.02, 0.1, 0.3)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, row long"
 
@@ -92,24 +96,28 @@ def token_pieces(docs: DataFrame, encoder=tiktoken_encoder, capacity: int = CAPA
 
 
 class Packer:
-    """The grouping genetic algorithm over one district's lengths. A bin is a tuple of items."""
+    """The grouping genetic algorithm over one district's lengths. A bin is its fill and its items."""
 
     def __init__(self, lengths: list[int], capacity: int, seed: int):
         self.len, self.cap, self.rng = lengths, capacity, random.Random(seed)
         total = sum(lengths)
         self.bound = max(-(-total // capacity), sum(1 for x in lengths if 2 * x > capacity))
+        self.generations = 0
 
     def fit(self, bins: list[tuple], items: list[int]) -> list[tuple]:
-        """Best fit: each item, the longest first, into the fullest bin that has room. Bins are
-        kept by room, with a bit for each room that some bin has."""
+        """Best fit: each item in turn into the fullest bin that has room. Bins are kept by room,
+        with a bit for each room that some bin has."""
         cap, lens = self.cap, self.len
         rooms: dict[int, list] = {}
         bits = 0
         for b in bins:
-            r = cap - sum(lens[i] for i in b)
-            rooms.setdefault(r, []).append(b)
-            bits |= 1 << r
-        for i in sorted(items, key=lens.__getitem__, reverse=True):
+            r = cap - b[0]
+            if r in rooms:
+                rooms[r].append(b[1])
+            else:
+                rooms[r] = [b[1]]
+                bits |= 1 << r
+        for i in items:
             x = lens[i]
             over = bits >> x
             if over:
@@ -127,55 +135,46 @@ class Packer:
             else:
                 rooms[r] = [b]
                 bits |= 1 << r
-        return [b for own in rooms.values() for b in own]
-
-    def fill(self, b: tuple) -> int:
-        return sum(self.len[i] for i in b)
+        return [(cap - r, b) for r, own in rooms.items() for b in own]
 
     def fitness(self, bins: list[tuple]) -> tuple:
         """Fewer bins first, then the mean squared fill."""
-        return (-len(bins), sum((self.fill(b) / self.cap) ** 2 for b in bins))
+        return (-len(bins), sum(b[0] * b[0] for b in bins))
 
-    def seed_packing(self, greedy: bool) -> list[tuple]:
+    def first(self) -> list[tuple]:
+        """A packing that fills bins in a random order."""
         items = list(range(len(self.len)))
-        if greedy:
-            return self.fit([], items)
         self.rng.shuffle(items)
-        half = len(items) // 2
-        return self.fit(self.fit([], items[:half]), items[half:])
+        return self.fit([], items)
 
     def cross(self, a: list[tuple], b: list[tuple]) -> list[tuple]:
-        good = sorted(b, key=self.fill, reverse=True)[: max(1, len(b) // 2)]
-        injected = [x for x in good if self.rng.random() < 0.3] or good[:1]
-        taken = {i for x in injected for i in x}
+        full = self.cap - self.cap // 100
+        good = [x for x in b if x[0] >= full] or [max(b)]
+        injected = self.rng.sample(good, -(-len(good) // 2))
+        taken = {i for x in injected for i in x[1]}
         kept, displaced = [], []
         for x in a:
-            if taken.isdisjoint(x):
+            if taken.isdisjoint(x[1]):
                 kept.append(x)
             else:
-                displaced += [i for i in x if i not in taken]
-        return self.fit(kept + injected, displaced)
-
-    def mutate(self, a: list[tuple]) -> list[tuple]:
-        ranked = sorted(a, key=self.fill)
-        n = max(2, len(a) // 50)
-        return self.fit(ranked[n:], [i for b in ranked[:n] for i in b])
-
-    def evolve(self, elites: list[list[tuple]]) -> list[tuple]:
-        people = list(elites) or [self.seed_packing(True)]
-        best = max(people, key=self.fitness)
-        if len(best) <= self.bound:
-            return best
+                displaced += [i for i in x[1] if i not in taken]
+        kept.sort()
+        poor = min(len(kept), max(2, int(len(kept) * self.rng.choice(DISSOLVED))))
+        displaced += [i for x in kept[:poor] for i in x[1]]
+        displaced.sort(key=self.len.__getitem__, reverse=True)
+        return self.fit(kept[poor:] + injected, displaced)
+
+    def evolve(self, elites: list[list[tuple]], generations: int = GENERATIONS) -> list[tuple]:
+        people = list(elites)
         while len(people) < POPULATION:
-            people.append(self.seed_packing(False))
-        for _ in range(GENERATIONS):
-            children = []
-            for _ in range(POPULATION):
-                a, b = self.rng.sample(people, 2)
-                children.append(self.mutate(self.cross(a, b)))
-            people = sorted(people + children, key=self.fitness, reverse=True)[:POPULATION]
+            people.append(self.first())
+        people.sort(key=self.fitness, reverse=True)
+        for _ in range(generations):
             if len(people[0]) <= self.bound:
                 break
+            children = [self.cross(*self.rng.sample(people, 2)) for _ in range(CHILDREN)]
+            people = sorted(people + children, key=self.fitness, reverse=True)[:POPULATION]
+            self.generations += 1
         return people[0]
 
 
@@ -183,7 +182,8 @@ def _bins(pdf: pd.DataFrame, col: str) -> list[tuple]:
     own: dict[int, list] = {}
     for i, b in enumerate(pdf[col]):
         own.setdefault(b, []).append(i)
-    return [tuple(x) for x in own.values()]
+    lens = pdf["length"].tolist()
+    return [(sum(lens[i] for i in x), tuple(x)) for x in own.values()]
 
 
 ISLAND = "district long, island int, kind int, row long, length long, bin int"
@@ -198,7 +198,7 @@ def _epoch(capacity: int, islands: int, epoch: int, last: bool):
         packer = Packer(own["length"].tolist(), capacity, hash((district, island, epoch)))
         best = packer.evolve(elites)
         number = np.zeros(len(own), np.int32)
-        for b, items in enumerate(best):
+        for b, (_, items) in enumerate(best):
             number[list(items)] = b
         out = own.assign(bin=number, kind=0, island=island)[["district", "island", "kind", "row", "length", "bin"]]
         if last or islands == 1:

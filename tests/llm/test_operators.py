@@ -510,18 +510,56 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def best_fit_decreasing(lengths, cap):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= x]
+        if fits:
+            i = min(fits, key=rooms.__getitem__)
+            rooms[i] -= x
+        else:
+            rooms.append(cap - x)
+    return len(rooms)
+
+
+def holds_all(bins, lengths, cap):
+    return sorted(i for _, b in bins for i in b) == list(range(len(lengths))) and all(f == sum(lengths[i] for i in b) <= cap for f, b in bins)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_genetic_packing_is_no_worse_than_best_fit(seed):
     rng = random.Random(seed)
     lengths = [rng.choice([rng.randint(1, 40), rng.randint(20, 100)]) for _ in range(120)]
     p = packing.Packer(lengths, 100, seed)
-    greedy = p.seed_packing(True)
-    best = p.evolve([])
-    assert sorted(i for b in best for i in b) == list(range(120))
-    assert all(p.fill(b) <= 100 for b in best)
-    assert p.bound <= len(best) <= len(greedy)
-    child = p.cross(greedy, p.seed_packing(False))
-    assert sorted(i for b in child for i in b) == list(range(120)) and all(p.fill(b) <= 100 for b in child)
+    best = p.evolve([], 30)
+    assert holds_all(best, lengths, 100)
+    assert p.bound <= len(best) <= best_fit_decreasing(lengths, 100)
+    child = p.cross(p.first(), p.first())
+    assert holds_all(child, lengths, 100)
+
+
+def test_genetic_packing_beats_best_fit():
+    """Triplets that fill their bins, which best fit decreasing does not find."""
+    rng = random.Random(3)
+    lengths = []
+    for _ in range(40):
+        a = rng.randint(380, 490)
+        b = rng.randint(251, (1000 - a) // 2 - 1)
+        lengths += [a, b, 1000 - a - b]
+    p = packing.Packer(lengths, 1000, 1)
+    best = p.evolve([], 200)
+    assert holds_all(best, lengths, 1000) and p.generations > 0
+    assert len(best) < best_fit_decreasing(lengths, 1000)
+
+
+def test_packing_evolves(spark):
+    """On the documents of sf0.01: generations run, and at most two sequences a district over the bound."""
+    pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("sequence_id IS NULL").toPandas()
+    p = packing.Packer(pieces["length"].tolist(), packing.CAPACITY, 1)
+    one = p.evolve([])
+    two = p.evolve([one, p.evolve([])])
+    assert p.generations > 0 and len(two) <= len(one)
+    assert len(two) <= p.bound + 2
 
 
 # 4: piece encoding
