@@ -1,11 +1,14 @@
 """Main-text extraction by a tree-structured graphical model over the DOM.
 
-Block elements are the variables (content or not). Each has a potential from its own features
-(tag, class and id tokens, text length, link share, punctuation), and each parent-child pair has a
-potential by the child's tag. Sum-product message passing, once upward and once downward, gives
+Block elements are the variables (content or not). Each has a potential from its own features (tag,
+class and id tokens, text length, link share, punctuation, controls, the share of the page's text in
+it and in its parent, its place in the page, like siblings, the nearest element above it that HTML
+gives a role), and each parent-child pair has a potential by the child's tag. Sum-product message passing, once upward and once downward, gives
 exact marginals, since the graph is a tree. All potentials are smoothed counts over labelled
 pages. These pages are made by ``labelled_pages``: ``TRAIN_PAGES`` pages (a fixed bound) with
 random layouts, in which every element is labelled by construction; none of the input is read.
+Names of classes and ids are missing, neutral or wrong in part of these pages, so that none decides
+alone.
 
 A block is a run of text between block boundaries. Blocks of elements with a content marginal
 above one half are the main text. The parser is one pass with a stack: it knows void and raw-text
@@ -33,6 +36,8 @@ from .common import bounded_batches
 
 TRAIN_PAGES = 1_000
 SEED = 7
+#: Features of a node other than names are not independent; their evidence counts for this share.
+TEMPER = 0.5
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 #: HTML's own lists.
@@ -47,6 +52,9 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split()
 )
+#: Elements by which HTML names a part of a page.
+ROLES = frozenset("article main aside nav footer header form dialog address".split())
+CONTROLS = frozenset("button input select textarea".split())
 #: tag: open elements of these tags end where it starts, if no element of the second set is nearer.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -80,8 +88,13 @@ class Node:
     commas: int = 0
     ends: int = 0
     blocks: int = 0
-    below: int = 0  # characters of the whole subtree, and of links in it
+    marks: int = 0  # copyright signs
+    at: int = 0  # characters of the page before it
+    like: int = 0  # siblings with its tag, itself included
+    role: str = ""  # nearest tag above with a role
+    below: int = 0  # characters of the whole subtree, of links in it, and form controls
     below_links: int = 0
+    controls: int = 0
 
 
 @dataclass
@@ -95,11 +108,13 @@ def parse(source: str) -> Page:
     page = Page([Node("#root", -1, 0, [])])
     nodes, blocks = page.nodes, page.blocks
     stack: list[tuple[str, int]] = [("#root", 0)]  # tag, node that owns its text
+    opened: dict[str, int] = {}  # how many of each tag are on the stack
     run: list[str] = []
+    total = 0
     links, hidden, link_chars = 0, 0, 0
 
     def flush() -> None:
-        nonlocal link_chars
+        nonlocal link_chars, total
         if run:
             text = " ".join("".join(run).split())
             run.clear()
@@ -110,7 +125,9 @@ def parse(source: str) -> Page:
                 node.link_chars += min(link_chars, len(text))
                 node.commas += text.count(",")
                 node.ends += sum(text.count(c) for c in ".!?")
+                node.marks += text.count("\u00a9")
                 node.blocks += 1
+                total += len(text)
                 blocks.append((owner, text))
         link_chars = 0
 
@@ -120,6 +137,7 @@ def parse(source: str) -> Page:
         if tag not in INLINE:
             flush()
         stack.pop()
+        opened[tag] -= 1
         links -= tag == "a"
         hidden -= tag in RAW
 
@@ -147,19 +165,21 @@ def parse(source: str) -> Page:
         if m["end"] or m["end2"]:
             if tag == "br":
                 run.append(" ")
-            elif any(t == tag for t, _ in stack[1:]):
+            elif opened.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if tag in VOID:
+            if tag in CONTROLS:
+                nodes[stack[-1][1]].controls += 1
             if tag == "hr":
                 flush()
             else:
                 run.append(" ")
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     while len(stack) > k:
@@ -167,7 +187,7 @@ def parse(source: str) -> Page:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        if tag in IMPLIED:
+        if tag in IMPLIED and any(opened.get(t) for t in IMPLIED[tag][0]):
             ends, scope = IMPLIED[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in scope:
@@ -179,6 +199,8 @@ def parse(source: str) -> Page:
                         break
         if attrs.endswith("/") and tag in ("svg", "iframe"):
             continue
+        if tag in CONTROLS:
+            nodes[stack[-1][1]].controls += 1
         if tag in RAW_TEXT:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else n
@@ -192,22 +214,30 @@ def parse(source: str) -> Page:
             flush()
             owner = stack[-1][1]
             names = [w.lower() for v in NAMES.findall(attrs) for w in WORD.findall(v)]
-            node = Node(tag, owner, nodes[owner].depth + 1, names)
+            above = nodes[owner]
+            node = Node(tag, owner, above.depth + 1, names, at=total, role=above.tag if above.tag in ROLES else above.role)
             if label := LABEL.search(attrs):
                 node.label = int(label[1])
             nodes.append(node)
             stack.append((tag, len(nodes) - 1))
+        opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
         hidden += tag in RAW
     while len(stack) > 1:
         pop()
     flush()
+    like: dict[tuple[int, str], int] = {}
     for node in reversed(nodes):
         node.below += node.chars
         node.below_links += node.link_chars
         if node.parent >= 0:
-            nodes[node.parent].below += node.below
-            nodes[node.parent].below_links += node.below_links
+            up = nodes[node.parent]
+            up.below += node.below
+            up.below_links += node.below_links
+            up.controls += node.controls
+            like[node.parent, node.tag] = like.get((node.parent, node.tag), 0) + 1
+    for node in nodes:
+        node.like = like.get((node.parent, node.tag), 1)
     return page
 
 
@@ -216,7 +246,14 @@ def _share(links: int, chars: int) -> str:
     return "none" if share < 0 else "0" if share == 0 else "1" if share < 0.4 else "2"
 
 
-def features(node: Node) -> list[str]:
+def _mass(part: int, total: int) -> int:
+    share = part / max(total, 1)
+    return sum(share > x for x in (0, 0.02, 0.1, 0.3, 0.5, 0.8))
+
+
+def features(node: Node, page: Page) -> list[str]:
+    root, up = page.nodes[0].below, page.nodes[max(node.parent, 0)]
+    at = (node.at + node.below / 2) / max(root, 1)
     out = [
         f"tag={node.tag}",
         f"len={min(10, node.chars.bit_length())}",
@@ -226,9 +263,18 @@ def features(node: Node) -> list[str]:
         f"ends={min(3, node.ends)}",
         f"commas={min(2, node.commas)}",
         f"blocks={min(3, node.blocks)}",
-        f"named={min(1, len(node.names))}",
+        f"controls={min(2, node.controls)}",
+        f"marks={min(1, node.marks)}",
+        f"mass={_mass(node.below, root)}",
+        f"up_mass={_mass(up.below, root)}",
+        f"up_link={_share(up.below_links, up.below)}",
+        f"up_controls={min(2, up.controls)}",
+        f"at={sum(at > x for x in (0.02, 0.08, 0.3, 0.7, 0.92, 0.98))}",
+        f"like={node.tag if node.tag in ('p', 'li', 'div', 'td') else '*'}:{sum(node.like > x for x in (1, 3))}",
+        f"role={node.role}:{node.tag in ('p', 'h1', 'h2', 'h3')}",
+        f"role={node.role}",
     ]
-    return out + [f"name={w}" for w in dict.fromkeys(node.names)]
+    return out + [f"name={w}" for w in dict.fromkeys(node.names)] + [f"in={w}" for w in dict.fromkeys(up.names)]
 
 
 class TreeModel:
@@ -243,30 +289,38 @@ class TreeModel:
                 if node.label < 0:
                     continue
                 prior[node.label] += 1
-                for f in features(node):
+                for f in features(node, page):
                     seen.setdefault(f, np.zeros(2))[node.label] += 1
                 up = page.nodes[node.parent].label if node.parent >= 0 else -1
                 if up >= 0:
                     for key in (node.tag, "*"):
                         edges.setdefault(key, np.zeros((2, 2)))[up, node.label] += 1
-        self.local = {f: np.log((c + 0.5) / (prior + 1)) for f, c in seen.items()}
+        self.local = {f: np.log((c + 0.5) / (prior + 1)).tolist() for f, c in seen.items()}
         everywhere = edges["*"] + 0.5
         everywhere /= everywhere.sum(1, keepdims=True)
         # Counts of a tag, drawn towards the table of all tags.
         self.edges = {t: np.log((c + 4 * everywhere) / (c + 4 * everywhere).sum(1, keepdims=True)) for t, c in edges.items()}
         self.root = np.log(prior / prior.sum())
 
-    def marginals(self, nodes: list[Node]) -> np.ndarray:
+    def potential(self, node: Node, page: Page) -> tuple[float, float]:
+        """The log potentials of a node by its own features."""
+        a = b = 0.0
+        for f in features(node, page):
+            if x := self.local.get(f):
+                weight = 1.0 if f.startswith(("name=", "in=")) else TEMPER
+                a += weight * x[0]
+                b += weight * x[1]
+        return a, b
+
+    def marginals(self, page: Page) -> np.ndarray:
         """P(content) of each node. Node features are weighed against the edge from the parent, so
         a node's own potential is the likelihood of its features."""
+        nodes = page.nodes
         n = len(nodes)
-        local = np.zeros((n, 2))
-        for i, node in enumerate(nodes):
-            for f in features(node):
-                if f in self.local:
-                    local[i] += self.local[f]
-        local[:, 0] -= local[:, 1]
-        local = [(a, 0.0) for a in local[:, 0].tolist()]
+        local = []
+        for node in nodes:
+            a, b = self.potential(node, page)
+            local.append((a - b, 0.0))
         edge = [self.edges.get(node.tag, self.edges["*"]).tolist() for node in nodes]
         add = lambda a, b: a + np.log1p(np.exp(b - a)) if a > b else b + np.log1p(np.exp(a - b))
         up = [list(x) for x in local]  # own potential times messages from children
@@ -293,7 +347,7 @@ class TreeModel:
         if not source:
             return ""
         page = parse(source)
-        good = self.marginals(page.nodes) > 0.5
+        good = self.marginals(page) > 0.5
         return "\n\n".join(text for owner, text in page.blocks if good[owner])
 
 
@@ -316,8 +370,17 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[Page]:
         items = "".join(el("li", 0, f'<a href="/{i}">{words(1, 3)}</a>') for i in range(k))
         return el(tag, 0, items)
 
+    def named(names: list[str], wrong: list[str]) -> str:
+        """One of the names; or none, a neutral or a wrong one."""
+        x = rng.random()
+        return rng.choice(names) if x < 0.8 else "" if x < 0.87 else rng.choice(neutral) if x < 0.96 else rng.choice(wrong)
+
+    neutral = "box c1 row wrap inner block col-2 x3 item unit panel group layer clearfix u-mt4 css-1ab grid cell module widget".split()
+    good_names = "content article post-content entry-content article-body main story post main-text text body copy prose".split()
+    bad_names = "sidebar related promo banner-note footer-note comment-policy share notice menu-guide ad-review nav-history widget social sponsored".split()
+
     def region(names: list[str], tags: list[str], inner: str) -> str:
-        return el(rng.choice(tags), 0, inner, rng.choice(names))
+        return el(rng.choice(tags), 0, inner, named(names, good_names))
 
     def advert() -> str:
         return region(["ad", "ads", "advert", "banner ad", "ad-slot", "sponsored", "promo", "advertisement"], ["div", "div", "aside", "section"],
@@ -339,51 +402,62 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[Page]:
         inner = el("h3", 0, words(1, 3)) + rng.choice([links(rng.randint(3, 8)), el("p", 0, sentences(rng.randint(1, 3))), advert() + links(4)])
         return region(["sidebar", "side", "widget", "right-rail", "related", "recommended", "trending", "share", "social"], ["aside", "div", "section"], inner)
 
+    def prose(k: int) -> str:
+        return el("p", 1, sentences(k))
+
+    def part() -> str:
+        """A part of an article."""
+        x = rng.random()
+        if x < 0.62:
+            p = sentences(rng.choice([1, 1, 2, 4, 8]))
+            if rng.random() < 0.2:
+                p = f"<b>{words(2, 5)}</b> " + p
+            if rng.random() < 0.15:
+                p += f' <a href="/r">{words(1, 3)}</a> {words(2, 6)}.'
+            return el("p", 1, p) if rng.random() < 0.85 else el("div", 1, p, named([""], bad_names))
+        if x < 0.65:
+            return el("p", 1, f'<a href="/r">{words(2, 12)}</a>' + rng.choice(["", ".", " " + words(1, 2)]))
+        if x < 0.72:
+            return el(rng.choice(["h2", "h3", "h4"]), 1, words(1, 7).capitalize())
+        if x < 0.77:
+            return el(rng.choice(["ul", "ol"]), 1, "".join(el("li", 1, rng.choice([words(2, 12), words(1, 3), sentences(1)])) for _ in range(rng.randint(2, 7))))
+        if x < 0.79:
+            return el("dl", 1, "".join(el("dt", 1, words(1, 3)) + el("dd", 1, rng.choice([words(2, 9), sentences(1)])) for _ in range(rng.randint(1, 5))))
+        if x < 0.82:
+            return el("blockquote", 1, rng.choice([prose(2), sentences(2)]))
+        if x < 0.84:
+            return el("pre", 1, words(5, 30))
+        if x < 0.87:
+            return el("table", 1, "".join(el("tr", 1, "".join(el("td", 1, words(1, 3)) for _ in range(3))) for _ in range(rng.randint(2, 6))))
+        if x < 0.89:
+            return el("figure", 1, "<img src=x>" + el("figcaption", 1, words(3, 9)))
+        if x < 0.92:
+            return el("div", 1, rng.choice([words(1, 5), words(2, 8) + ".", prose(2)]), named(["", "section", "text", "lead", "byline", "date"], bad_names))
+        return el(rng.choice(["section", "section", "div"]), 1, rng.choice(["", el("h2", 1, words(1, 5))]) + "".join(prose(rng.choice([1, 2, 4])) for _ in range(rng.randint(1, 3))), named(["", "section", "chapter"], bad_names))
+
     def article() -> str:
         heads = el(rng.choice(["h1", "h1", "h2"]), 1, words(3, 10).capitalize())
         if rng.random() < 0.2:
-            heads = el("header", 1, heads)
+            heads = el("header", 1, heads + rng.choice(["", el("p", 1, words(2, 6))]))
         parts = []
         for _ in range(rng.randint(1, 14)):
+            parts.append(part())
             x = rng.random()
-            if x < 0.72:
-                p = sentences(rng.choice([1, 1, 2, 4, 8]))
-                if rng.random() < 0.2:
-                    p = f"<b>{words(2, 5)}</b> " + p
-                if rng.random() < 0.15:
-                    p += f' <a href="/r">{words(1, 3)}</a> {words(2, 6)}.'
-                parts.append(el("p", 1, p))
-            elif x < 0.78:
-                parts.append(el(rng.choice(["h2", "h3"]), 1, words(1, 7).capitalize()))
-            elif x < 0.83:
-                parts.append(el(rng.choice(["ul", "ol"]), 1, "".join(el("li", 1, words(2, 12)) for _ in range(rng.randint(2, 5)))))
-            elif x < 0.86:
-                parts.append(el("blockquote", 1, el("p", 1, sentences(2))))
-            elif x < 0.88:
-                parts.append(el("pre", 1, words(5, 30)))
-            elif x < 0.90:
-                parts.append(el("table", 1, "".join(el("tr", 1, "".join(el("td", 1, words(1, 3)) for _ in range(3))) for _ in range(3))))
-            elif x < 0.92:
-                parts.append(el("figure", 1, "<img src=x>" + el("figcaption", 1, words(3, 9))))
-            elif x < 0.95:
-                parts.append(advert())
-            elif x < 0.97:
-                parts.append(sidebar())
-            elif x < 0.98:
-                parts.append(form())
-            else:
-                parts.append(el("div", 1, el("p", 1, sentences(2)), rng.choice(["", "section", "text"])))
+            if x < 0.07:
+                parts.append(advert() if x < 0.03 else sidebar() if x < 0.05 else form() if x < 0.06 else notice())
         inner = heads + "".join(parts)
         if rng.random() < 0.15:
             inner += comments()
         kind = rng.random()
+        if kind < 0.35:
+            return el("article", 1, inner, named(["", "post", "story"], bad_names))
         if kind < 0.45:
-            return el("article", 1, inner, rng.choice(["", "", "post", "story"]))
-        if kind < 0.6:
-            return el("main", 1, inner, rng.choice(["", "content", "main"]))
-        if kind < 0.7:
+            return el("main", 1, inner, named(["", "content", "main"], bad_names))
+        if kind < 0.55:
             return el("main", 1, el("article", 1, inner))
-        return el("div", 1, inner, rng.choice(["content", "article", "post-content", "entry-content", "article-body", "main", "story", "post", "main-text"]))
+        if kind < 0.62:
+            return el("table", 1, el("tr", 1, el("td", 1, inner)))
+        return el(rng.choice(["div", "div", "section"]), 1, inner, named(good_names, bad_names))
 
     out = []
     for _ in range(n):
@@ -399,7 +473,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[Page]:
                 after.append(make())
         if rng.random() < 0.85:
             after.append(region(["", "footer", "site-footer"], ["footer", "footer", "div"] if rng.random() < 0.5 else ["footer"],
-                                rng.choice([f"&copy; {words(1, 3)} &middot; {sentences(1)}", el("p", 0, words(3, 9)), links(4)])))
+                                rng.choice([f"&copy; {words(1, 3)} &middot; {sentences(1)}", el("p", 0, words(3, 9)), el("p", 0, f"&copy; 20{rng.randint(10, 29)} {words(1, 4)}. {sentences(1)}"), links(4)])))
+        elif rng.random() < 0.6:
+            after.append(el(rng.choice(["p", "div"]), 0, f"&copy; {rng.randint(1990, 2029)} {words(1, 4)}" + rng.choice(["", ". " + sentences(1)])))
         inner = "".join(before) + article() + "".join(after)
         if rng.random() < 0.4:
             inner = el("div", 1, inner, rng.choice(["", "page", "wrapper", "container"]))

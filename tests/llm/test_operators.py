@@ -27,6 +27,8 @@ from stratalog.llm import (
     substring_dedup,
 )
 
+from . import layouts
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -600,13 +602,31 @@ def model():
 def test_held_out_pages(model):
     right = total = 0
     for page in html_extraction.labelled_pages(100, seed=99):
-        good = model.marginals(page.nodes) > 0.5
+        good = model.marginals(page) > 0.5
         for owner, _ in page.blocks:
             right += good[owner] == (page.nodes[owner].label == 1)
             total += 1
     assert right / total > 0.97
 
 
+def test_layouts_that_the_generator_has_not(model):
+    f1, wrong = layouts.score(model.extract)
+    assert f1 >= 0.97, wrong
+
+
+def test_parsing_takes_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        page = html_extraction.parse("<div></b>" * n)
+        assert len(page.nodes) == n + 1
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(100_000) < 40 * took(10_000) + 1
+
+
 def test_marginals_are_exact(model):
     """Against the sum over all labellings of a small tree."""
     page = html_extraction.parse("<body><nav><a href=x>one</a></nav><article><h1>Two</h1><p>Three, four. Five.</p></article></body>")
@@ -616,13 +636,13 @@ def test_marginals_are_exact(model):
         y = [mask >> i & 1 for i in range(len(nodes))]
         logp = model.root[y[0]]
         for i, node in enumerate(nodes):
-            logp += sum(model.local[f][y[i]] for f in html_extraction.features(node) if f in model.local)
+            logp += model.potential(node, page)[y[i]]
             if i:
                 logp += model.edges.get(node.tag, model.edges["*"])[y[node.parent], y[i]]
         p = math.exp(logp)
         total += p
         on += p * np.array(y)
-    assert np.allclose(model.marginals(nodes), on / total)
+    assert np.allclose(model.marginals(page), on / total)
 
 
 @pytest.mark.parametrize(
