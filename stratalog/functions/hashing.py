@@ -5,6 +5,9 @@ Spark's own crc32 is another polynomial, and its xxhash64 another hash, so neith
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +28,7 @@ BLOOM_VERSION = 1
 MASK = (1 << 64) - 1
 
 
+@lru_cache
 def _crc_table() -> list[int]:
     out = []
     for n in range(256):
@@ -106,40 +110,61 @@ def uvarint(number: Column) -> Column:
     return pandas_udf(_uvarint, "binary")(number)
 
 
-def may_contain(filters: Column | str, keys: Column | str) -> Column:
-    return pandas_udf(_may_contain, "boolean")(filters, keys)
-
-
 def bloom_bits(keys: int) -> int:
     return max(8, BITS_PER_KEY * keys)
 
 
 def bloom_filters(rows: DataFrame, group: str, key: str) -> DataFrame:
     """group, n, filter: one serialised Bloom filter a group (version, probes, bits, then the bit
-    array), over distinct keys. Positions are computed per key and reduced to distinct bytes before
+    array), over distinct keys. Each batch sets its bits in 64-bit words; words are combined before
     a group is put together, so what a task gathers is the filter, not the keys."""
     counts = rows.groupBy(group).agg(F.count_distinct(key).alias("n"))
     sized = rows.select(group, F.col(key).cast("binary").alias("k")).distinct().join(counts, group)
+    kind = dict(rows.dtypes)[group]
 
-    @pandas_udf("array<struct<byte:long,bit:int>>")
-    def positions(k: pd.Series, n: pd.Series) -> pd.Series:
-        a, b = bloom_pair(k)
-        m = np.maximum(8, BITS_PER_KEY * n.to_numpy().astype(np.uint64)).astype(np.uint64)
-        bits = [(a + np.uint64(i) * b) % m for i in range(PROBES)]
-        return pd.Series([[{"byte": int(x) // 8, "bit": 1 << int(x) % 8} for x in row] for row in zip(*bits)])
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            a, b = bloom_pair(pdf["k"])
+            m = np.maximum(8, BITS_PER_KEY * pdf["n"].to_numpy(np.uint64)).astype(np.uint64)
+            for name, at in pdf.groupby(group, sort=False, dropna=False).indices.items():
+                bit = np.concatenate([(a[at] + np.uint64(i) * b[at]) % m[at] for i in range(PROBES)])
+                word, place = np.unique(bit >> np.uint64(6), return_inverse=True)
+                bits = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(bits, place, np.uint64(1) << (bit & np.uint64(63)))
+                yield pd.DataFrame({group: pdf[group].iloc[at[0]], "n": pdf["n"].iloc[at[0]], "word": word.astype(np.int64), "v": bits.view(np.int64)})
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         m = bloom_bits(int(pdf["n"].iloc[0]))
-        body = np.zeros(-(-m // 8), np.uint8)
-        body[pdf["byte"].to_numpy()] = pdf["v"].to_numpy().astype(np.uint8)
-        data = bytes([BLOOM_VERSION, PROBES]) + m.to_bytes(8, "little") + body.tobytes()
+        body = np.zeros(-(-m // 64), np.uint64)
+        body[pdf["word"].to_numpy()] = pdf["v"].to_numpy(np.int64).view(np.uint64)
+        data = bytes([BLOOM_VERSION, PROBES]) + m.to_bytes(8, "little") + body.astype("<u8").tobytes()[: -(-m // 8)]
         return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [int(pdf["n"].iloc[0])], "filter": [data]})
 
-    set_bytes = (
-        sized.select(group, "n", F.inline(positions("k", "n"))).groupBy(group, "n", "byte").agg(F.bit_or("bit").alias("v"))
-    )
-    kind = dict(rows.dtypes)[group]
-    return set_bytes.groupBy(group).applyInPandas(build, f"{group} {kind}, n long, filter binary")
+    set_words = sized.mapInPandas(words, f"{group} {kind}, n long, word long, v long").groupBy(group, "n", "word").agg(F.bit_or("v").alias("v"))
+    return set_words.groupBy(group).applyInPandas(build, f"{group} {kind}, n long, filter binary")
+
+
+#: Keys that are probed in one task, about.
+PROBE_KEYS = 4_000_000
+
+
+def may_contain(rows: DataFrame, filters: DataFrame, group: str, key: str) -> DataFrame:
+    """group, key, hit: whether the filter of its group may hold each key; a group without a filter
+    holds nothing. A filter meets its keys once a task, in slices of about ``PROBE_KEYS`` keys by the
+    number of keys that it was made for."""
+    slices = (1 + F.floor(F.col("n") / PROBE_KEYS)).cast("int")
+    sizes = filters.select(group, slices.alias("slices"))
+    left = rows.select(group, key).join(sizes, group, "left").withColumn("slice", F.pmod(F.xxhash64(key), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    right = filters.select(group, "filter", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+
+    def probe(keys: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(keys), bool)
+        if len(found) and len(keys):
+            hit = _probe(bytes(found["filter"].iloc[0]), keys[key])
+        return pd.DataFrame({group: keys[group], key: keys[key], "hit": hit})
+
+    types = dict(rows.dtypes)
+    return left.groupBy(group, "slice").cogroup(right.groupBy(group, "slice")).applyInPandas(probe, f"{group} {types[group]}, {key} {types[key]}, hit boolean")
 
 
 def contains(data: bytes, key: bytes) -> bool:
@@ -147,18 +172,14 @@ def contains(data: bytes, key: bytes) -> bool:
     m = int.from_bytes(data[2:10], "little")
     if len(data) < 11 or data[0] != BLOOM_VERSION or data[1] != PROBES or m == 0 or len(data) - 10 != -(-m // 8):
         raise ValueError("malformed filter")
-    a, b = (int(x[0]) for x in bloom_pair(pd.Series([key])))
-    return all(data[10 + bit // 8] >> bit % 8 & 1 for bit in (((a + i * b) & MASK) % m for i in range(PROBES)))
+    return bool(_probe(data, pd.Series([key]))[0])
 
 
-def _may_contain(filters: pd.Series, keys: pd.Series) -> pd.Series:
+def _probe(data: bytes, keys: pd.Series) -> np.ndarray:
     a, b = bloom_pair(keys)
+    m, body = np.uint64(int.from_bytes(data[2:10], "little")), np.frombuffer(data, np.uint8, offset=10)
     out = np.ones(len(keys), bool)
-    for row, data in enumerate(filters):
-        m = int.from_bytes(data[2:10], "little")
-        for i in range(PROBES):
-            bit = ((int(a[row]) + i * int(b[row])) & MASK) % m
-            if not data[10 + bit // 8] >> bit % 8 & 1:
-                out[row] = False
-                break
-    return pd.Series(out)
+    for i in range(PROBES):
+        bit = (a + np.uint64(i) * b) % m
+        out &= (body[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out

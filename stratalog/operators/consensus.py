@@ -49,23 +49,37 @@ def log_up_to_date(last_term: Column, last_index: Column, own_term: Column, own_
     return (last_term > own_term) | ((last_term == own_term) & (last_index >= own_index))
 
 
+def term_at(asked: DataFrame, logs: DataFrame) -> DataFrame:
+    """node, idx, term (null beyond the log) and state of each index asked for. asked: node, idx;
+    logs: node, idx, term."""
+    state = F.when(F.col("term").isNull(), "beyond the log").otherwise("held")
+    return asked.join(logs.select("node", "idx", "term"), ["node", "idx"], "left").select("node", "idx", "term", state.alias("state"))
+
+
+def last_terms(logs: DataFrame) -> DataFrame:
+    return logs.groupBy("node").agg(F.max("idx").alias("last_index"), F.max_by("term", "idx").alias("last_term"))
+
+
 def log_matching(logs: DataFrame) -> DataFrame:
-    """(left, right, idx) of the first place at which two nodes' logs agree in term though they
-    differ in an entry at or below it: a violation of log matching. logs: node, idx, term, data.
+    """(left, right, first_difference, last_agreement) of pairs of nodes whose logs agree in term at
+    or above an index at which they differ: a violation of log matching. logs: node, idx, term, data.
 
-    Two logs are joined only where they can differ: the entry's hash is in the join key of no
-    side; a difference is an index whose entries form more than one group, found by an aggregate."""
+    Entries are aggregated by index first. Indexes at which all that have one have the same entry
+    (nearly all) only tell where pairs agree, and are combined by the set of nodes; entries are
+    joined with one another only at the others."""
     at = logs.select("idx", "node", "term", F.xxhash64("term", "data").alias("h"))
-    pairs = at.alias("l").join(at.alias("r"), (F.col("l.idx") == F.col("r.idx")) & (F.col("l.node") < F.col("r.node")))
+    per = at.groupBy("idx").agg(F.sort_array(F.collect_set("node")).alias("nodes"), (F.min("h") != F.max("h")).alias("mixed"))  # at most the cluster's nodes
+    same = per.where("NOT mixed").groupBy("nodes").agg(F.max("idx").alias("idx"))
+    same = same.select("idx", "nodes", F.explode("nodes").alias("left")).select("idx", "left", F.explode("nodes").alias("right")).where("left < right")
+    some = at.join(per.where("mixed").select("idx"), "idx", "left_semi")
+    pairs = some.alias("l").join(some.alias("r"), (F.col("l.idx") == F.col("r.idx")) & (F.col("l.node") < F.col("r.node")))
     pairs = pairs.select(
-        F.col("l.node").alias("left"), F.col("r.node").alias("right"), F.col("l.idx").alias("idx"),
+        F.col("l.idx").alias("idx"), F.col("l.node").alias("left"), F.col("r.node").alias("right"),
         (F.col("l.term") == F.col("r.term")).alias("same_term"), (F.col("l.h") != F.col("r.h")).alias("differs"),
-    )
-    first = pairs.where("differs").groupBy("left", "right").agg(F.min("idx").alias("first_difference"))
-    agreed = pairs.where("same_term").groupBy("left", "right").agg(F.max("idx").alias("last_agreement"))
-    return first.join(agreed, ["left", "right"]).where("last_agreement >= first_difference").select(
-        "left", "right", "first_difference", "last_agreement"
-    )
+    ).unionByName(same.select("idx", "left", "right", F.lit(True).alias("same_term"), F.lit(False).alias("differs")))
+    return pairs.groupBy("left", "right").agg(
+        F.min(F.when(F.col("differs"), F.col("idx"))).alias("first_difference"), F.max(F.when(F.col("same_term"), F.col("idx"))).alias("last_agreement")
+    ).where("last_agreement >= first_difference")
 
 
 def leader_hints(messages: DataFrame) -> DataFrame:

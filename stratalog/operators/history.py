@@ -26,26 +26,36 @@ def call_return_events(ops: DataFrame) -> DataFrame:
     )
 
 
+def sums_before(per: DataFrame, at: str, value: str, wide: int = 4096) -> DataFrame:
+    """at, before: the sum of ``value`` over all rows of a lower (whole) number ``at``, a row each.
+    In two levels, so that the one window without a partition has a row for ``wide`` numbers."""
+    top = F.floor(F.col(at) / wide)
+    rows = per.withColumn("top", top)
+    tops = rows.groupBy("top").agg(F.sum(value).alias("t"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = tops.select("top", earlier("t", Window.orderBy("top")).alias("far"))
+    near = earlier(value, Window.partitionBy("top").orderBy(at))
+    return rows.withColumn("near", near).join(tops, "top").select(at, (F.col("near") + F.col("far")).alias("before"))
+
+
 def placed(rows: DataFrame, order: list[str], width: int) -> DataFrame:
     """rows with ``place``, their number in the total order (the first of ``order`` is a time). Rows
-    are numbered within time buckets, and the sizes of earlier buckets, a row each, are added; no
-    task sorts all rows."""
+    are numbered within time buckets, and the sizes of earlier buckets are added; no task sorts all
+    rows."""
     b = rows.withColumn("bucket", F.floor(F.col(order[0]) / width))
     sizes = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
-    return b.withColumn("inside", inside).join(sizes.select("bucket", before.alias("before")), "bucket").withColumn(
+    return b.withColumn("inside", inside).join(sums_before(sizes, "bucket", "n"), "bucket").withColumn(
         "place", F.col("inside") + F.col("before")
     ).drop("bucket", "inside", "before")
 
 
 def running_total(points: DataFrame, at: str, up: str, width: int) -> DataFrame:
-    """at, and ``below``: the sum of ``up`` over all points with a lower time. Two-level, as placed."""
+    """at, and ``below``: the sum of ``up`` over all points with a lower time. By buckets, as placed."""
     sums = points.groupBy(at).agg(F.sum(up).alias("s")).withColumn("bucket", F.floor(F.col(at) / width))
     per = sums.groupBy("bucket").agg(F.sum("s").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum("s").over(Window.partitionBy("bucket").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sums.withColumn("inside", inside).join(per.select("bucket", before.alias("before")), "bucket").select(
+    return sums.withColumn("inside", inside).join(sums_before(per, "bucket", "t"), "bucket").select(
         at, (F.col("inside") + F.col("before")).alias("below")
     )
 
@@ -53,8 +63,8 @@ def running_total(points: DataFrame, at: str, up: str, width: int) -> DataFrame:
 def max_concurrency(ops: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:
     """The most operations in flight at once, closed intervals, for clients whose own intervals
     don't touch. A sweep in two steps: sums of starts and ends per time bucket carry over to the
-    next bucket (a row a bucket), and within a bucket the running sum is a window partitioned by
-    bucket, so no task sorts the whole history."""
+    next bucket, and within a bucket the running sum is a window partitioned by bucket, so no task
+    sorts the whole history."""
     points = ops.select(F.col("invoke").alias("at"), F.lit(1).alias("d")).unionByName(
         ops.where("ret IS NOT NULL").select(F.col("ret").alias("at"), F.lit(-1).alias("d"))
     )
@@ -62,12 +72,11 @@ def max_concurrency(ops: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:
         F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("up"), F.sum(F.when(F.col("d") < 0, 1).otherwise(0)).alias("down")
     ).withColumn("bucket", F.floor(F.col("at") / bucket_us))
     carried = sums.groupBy("bucket").agg(F.sum(F.col("up") - F.col("down")).alias("net"))
-    before = F.coalesce(F.sum("net").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carried = carried.select("bucket", before.alias("carry"))
+    carried = sums_before(carried, "bucket", "net")
     inside = Window.partitionBy("bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     level = F.sum(F.col("up") - F.col("down")).over(inside) + F.col("down")
     return sums.withColumn("level", level).join(carried, "bucket").agg(
-        F.coalesce(F.max(F.col("level") + F.col("carry")), F.lit(0)).cast("long").alias("max_concurrent")
+        F.coalesce(F.max(F.col("level") + F.col("before")), F.lit(0)).cast("long").alias("max_concurrent")
     )
 
 
@@ -75,27 +84,19 @@ def faults_in_flight(faults: DataFrame, ops: DataFrame, strict_start: bool = Tru
     """fault_id and clients: how many clients have an operation that the fault catches, i.e. that
     started before (or, unless strict_start, at) its time and has not returned before it.
 
-    A range join without a nested loop: each finished operation goes to the time buckets that it
-    spans, and an equi-join on the bucket is then filtered. An open operation would span all later
-    buckets; since it is its client's last, no other of the client can be in flight after it
-    starts, and open ones are counted by a running total instead."""
-    closed = ops.where("ret IS NOT NULL").select(
-        "client_id", "invoke", "ret", F.explode(F.sequence(F.floor(F.col("invoke") / width), F.floor(F.col("ret") / width))).alias("bucket")
-    )
-    started = F.col("invoke") < F.col("at") if strict_start else F.col("invoke") <= F.col("at")
-    caught = faults.withColumn("bucket", F.floor(F.col("at") / width)).join(closed, "bucket").where(started & (F.col("ret") >= F.col("at")))
-    counts = caught.groupBy("fault_id").agg(F.count_distinct("client_id").alias("n"))
-    # Times are doubled, so that a start at a fault's time can be put just before or after it.
+    A client's operations don't overlap, so it has one in flight or none, and the clients caught
+    are the operations started less those returned: running totals, without a join of intervals.
+    An open operation never returns."""
+    # Times are doubled, so that a fault's time can lie just before or after what has the same.
     after = 0 if strict_start else 1
-    points = ops.where("ret IS NULL").select((F.col("invoke") * 2).alias("t"), F.lit(1).alias("up")).unionByName(
-        faults.select((F.col("at") * 2 + after).alias("t"), F.lit(0).alias("up"))
-    )
-    opened = running_total(points, "t", "up", 2 * width)
-    return (
-        faults.withColumn("t", F.col("at") * 2 + after)
-        .join(opened, "t").join(counts, "fault_id", "left")
-        .select("fault_id", (F.coalesce("n", F.lit(0)) + F.col("below")).cast("long").alias("clients"))
+    at = (F.col("at") * 2 + after).alias("t")
+    points = (
+        ops.select((F.col("invoke") * 2).alias("t"), F.lit(1).alias("up"))
+        .unionByName(ops.where("ret IS NOT NULL").select((F.col("ret") * 2 + 1).alias("t"), F.lit(-1).alias("up")))
+        .unionByName(faults.select(at, F.lit(0).alias("up")))
     )
+    below = running_total(points, "t", "up", 2 * width)
+    return faults.select("fault_id", at).join(below, "t").select("fault_id", F.col("below").cast("long").alias("clients"))
 
 
 def session_violations(ops: DataFrame) -> DataFrame:

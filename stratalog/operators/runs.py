@@ -71,10 +71,11 @@ def flushed_index(edits: DataFrame) -> DataFrame:
 
 def edit_violations(edits: DataFrame) -> DataFrame:
     """ord, rule, file of edits that a manifest must reject. edits: ord, action, file, n, min_key,
-    max_key, flushed_index."""
+    max_key, flushed_index; an edit without files is a row without an action."""
+    files = edits.where("file IS NOT NULL")
     history = Window.partitionBy("file").orderBy("ord", (F.col("action") == "add"))
-    seen = edits.withColumn("before", F.lag("action").over(history))
-    both = edits.groupBy("ord", "file").agg(F.count_distinct("action").alias("k"), F.count(F.lit(1)).alias("n"))
+    seen = files.withColumn("before", F.lag("action").over(history))
+    both = files.groupBy("ord", "file").agg(F.count_distinct("action").alias("k"), F.count(F.lit(1)).alias("n"))
     rules = [
         seen.where("action = 'remove' AND NOT (before <=> 'add')").select("ord", F.lit("removes a file that is not live").alias("rule"), "file"),
         seen.where("action = 'add' AND before = 'add'").select("ord", F.lit("adds a live file").alias("rule"), "file"),
@@ -84,9 +85,18 @@ def edit_violations(edits: DataFrame) -> DataFrame:
         edits.where("action = 'add' AND min_key > max_key").select("ord", F.lit("bounds are reversed").alias("rule"), "file"),
         edits.where("action = 'add' AND NOT file rlike '^[0-9]{6,}\\\\.sst$'").select("ord", F.lit("invalid file name").alias("rule"), "file"),
     ]
-    marks = edits.groupBy("ord").agg(F.max("flushed_index").alias("f"))  # a row an edit
-    before = F.max("f").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    rules.append(marks.withColumn("b", before).where("f < b").select("ord", F.lit("flushed index regresses").alias("rule"), F.lit(None).cast("string").alias("file")))
+    marks = edits.groupBy("ord").agg(F.max("flushed_index").alias("f"), F.count("file").alias("k"))
+    # The highest index before each edit, by blocks of edits, so that the window without a
+    # partition has a row a block.
+    marks = marks.withColumn("block", F.floor(F.col("ord") / 4096))
+    blocks = marks.groupBy("block").agg(F.max("f").alias("m"))
+    before = F.max("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.max("f").over(Window.partitionBy("block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    marks = marks.withColumn("in_b", inside).join(blocks.select("block", before.alias("out_b")), "block")
+    marks = marks.withColumn("b", F.greatest("in_b", "out_b"))
+    none = F.lit(None).cast("string").alias("file")
+    rules.append(marks.where("f < b").select("ord", F.lit("flushed index regresses").alias("rule"), none))
+    rules.append(marks.where("k = 0 AND coalesce(f, b, 0) = coalesce(b, 0)").select("ord", F.lit("empty edit").alias("rule"), none))
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)

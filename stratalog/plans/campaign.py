@@ -60,6 +60,34 @@ def histories(spark: SparkSession, seeds: int, break_reads: bool = False) -> Dat
     )
 
 
+def attempts(h: DataFrame, every: int = 40) -> DataFrame:
+    """seed, id, at of each physical attempt: the first at the call, one more for each ``every`` until
+    the return; an operation that never returns is tried once more."""
+    last = F.coalesce(F.when(F.col("ret").isNotNull(), F.greatest(F.col("ret") - 1, F.col("invoke"))), F.col("invoke") + every)
+    return h.select("seed", "id", F.explode(F.sequence("invoke", last, F.lit(every).cast("long"))).alias("at"))
+
+
+def summarise(h: DataFrame, tried: DataFrame, fired: DataFrame) -> DataFrame:
+    """One row a seed: counters of a run. h: seed, client_id, op, invoke, ret (null: open); tried: seed,
+    a row an attempt; fired: seed, ordinal, at of the faults that degrade the system. A fault is in
+    flight if it catches an operation that began before it and has not returned before it;
+    max_concurrent is the most clients in flight at once, closed intervals. Seeds are independent
+    and each is small, so windows and joins are by seed."""
+    hit = fired.join(h.select("seed", "invoke", "ret"), "seed").where("invoke < at AND (ret IS NULL OR ret >= at)")
+    hits = hit.groupBy("seed").agg(F.count_distinct("ordinal").alias("faults_in_flight"))
+    points = h.select("seed", F.inline(F.array(
+        F.struct(F.col("invoke").alias("at"), F.lit(1).alias("d")), F.struct(F.col("ret").alias("at"), F.lit(-1).alias("d"))
+    ))).where("at IS NOT NULL")
+    level = F.sum("d").over(Window.partitionBy("seed").orderBy("at", F.desc("d")).rowsBetween(Window.unboundedPreceding, 0))
+    most = points.withColumn("level", level).groupBy("seed").agg(F.max("level").alias("max_concurrent"))
+    counts = h.groupBy("seed").agg(
+        F.count(F.lit(1)).alias("logical"), F.count("ret").alias("completed"), F.count_if(F.col("ret").isNull()).alias("open"),
+        *[F.count_if(F.col("op") == o).alias(f"{o.lower()}s") for o in OPS],
+    )
+    rows = counts.join(tried.groupBy("seed").agg(F.count(F.lit(1)).alias("attempts")), "seed", "left").join(most, "seed", "left").join(hits, "seed", "left")
+    return rows.fillna(0, ["attempts", "max_concurrent", "faults_in_flight"])
+
+
 def summaries(spark: SparkSession, seeds: int, break_reads: bool = False) -> DataFrame:
     """One row a seed: counters, verdict and what keeps the run from being evidence."""
     h = histories(spark, seeds, break_reads)
@@ -67,14 +95,8 @@ def summaries(spark: SparkSession, seeds: int, break_reads: bool = False) -> Dat
     bad = verdicts.groupBy(F.split("key", "/")[0].cast("long").alias("seed")).agg(F.count_if(F.col("verdict") != "ok").alias("bad_keys"))
     events = faults.generate_schedules(spark, seeds)
     kind = (F.col("kind"), F.col("rate"), F.col("multiplier"))
-    fired = events.where(faults.injected(*kind)).select(F.col("seed"), F.col("time").alias("at"))
-    hit = fired.join(h.where("ret IS NOT NULL").select("seed", "client_id", "invoke", "ret"), "seed").where("invoke < at AND ret >= at")
-    hits = hit.groupBy("seed").agg(F.count_distinct("at").alias("faults_in_flight"))
-    counts = h.groupBy("seed").agg(
-        F.count(F.lit(1)).alias("logical"), F.count_if("ok").alias("completed"), F.count(F.lit(1)).alias("attempts"),
-        *[F.count_if(F.col("op") == o).alias(f"{o.lower()}s") for o in OPS], F.count_distinct("client_id").alias("max_concurrent"),
-    )
-    rows = counts.join(bad, "seed", "left").join(hits, "seed", "left").fillna(0, ["bad_keys", "faults_in_flight"])
+    fired = events.where(faults.injected(*kind)).select(F.col("seed"), "ordinal", F.col("time").alias("at"))
+    rows = summarise(h, attempts(h), fired).join(bad, "seed", "left").fillna(0, ["bad_keys"])
     rows = rows.join(faults.vacuity_failures(rows), "seed")
     return rows.withColumn("failed", (F.col("bad_keys") > 0) | (F.col("failures") != ""))
 

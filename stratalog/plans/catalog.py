@@ -29,7 +29,8 @@ def query(sql: str | None = None, raw: bool = False):
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql if raw else with_cte(sql)
+            text = sql if raw else with_cte(sql)
+            SQL[f.__name__] = text.replace("WITH ", "WITH RECURSIVE ", 1) if "FROM walk" in text else text
         return f
 
     return register
@@ -306,18 +307,54 @@ def orphans_anti(spark, sf):
     return runs.orphans(e.select("file").distinct(), runs.live_files(e))
 
 
-BAD_EDITS = """(1, 'add', '000001.sst', 5, 1, 9, 10), (2, 'add', '000001.sst', 5, 1, 9, 20), (3, 'remove', '000009.sst', NULL, NULL, NULL, NULL),
-(4, 'add', '000004.sst', 0, 1, 2, 15), (5, 'add', '000005.sst', 3, 9, 1, 30), (6, 'add', 'x.sst', 3, 1, 2, 40), (7, 'remove', '000001.sst', NULL, NULL, NULL, NULL)"""
+#: Each day adds its run; by the number of the day something is wrong with it, or a second edit is.
+BAD_EDITS = """, m AS (SELECT file, min(key) AS lo, max(key) AS hi, count(*) AS n, max(seq) AS top FROM ver GROUP BY file),
+d AS (SELECT *, row_number() OVER (ORDER BY file) AS d FROM m),
+e AS (SELECT d * 2 AS ord, 'add' AS action, CASE WHEN d % 6 = 5 THEN 'x' || d ELSE printf('%06d.sst', d) END AS file, CASE WHEN d % 6 = 3 THEN 0 ELSE n END AS n,
+    CASE WHEN d % 6 = 4 THEN hi + 1 ELSE lo END AS min_key, CASE WHEN d % 6 = 4 THEN lo ELSE hi END AS max_key, CASE WHEN d % 7 = 6 THEN 1 ELSE top END AS flushed_index FROM d
+  UNION ALL SELECT d * 2 + 1, 'add', printf('%06d.sst', d), n, lo, hi, NULL FROM d WHERE d % 6 = 1
+  UNION ALL SELECT d * 2 + 1, 'remove', printf('%06d.sst', d + 900000), NULL, NULL, NULL, NULL FROM d WHERE d % 6 = 2
+  UNION ALL SELECT d * 2 + 1, NULL, NULL, NULL, NULL, NULL, NULL FROM d WHERE d % 6 = 0)
+"""
 
 
-@query("""SELECT * FROM (VALUES (2, 'adds a live file', '000001.sst'), (3, 'removes a file that is not live', '000009.sst'), (4, 'count is not positive', '000004.sst'),
-(5, 'bounds are reversed', '000005.sst'), (6, 'invalid file name', 'x.sst'), (4, 'flushed index regresses', NULL)) t(ord, rule, file)""", raw=True)
+def _bad_edits(spark, sf):
+    m = src.versions(spark, sf).groupBy("file").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("top"))
+    d = m.withColumn("d", F.row_number().over(Window.orderBy("file")).cast("long"))  # a row a day
+    name, none = F.format_string("%06d.sst", "d"), F.lit(None)
+    reversed_ = F.col("d") % 6 == 4
+    first = d.select(
+        (F.col("d") * 2).alias("ord"), F.lit("add").alias("action"), F.when(F.col("d") % 6 == 5, F.concat(F.lit("x"), F.col("d").cast("string"))).otherwise(name).alias("file"),
+        F.when(F.col("d") % 6 == 3, 0).otherwise(F.col("n")).alias("n"), F.when(reversed_, F.col("hi") + 1).otherwise(F.col("lo")).alias("min_key"),
+        F.when(reversed_, F.col("lo")).otherwise(F.col("hi")).alias("max_key"), F.when(F.col("d") % 7 == 6, 1).otherwise(F.col("top")).alias("flushed_index"),
+    )
+    second = d.where("d % 6 < 3").select(
+        (F.col("d") * 2 + 1).alias("ord"), F.when(F.col("d") % 6 == 1, "add").when(F.col("d") % 6 == 2, "remove").alias("action"),
+        F.when(F.col("d") % 6 == 1, name).when(F.col("d") % 6 == 2, F.format_string("%06d.sst", F.col("d") + 900000)).alias("file"),
+        *[F.when(F.col("d") % 6 == 1, F.col(c)).alias(k) for c, k in (("n", "n"), ("lo", "min_key"), ("hi", "max_key"))], none.cast("long").alias("flushed_index"),
+    )
+    return first.unionByName(second)
+
+
+@query(BAD_EDITS + """, f AS (SELECT ord, max(flushed_index) AS f, count(file) AS k FROM e GROUP BY ord),
+b AS (SELECT *, max(f) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM f)
+SELECT ord, 'adds a live file' AS rule, file FROM e x WHERE action = 'add' AND (SELECT count(*) FILTER (action = 'add') > count(*) FILTER (action = 'remove') FROM e y WHERE y.file = x.file AND y.ord < x.ord)
+UNION ALL SELECT ord, 'removes a file that is not live', file FROM e x WHERE action = 'remove' AND NOT EXISTS (SELECT 1 FROM e y WHERE y.file = x.file AND y.ord < x.ord AND action = 'add')
+UNION ALL SELECT ord, 'count is not positive', file FROM e WHERE action = 'add' AND n <= 0
+UNION ALL SELECT ord, 'bounds are reversed', file FROM e WHERE action = 'add' AND min_key > max_key
+UNION ALL SELECT ord, 'invalid file name', file FROM e WHERE action = 'add' AND NOT regexp_full_match(file, '[0-9]{6,}[.]sst')
+UNION ALL SELECT ord, 'flushed index regresses', NULL FROM b WHERE f < b
+UNION ALL SELECT ord, 'empty edit', NULL FROM b WHERE k = 0 AND coalesce(f, b, 0) = coalesce(b, 0)""")
 def manifest_edit_violations(spark, sf):
-    edits = spark.sql(f"SELECT * FROM VALUES {BAD_EDITS} AS t(ord, action, file, n, min_key, max_key, flushed_index)")
-    return runs.edit_violations(edits)
+    return runs.edit_violations(_bad_edits(spark, sf))
 
 
-@query()
+@query(""", p AS (SELECT key % 8 AS shard, seq AS ord, key, CASE WHEN tombstone THEN 17 ELSE 25 END AS bytes, row_number() OVER (PARTITION BY key % 8 ORDER BY seq) AS r FROM ver),
+walk AS (SELECT shard, ord, r, 0 AS generation, MAP {key: bytes} AS held FROM p WHERE r = 1 UNION ALL
+  SELECT p.shard, p.ord, p.r, CASE WHEN list_sum(map_values(w.held)) >= 256 THEN w.generation + 1 ELSE w.generation END,
+    CASE WHEN list_sum(map_values(w.held)) >= 256 THEN MAP {p.key: p.bytes} ELSE map_concat(w.held, MAP {p.key: p.bytes}) END
+  FROM walk w JOIN p ON p.shard = w.shard AND p.r = w.r + 1)
+SELECT shard::BIGINT AS shard, ord, generation::BIGINT AS generation FROM walk""")
 def flush_generations(spark, sf):
     rows = src.versions(spark, sf).select(
         F.pmod("key", F.lit(8)).cast("long").alias("shard"), F.col("seq").alias("ord"), "key", F.when(F.col("tombstone"), 17).otherwise(25).cast("long").alias("bytes")
@@ -325,7 +362,11 @@ def flush_generations(spark, sf):
     return runs.flush_generations(rows, 256)
 
 
-@query()
+@query(""", p AS (SELECT file, key, row_number() OVER (PARTITION BY file ORDER BY key, seq DESC) AS pos FROM ver),
+walk AS (SELECT file, pos, key, 0 AS block, 40 AS filled FROM p WHERE pos = 1 UNION ALL
+  SELECT p.file, p.pos, p.key, CASE WHEN w.filled + 40 > 512 AND p.key <> w.key THEN w.block + 1 ELSE w.block END,
+    CASE WHEN w.filled + 40 > 512 AND p.key <> w.key THEN 40 ELSE w.filled + 40 END FROM walk w JOIN p ON p.file = w.file AND p.pos = w.pos + 1)
+SELECT file, pos, block::BIGINT AS block FROM walk""")
 def data_blocks(spark, sf):
     v = src.versions(spark, sf)
     pos = F.row_number().over(Window.partitionBy("file").orderBy("key", F.desc("seq"))).cast("long")
@@ -429,21 +470,22 @@ def leader_hints(spark, sf):
     return consensus.leader_hints(m).select("node", "ord", "hint")
 
 
-@query(""", a AS (SELECT idx, term FROM node_log WHERE node = 3), w AS (SELECT idx, term FROM node_log WHERE node = 0 AND idx % 4 = 3 AND idx % 28 <> 3
+@query(""", a AS (SELECT idx, term FROM node_log WHERE node = 3), w AS (SELECT idx, term FROM node_log WHERE node = 0 AND data = 'purchase'
   UNION ALL SELECT max(idx) + 5, 0 FROM cmd0)
 SELECT w.idx, w.term, CASE WHEN a.term IS NULL THEN 'pending' WHEN a.term = w.term THEN 'applied' ELSE 'stale' END AS outcome FROM w LEFT JOIN a USING (idx)""")
 def waiter_outcomes(spark, sf):
+    """Whoever asked for a purchase or a signup waits; signups have been cancelled."""
     n = src.node_logs(spark, sf)
-    own = n.where("node = 0").select("idx", "term")
+    own = n.where("node = 0")
     late = src.raw_commands(spark, sf).agg((F.max("idx") + 5).alias("idx")).withColumn("term", F.lit(0).cast("long"))
-    waiters = own.where("idx % 4 = 3").unionByName(late)
-    return consensus.fulfilled(waiters, n.where("node = 3").select("idx", "term"), own.where("idx % 28 = 3"))
+    waiters = own.where("data IN ('purchase', 'signup')").select("idx", "term").unionByName(late)
+    return consensus.fulfilled(waiters, n.where("node = 3").select("idx", "term"), own.where("data = 'signup'").select("idx", "term"))
 
 
 @query("""SELECT l.node, l.idx, l.term, CASE WHEN r.term IS NULL THEN 'pending' WHEN r.term = l.term THEN 'applied' ELSE 'leadership-lost' END AS outcome
-FROM (SELECT node, idx, idx // 250 AS term FROM (SELECT unnest(range(0, 5)) AS node), cmd0 WHERE idx % 100 = 99) l LEFT JOIN node_log r USING (node, idx)""")
+FROM (SELECT node, idx, idx // 250 AS term FROM (SELECT unnest(range(0, 5)) AS node), cmd0) l LEFT JOIN node_log r USING (node, idx)""")
 def attempt_outcomes(spark, sf):
-    c = src.raw_commands(spark, sf).where("idx % 100 = 99")
+    c = src.raw_commands(spark, sf)
     tried = c.select(F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>")).alias("node"), "idx", F.floor(c.idx / 250).alias("term"))
     return consensus.attempts(tried, src.node_logs(spark, sf))
 
@@ -475,11 +517,12 @@ def history_max_concurrency(spark, sf):
     return history.max_concurrency(src.operations(spark, sf), 600_000_000)
 
 
-FAULTS = ", fault AS (SELECT event_id AS fault_id, epoch_us(ts) + 1 AS at FROM events WHERE event_id % 20 = 7)\n"
+#: Every error event is a fault.
+FAULTS = ", fault AS (SELECT event_id AS fault_id, epoch_us(ts) + 1 AS at FROM events WHERE event_type = 'error')\n"
 
 
 def _faults(spark, sf):
-    return src.raw_commands(spark, sf).where("idx % 20 = 7").select(F.col("idx").alias("fault_id"), (F.col("us") + 1).alias("at"))
+    return src.raw_commands(spark, sf).where("op = 'DELETE'").select(F.col("idx").alias("fault_id"), (F.col("us") + 1).alias("at"))
 
 
 @query(FAULTS + "SELECT fault_id, count(DISTINCT client_id) AS clients FROM fault LEFT JOIN oper ON invoke < at AND (ret IS NULL OR ret >= at) GROUP BY fault_id")
@@ -529,22 +572,21 @@ def linearizable_per_key(spark, sf):
 
 # Faults.
 
-SETTINGS = ", setting AS (SELECT client_id % 5 AS target, idx AS ord, us AS at, value AS v FROM cmd0 WHERE idx % 25 = 0), probe AS (SELECT client_id % 5 AS target, idx AS probe_id, us AS at FROM cmd0 WHERE idx % 7 = 0)\n"
-
-
-@query(SETTINGS + "SELECT probe_id, (SELECT arg_max(v, ord) FROM setting s WHERE s.target = p.target AND s.at <= p.at) AS in_force FROM probe p")
+@query(""", s AS (SELECT client_id % 5 AS target, us AS at, value AS v FROM cmd0 WHERE op = 'DELETE'), p AS (SELECT client_id % 5 AS target, idx AS probe_id, us AS at FROM cmd0 WHERE op <> 'DELETE')
+SELECT probe_id, v AS in_force FROM p ASOF LEFT JOIN s ON p.target = s.target AND p.at >= s.at""")
 def fault_state_asof(spark, sf):
+    """Errors set a rate; all other events ask which is in force."""
     c = src.raw_commands(spark, sf).withColumn("target", F.col("client_id") % 5)
-    settings = c.where("idx % 25 = 0").select("target", F.col("idx").alias("ord"), F.col("us").alias("at"), F.col("value").alias("v"))
-    return faults.in_force(c.where("idx % 7 = 0").select("target", F.col("idx").alias("probe_id"), F.col("us").alias("at")), settings)
+    settings = c.where("op = 'DELETE'").select("target", F.col("idx").alias("ord"), F.col("us").alias("at"), F.col("value").alias("v"))
+    return faults.in_force(c.where("op <> 'DELETE'").select("target", F.col("idx").alias("probe_id"), F.col("us").alias("at")), settings)
 
 
-@query(""", p AS (SELECT client_id % 5 AS target, idx AS ord, us AS at, idx % 3 = 0 AS opens FROM cmd0 WHERE idx % 2 = 0),
+@query(""", p AS (SELECT client_id % 5 AS target, idx AS ord, us AS at, op = 'PUT' AS opens FROM cmd0 WHERE op <> 'GET'),
 n AS (SELECT *, min(CASE WHEN NOT opens THEN at END) OVER (PARTITION BY target ORDER BY at, ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closed FROM p)
 SELECT target, at AS opened, closed FROM n WHERE opens""")
 def fault_open_intervals(spark, sf):
-    c = src.raw_commands(spark, sf).where("idx % 2 = 0")
-    return faults.open_intervals(c.select((c.client_id % 5).alias("target"), c.us.alias("at"), c.idx.alias("ord"), (c.idx % 3 == 0).alias("opens")))
+    c = src.raw_commands(spark, sf).where("op <> 'GET'")
+    return faults.open_intervals(c.select((c.client_id % 5).alias("target"), c.us.alias("at"), c.idx.alias("ord"), (c.op == "PUT").alias("opens")))
 
 
 @query(""", p AS (SELECT idx // 6 AS seed, idx % 6 AS i, (idx * 7919) % 6007 AS a, (idx * 104729) % 5003 AS b FROM cmd0),
@@ -563,25 +605,39 @@ def fault_coverage_gaps(spark, sf):
     return faults.coverage_gaps(seen, faults.required_categories(spark)).select("category")
 
 
-BAD_SCHEDULE = """{"Version":3,"Crashes":[{"Node":1,"Save":0,"Point":1,"RetainUnsynced":-1},{"Node":2,"Save":4,"Point":9,"RetainUnsynced":-2},{"Node":2,"Save":4,"Point":1,"RetainUnsynced":0}],
-"Events":[{"Time":-1,"Kind":1,"Rate":0.5},{"Time":1,"Kind":1,"Rate":1.5},{"Time":2,"Kind":9,"Node":1,"Multiplier":3.0},{"Time":3,"Kind":3,"From":2,"To":2},{"Time":4,"Kind":5,"Groups":[[1,2],[2]]},
-{"Time":5,"Kind":5,"Groups":[[1]]},{"Time":6,"Kind":77},{"Time":7,"Kind":7,"Node":9},{"Time":8,"Kind":6,"Groups":[[1],[]]}],"LSMCrashes":[{"Node":1,"Op":"","Occurrence":0,"Point":1,"RetainUnsynced":0}]}"""
-
-
-@query("""SELECT 1::BIGINT AS seed, part, ordinal, rule FROM (VALUES ('schedule', -1, 'unsupported version'), ('event', 0, 'negative time'), ('event', 1, 'rate outside [0, 1]'),
-('event', 2, 'multiplier outside bounds'), ('event', 3, 'from equals to'), ('event', 4, 'node in two groups'), ('event', 5, 'fewer than two groups'), ('event', 6, 'unknown kind'),
-('event', 7, 'unknown node'), ('event', 8, 'empty group'), ('crash', 0, 'ordinals are 1-based'), ('crash', 1, 'non-schedulable point'), ('crash', 1, 'retention below minimum'),
-('crash', 2, 'duplicate directive'), ('fs-crash', 0, 'empty operation'), ('fs-crash', 0, 'ordinals are 1-based')) t(part, ordinal, rule)""", raw=True)
+@query(""", e AS (SELECT idx // 20 AS seed, (idx % 20)::INTEGER AS ordinal, idx % 20 - 1 AS t, key % 12 AS k, client_id % 7 AS node, idx % 6 AS f, key % 6 AS o, key / 50.0 AS rate, key / 30.0 AS m FROM cmd0)
+SELECT seed, 'event' AS part, ordinal, unnest(list_filter([CASE WHEN t < 0 THEN 'negative time' END, CASE WHEN k = 0 THEN 'unknown kind' END, CASE WHEN k IN (1, 2) AND rate > 1 THEN 'rate outside [0, 1]' END,
+  CASE WHEN k = 9 AND (m < 0.5 OR m > 2) THEN 'multiplier outside bounds' END, CASE WHEN k IN (3, 4) AND f = o THEN 'from equals to' END, CASE WHEN k IN (5, 6) AND node < 5 THEN 'fewer than two groups' END,
+  CASE WHEN k IN (5, 6) AND node = 4 THEN 'empty group' END, CASE WHEN k IN (5, 6) AND node = 5 THEN 'node in two groups' END, CASE WHEN node > 5 THEN 'unknown node' END], lambda x: x IS NOT NULL)) AS rule FROM e
+UNION ALL SELECT seed, 'schedule', -1, 'unsupported version' FROM (SELECT DISTINCT seed FROM e) WHERE seed % 3 = 1
+UNION ALL SELECT seed, 'crash', ordinal, unnest(list_filter([CASE WHEN t <= 0 THEN 'ordinals are 1-based' END, CASE WHEN k % 4 = 0 THEN 'non-schedulable point' END, CASE WHEN o - 3 < -1 THEN 'retention below minimum' END,
+  CASE WHEN row_number() OVER (PARTITION BY seed, node, t ORDER BY ordinal) > 1 THEN 'duplicate directive' END], lambda x: x IS NOT NULL)) FROM e""")
 def schedule_violations(spark, sf):
-    s = documents.decode_schedules(spark.createDataFrame([(1, BAD_SCHEDULE)], "seed long, text string"))
-    return faults.schedule_violations(s, [1, 2, 3, 4, 5])
-
-
-@query("""SELECT * FROM (VALUES (1, 'drop-rate', true, false), (2, 'drop-rate', false, true), (3, 'clock-skew', true, false), (4, 'clock-skew', false, true), (5, 'heal', false, false),
-(6, 'pause', false, true), (7, 'faultkind(40)', false, false)) t(id, kind, neutral, injected)""", raw=True)
+    """Twenty events a schedule, written as JSON and decoded; groups by client: none, one, or two that
+    share a node, an empty one, or none wrong."""
+    c = src.raw_commands(spark, sf)
+    node = (c.client_id % 7).alias("Node")
+    g = lambda *xs: F.array(*[F.array(*[F.lit(y).cast("long") for y in x]) if x else F.array().cast("array<long>") for x in xs])
+    groups = F.when(c.client_id % 7 == 4, g([])).when(c.client_id % 7 == 5, g([1, 2], [2])).when(c.client_id % 7 == 6, g([1], [2]))
+    event = F.struct(
+        (c.idx % 20 - 1).alias("Time"), (c.key % 12).alias("Kind"), node, (c.idx % 6).alias("From"), (c.key % 6).cast("long").alias("To"), groups.alias("Groups"),
+        (c.key / 50).alias("Rate"), (c.key / 30).alias("Multiplier"),
+    )
+    crash = F.struct(node, (c.idx % 20 - 1).alias("Save"), (c.key % 4).alias("Point"), (c.key % 6 - 3).alias("RetainUnsynced"))
+    per = c.groupBy(F.floor(c.idx / 20).alias("seed")).agg(F.sort_array(F.collect_list(F.struct("idx", event.alias("e"), crash.alias("c")))).alias("x"))  # 20 a schedule
+    texts = per.select("seed", F.to_json(F.struct(
+        F.when(F.col("seed") % 3 == 1, 3).otherwise(5).alias("Version"), F.col("x.e").alias("Events"), F.col("x.c").alias("Crashes"),
+    )).alias("text"))
+    return faults.schedule_violations(documents.decode_schedules(texts), [1, 2, 3, 4, 5])
+
+
+@query(""", e AS (SELECT idx AS id, key % 13 AS k, (key % 3) / 4.0 AS rate, 0.5 + (key % 4) / 2.0 AS m FROM cmd0),
+n AS (SELECT *, CASE WHEN k BETWEEN 1 AND 11 THEN ['drop-rate', 'duplicate-rate', 'partition', 'heal', 'partition-groups', 'heal-groups', 'pause', 'resume', 'clock-skew', 'crash', 'restart'][k] ELSE printf('faultkind(%d)', k) END AS kind FROM e)
+SELECT id, kind, CASE WHEN kind IN ('drop-rate', 'duplicate-rate') THEN rate = 0 WHEN kind = 'clock-skew' THEN m = 1 ELSE false END AS neutral,
+  CASE WHEN kind IN ('drop-rate', 'duplicate-rate') THEN rate > 0 WHEN kind = 'clock-skew' THEN m <> 1 ELSE kind IN ('partition', 'partition-groups', 'pause', 'crash') END AS injected FROM n""")
 def fault_classes(spark, sf):
-    e = spark.sql("SELECT * FROM VALUES (1, 1, 0.0D, 0.0D), (2, 1, 0.2D, 0.0D), (3, 9, 0.0D, 1.0D), (4, 9, 0.0D, 1.5D), (5, 4, 0.0D, 0.0D), (6, 7, 0.0D, 0.0D), (7, 40, 0.0D, 0.0D) AS t(id, k, rate, multiplier)")
-    e = e.withColumn("kind", faults.kind_name(F.col("k")))
+    c = src.raw_commands(spark, sf)
+    e = c.select(c.idx.alias("id"), faults.kind_name(c.key % 13).alias("kind"), ((c.key % 3) / 4).alias("rate"), (0.5 + (c.key % 4) / 2).alias("multiplier"))
     args = (F.col("kind"), F.col("rate"), F.col("multiplier"))
     return e.select("id", "kind", faults.neutral(*args).alias("neutral"), faults.injected(*args).alias("injected"))
 
@@ -644,12 +700,12 @@ def fired_directives(spark, sf):
     return faults.fired_directives(e, d)
 
 
-@query(""", m AS (SELECT client_id % 5 AS link, idx AS msg_id, us AS at FROM cmd0 WHERE idx % 2 = 1), k AS (SELECT client_id % 5 AS link, idx AS ord, us AS at, idx % 4 = 0 AS opens FROM cmd0 WHERE idx % 2 = 0)
-SELECT msg_id, NOT coalesce((SELECT arg_max(opens, ord) FROM k WHERE k.link = m.link AND k.at <= m.at), false) AS delivered FROM m""")
+@query(""", m AS (SELECT client_id % 5 AS link, idx AS msg_id, us AS at FROM cmd0 WHERE op = 'GET'), k AS (SELECT client_id % 5 AS link, us AS at, op = 'PUT' AS opens FROM cmd0 WHERE op <> 'GET')
+SELECT msg_id, NOT coalesce(opens, false) AS delivered FROM m ASOF LEFT JOIN k ON m.link = k.link AND m.at >= k.at""")
 def message_delivery(spark, sf):
     c = src.raw_commands(spark, sf).withColumn("link", F.col("client_id") % 5)
-    cuts = c.where("idx % 2 = 0").select("link", F.col("us").alias("at"), F.col("idx").alias("ord"), (F.col("idx") % 4 == 0).alias("opens"))
-    return faults.deliverable(c.where("idx % 2 = 1").select(F.col("idx").alias("msg_id"), "link", F.col("us").alias("at")), cuts)
+    cuts = c.where("op <> 'GET'").select("link", F.col("us").alias("at"), F.col("idx").alias("ord"), (F.col("op") == "PUT").alias("opens"))
+    return faults.deliverable(c.where("op = 'GET'").select(F.col("idx").alias("msg_id"), "link", F.col("us").alias("at")), cuts)
 
 
 @query()
@@ -665,11 +721,19 @@ def generated_schedule_shape(spark, sf):
     return per.agg((F.min("n") - 2).alias("least"), (F.max("n") - 2).alias("most"), F.count(F.lit(1)).alias("seeds"), F.min("pairs").alias("pairs_least"))
 
 
-@query("SELECT rule FROM (VALUES ('generator version'), ('scripted seed')) t(rule)", raw=True)
+@query(""", m AS (SELECT idx, 1 + key % 2 AS a, 4 + key % 2 AS g, idx % 3 = 0 OR key = 0 AS s, client_id % 5 = 0 AS p, CASE WHEN key % 7 = 0 THEN upper(op) || '.json' ELSE lower(op) || '.json' END AS n FROM cmd0)
+SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN a <> 1 THEN 'artifact version' END, CASE WHEN g <> 5 THEN 'generator version' END, CASE WHEN s THEN 'scripted seed' END,
+  CASE WHEN p THEN 'pinned seed' END, CASE WHEN NOT regexp_full_match(n, '[a-z0-9-]+[.]json') THEN 'schedule name' END], lambda x: x IS NOT NULL)) AS rule FROM m) GROUP BY rule""")
 def corpus_violations(spark, sf):
-    m = spark.sql("""SELECT 1 AS artifact_version, 4 AS generator_version, array(named_struct('name', 'a', 'seed', 0L, 'schedule', 'a.json')) AS scripted,
-      named_struct('name', 'p', 'seed', 7L, 'schedule', 'pinned.json') AS pinned""")
-    return documents.corpus_violations(m)
+    """A corpus manifest a command; how often each rule is broken."""
+    c = src.raw_commands(spark, sf)
+    entry = lambda seed, name: F.struct(F.lit("x").alias("name"), seed.cast("long").alias("seed"), name.alias("schedule"))
+    name = F.concat(F.when(c.key % 7 == 0, c.op).otherwise(F.lower(c.op)), F.lit(".json"))
+    m = c.select(
+        (1 + c.key % 2).alias("artifact_version"), (4 + c.key % 2).alias("generator_version"),
+        F.array(entry(c.idx % 3, name), entry(c.key, name)).alias("scripted"), entry(c.client_id % 5, name).alias("pinned"),
+    )
+    return documents.corpus_violations(m).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Benchmarks.
@@ -698,15 +762,29 @@ def _rows(spark, values: str, schema: str) -> DataFrame:
     return raw.select(*[F.col(n).cast(p.split()[1]).alias(n) for n, p in zip(names, schema.split(", "))])
 
 
-@query(f"""SELECT f AS flush_threshold_bytes, median(o) AS median, min(o) AS min, max(o) AS max FROM (SELECT c2 AS f, c3 * 1e9 / c4 AS o FROM (VALUES {WRITE_ROWS}) t(c0, c1, c2, c3, c4) WHERE c4 > 0) GROUP BY f""", raw=True)
+@query("""SELECT f AS flush_threshold_bytes, median(o) AS median, min(o) AS min, max(o) AS max
+FROM (SELECT (65536 << ((o_custkey % 4) * 2)::INTEGER)::INTEGER AS f, (o_orderkey % 100000 + 1) * 1e9 / (round(o_totalprice * 100)::BIGINT + 1) AS o FROM orders) GROUP BY f""", raw=True)
 def write_throughput(spark, sf):
-    return benchmarks.throughput(_rows(spark, WRITE_ROWS, schemas.WRITE_ROW).where("elapsed_ns > 0"))
+    """Every order as a measured trial of one of four thresholds."""
+    o = src.table(spark, sf, "orders")
+    rows = o.select(
+        F.element_at(F.array(*[F.lit(65536 << 2 * i) for i in range(4)]), (o.o_custkey % 4 + 1).cast("int")).alias("flush_threshold_bytes"),
+        (o.o_orderkey % 100000 + 1).alias("operations"), (F.round(o.o_totalprice * 100).cast("long") + 1).alias("elapsed_ns"),
+    )
+    return benchmarks.throughput(rows)
 
 
-@query(f"""SELECT c0 AS trial, (c6 + c7) / c5::DOUBLE AS write_amp, c10 / c8::DOUBLE AS bytes_per_read, c9 / c8::DOUBLE AS calls_per_read, c12 / c11::DOUBLE AS space_amp
-FROM (VALUES {AMP_ROWS}) t(c0, c1, c2, c3, c4, c5, c6, c7, c8, c9, c10, c11, c12, c13)""", raw=True)
+@query("""SELECT l_suppkey AS trial, (sum(l_partkey) + sum(l_linenumber)) / sum(l_orderkey) AS write_amp, sum(l_partkey) / count(*) AS bytes_per_read, sum(l_linenumber) / count(*) AS calls_per_read,
+ max(l_partkey) / (min(l_partkey) + 1) AS space_amp FROM lineitem GROUP BY l_suppkey""", raw=True)
 def amplification(spark, sf):
-    return benchmarks.amplification(_rows(spark, AMP_ROWS, schemas.AMPLIFICATION_ROW))
+    """A trial a supplier, with sums over its line items as counters."""
+    li = src.table(spark, sf, "lineitem")
+    rows = li.groupBy(li.l_suppkey.alias("trial")).agg(
+        F.sum("l_partkey").alias("sstable_write_bytes"), F.sum("l_linenumber").alias("manifest_write_bytes"), F.sum("l_orderkey").alias("logical_user_write_bytes"),
+        F.sum("l_partkey").alias("sstable_read_bytes"), F.sum("l_linenumber").alias("sstable_read_calls"), F.count(F.lit(1)).alias("read_operations"),
+        F.max("l_partkey").alias("referenced_sstable_bytes"), (F.min("l_partkey") + 1).alias("logical_live_bytes"),
+    )
+    return benchmarks.amplification(rows)
 
 
 @query(f"""SELECT c2 AS inserted_keys, sum(c6) / sum(c3) AS measured, round(pow(1 - exp(-7.0 * c2 / max(c4)), 7), 12) AS theory FROM (VALUES {BLOOM_ROWS}) t(c0, c1, c2, c3, c4, c5, c6, c7) GROUP BY c2""", raw=True)
@@ -723,13 +801,22 @@ def height_histogram(spark, sf):
     return h.select("height", F.round("measured", 12).alias("measured"), F.round("theory", 12).alias("theory"))
 
 
-@query("""SELECT family, cell, rule FROM (VALUES ('write_throughput', '2/65536', 'seed'), ('write_throughput', '1/65536', 'elapsed'), ('write_throughput', '1/128', 'seed'),
-('write_throughput', '1/128', 'operations'), ('write_throughput', '1/65536', 'duplicate cell'), ('write_throughput', '2/65536', 'unexpected cell'), ('write_throughput', '1/128', 'unexpected cell'),
-('amplification', '2', 'seed'), ('amplification', '2', 'split'), ('amplification', '2', 'logical bytes'), ('amplification', '2', 'reads'), ('amplification', '2', 'live bytes'),
-('amplification', '2', 'compactions'), ('amplification', '2', 'sstable_write_bytes is zero'), ('amplification', '2', 'unexpected cell')) t(family, cell, rule)""", raw=True)
+@query("""WITH w AS (SELECT (o_custkey % 2 + 1)::INTEGER AS trial, (o_custkey % 3)::INTEGER AS seed, (65536 << (o_orderkey % 5 * 3)::INTEGER)::INTEGER AS f, 1998 + o_custkey % 4 AS n, o_orderkey % 9 AS ns, trial || '/' || f AS cell FROM orders),
+want AS (SELECT unnest(['1/65536', '1/4194304']) AS cell)
+SELECT rule, cell, count(*) AS n FROM (
+  SELECT cell, unnest(list_filter([CASE WHEN trial <> 1 OR seed <> 1 THEN 'seed' END, CASE WHEN n <> 2000 THEN 'operations' END, CASE WHEN ns <= 0 THEN 'elapsed' END], lambda x: x IS NOT NULL)) AS rule FROM w
+  UNION ALL SELECT cell, CASE WHEN want.cell IS NULL THEN 'unexpected cell' ELSE 'duplicate cell' END FROM (SELECT cell, count(*) AS n FROM w GROUP BY cell) h LEFT JOIN want USING (cell) WHERE want.cell IS NULL OR n > 1
+  UNION ALL SELECT cell, 'missing cell' FROM want WHERE cell NOT IN (SELECT cell FROM w)) GROUP BY ALL""", raw=True)
 def bench_matrix_violations(spark, sf):
-    w = benchmarks.write_violations(_rows(spark, WRITE_ROWS, schemas.WRITE_ROW), benchmarks.SMOKE)
-    return w.unionByName(benchmarks.amplification_violations(_rows(spark, AMP_ROWS, schemas.AMPLIFICATION_ROW), benchmarks.SMOKE))
+    """Orders as rows of the write family, held to the smoke profile; how often each cell breaks each
+    rule."""
+    o = src.table(spark, sf, "orders")
+    rows = o.select(
+        (o.o_custkey % 2 + 1).cast("int").alias("trial"), (o.o_custkey % 3).cast("int").alias("seed"),
+        F.element_at(F.array(*[F.lit(65536 << 3 * i) for i in range(5)]), (o.o_orderkey % 5 + 1).cast("int")).alias("flush_threshold_bytes"),
+        (1998 + o.o_custkey % 4).cast("int").alias("operations"), (o.o_orderkey % 9).alias("elapsed_ns"),
+    )
+    return benchmarks.write_violations(rows, benchmarks.SMOKE).groupBy("rule", "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT family, n FROM (VALUES ('write_throughput', 20), ('point_read', 80), ('bloom', 15), ('amplification', 5), ('compaction_pause', 5), ('skiplist', 5)) t(family, n)", raw=True)
@@ -784,9 +871,115 @@ def seed_campaign(spark, sf):
     return campaign.aggregate(campaign.summaries(spark, 20)).select("seeds", "failed", "operations")
 
 
+@query(""", h AS (SELECT id // 500 AS seed, * FROM oper),
+pt AS (SELECT seed, invoke AS at, 1 AS d FROM h UNION ALL SELECT seed, ret, -1 FROM h WHERE ret IS NOT NULL),
+lvl AS (SELECT seed, sum(d) OVER (PARTITION BY seed ORDER BY at, d DESC ROWS UNBOUNDED PRECEDING) AS l FROM pt),
+hit AS (SELECT f.id // 500 AS seed, count(*) AS n FROM oper f WHERE op = 'DELETE' AND EXISTS (SELECT 1 FROM h WHERE h.seed = f.id // 500 AND h.invoke < f.invoke + 1 AND (h.ret IS NULL OR h.ret >= f.invoke + 1)) GROUP BY 1)
+SELECT h.seed, count(*) AS logical, count(ret) AS completed, count(*) - count(ret) AS open, count(*) FILTER (op = 'PUT') AS puts, count(*) FILTER (op = 'GET') AS gets, count(*) FILTER (op = 'DELETE') AS deletes,
+  sum(CASE WHEN ret IS NULL THEN 2 ELSE greatest(ret - 1 - invoke, 0) // 60000000 + 1 END)::BIGINT AS attempts, (SELECT max(l)::BIGINT FROM lvl WHERE lvl.seed = h.seed) AS max_concurrent,
+  coalesce((SELECT n FROM hit WHERE hit.seed = h.seed), 0) AS faults_in_flight FROM h GROUP BY h.seed""")
+def run_summaries(spark, sf):
+    """The counters of a run, for histories of 500 operations: overlap, attempts (one a minute until
+    the return), open operations, and errors as faults."""
+    from . import campaign
+
+    seed = F.floor(F.col("id") / 500).alias("seed")
+    h = src.operations(spark, sf).select(seed, "id", "client_id", "op", "invoke", "ret")
+    fired = h.where("op = 'DELETE'").select("seed", F.col("id").alias("ordinal"), (F.col("invoke") + 1).alias("at"))
+    return campaign.summarise(h, campaign.attempts(h, 60_000_000), fired)
+
+
+@query("""SELECT node, idx, term, CASE WHEN term IS NULL THEN 'beyond the log' ELSE 'held' END AS state FROM (SELECT unnest(range(0, 5)) AS node, idx FROM (SELECT idx + 100 AS idx FROM cmd0)) LEFT JOIN node_log USING (node, idx)""")
+def log_term_at_index(spark, sf):
+    """The term that each node's log has at an index, for as many indexes as there are entries."""
+    c = src.raw_commands(spark, sf)
+    asked = c.select(F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>")).alias("node"), (c.idx + 100).alias("idx"))
+    return consensus.term_at(asked, src.node_logs(spark, sf))
+
+
+@query("SELECT node, max(idx) AS last_index, arg_max(term, idx) AS last_term FROM node_log GROUP BY node")
+def log_last_term(spark, sf):
+    return consensus.last_terms(src.node_logs(spark, sf))
+
+
 # Functions.
 
 
+@query("""SELECT event_id AS id, lower(lpad(hex(event_id), 32, '0')) AS k, repeat(lower(lpad(hex((event_id + user_id + 13) % 256), 2, '0')), 128) AS v,
+  round(0.5 + 1.5 * (event_id % 100) / 100, 6) AS m, greatest(1, round(1000 / (0.5 + 1.5 * (event_id % 100) / 100)))::BIGINT AS delay,
+  least(16, 1 + floor(ln((event_id % 997 + 0.5) / 1000) / ln(0.25)))::INTEGER AS height FROM events""", raw=True)
+def fixed_keys_and_draws(spark, sf):
+    """Fixed-width keys and values, skewed clocks and tower heights."""
+    e = src.table(spark, sf, "events")
+    m = scalars.clock_multiplier((e.event_id % 100) / 100)
+    return e.select(
+        e.event_id.alias("id"), F.lower(F.hex(scalars.fixed_key(e.event_id))).alias("k"), F.lower(F.hex(scalars.fixed_value(e.event_id, e.user_id))).alias("v"),
+        F.round(m, 6).alias("m"), scalars.tick_delay(F.lit(1000), m).alias("delay"), scalars.tower_height((e.event_id % 997 + 0.5) / 1000).alias("height"),
+    )
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS repeated FROM (SELECT DISTINCT user_id, event_id % 5 FROM events)", raw=True)
+def mixed_seeds(spark, sf):
+    """Seeds of (seed, node) pairs: as many as pairs."""
+    e = src.table(spark, sf, "events").select("user_id", (F.col("event_id") % 5).alias("node")).distinct()
+    return e.select(scalars.mixed_seed(F.col("user_id"), F.col("node")).alias("s")).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("s")).alias("repeated"))
+
+
+@query("""SELECT event_id AS id, string_agg(lower(lpad(hex(CASE WHEN (n >> (7 * i)) > 127 THEN (n >> (7 * i)) % 128 + 128 ELSE n >> (7 * i) END), 2, '0')), '' ORDER BY i) AS b
+FROM (SELECT event_id, event_id * 7919 AS n FROM events), range(0, 6) t(i) WHERE i = 0 OR (n >> (7 * i)) > 0 GROUP BY event_id""", raw=True)
+def uvarint_rows(spark, sf):
+    e = src.table(spark, sf, "events")
+    return e.select(e.event_id.alias("id"), F.lower(F.hex(hashing.uvarint(e.event_id * 7919))).alias("b"))
+
+
+@query("SELECT idx // 100 AS segment, idx % 100 AS ord, op || ' ' || key AS payload FROM cmd0")
+def framed_log_round_trip(spark, sf):
+    """The command log appended as framed segments of 100 records, and read back."""
+    from ..sources import binary_log
+
+    c = src.raw_commands(spark, sf)
+    path = _work_dir(spark, "framed")
+    binary_log.append_segments(c.select(F.floor(c.idx / 100).alias("segment"), c.idx.alias("ord"), F.concat_ws(" ", "op", "key").cast("binary").alias("payload")), path)
+    return binary_log.read_appended(spark, path).select(F.col("segment").cast("long").alias("segment"), "ord", F.col("payload").cast("string").alias("payload"))
+
+
+@query("""SELECT l_suppkey AS trial, 1::INTEGER AS seed, count(*)::INTEGER AS inserted_keys, sum(l_linenumber)::INTEGER AS probe_keys, sum(l_partkey) AS m_bits, 7::BIGINT AS k, 0::BIGINT AS false_positives, 0::BIGINT AS false_negatives
+FROM lineitem GROUP BY l_suppkey""", raw=True)
+def bench_document_round_trip(spark, sf):
+    """Rows of a benchmark family written as JSON lines and read strictly."""
+    li = src.table(spark, sf, "lineitem")
+    rows = li.groupBy(li.l_suppkey.cast("int").alias("trial")).agg(
+        F.lit(1).alias("seed"), F.count(F.lit(1)).cast("int").alias("inserted_keys"), F.sum("l_linenumber").cast("int").alias("probe_keys"), F.sum("l_partkey").alias("m_bits"),
+        F.lit(7).cast("long").alias("k"), F.lit(0).cast("long").alias("false_positives"), F.lit(0).cast("long").alias("false_negatives"),
+    )
+    path = _work_dir(spark, "bench")
+    documents.write_bench(rows, path)
+    return documents.read_bench(spark, path, "bloom").withColumn("trial", F.col("trial").cast("long"))
+
+
+@query(""", e AS (SELECT idx, client_id, op, CASE op WHEN 'PUT' THEN 'start' WHEN 'GET' THEN 'applied' ELSE 'deadline' END AS kind, row_number() OVER (PARTITION BY client_id ORDER BY idx) AS r FROM cmd0),
+walk AS (SELECT client_id, idx, r, CASE WHEN kind = 'start' THEN 'waiting' ELSE 'idle' END AS phase, CASE WHEN kind = 'start' THEN 'submit' ELSE 'ignored' END AS action FROM e WHERE r = 1 UNION ALL
+  SELECT e.client_id, e.idx, e.r,
+    CASE WHEN w.phase = 'idle' AND e.kind = 'start' THEN 'waiting' WHEN w.phase = 'waiting' AND e.kind = 'applied' THEN 'idle' WHEN w.phase = 'waiting' AND e.kind = 'deadline' THEN 'retrying'
+      WHEN w.phase = 'retrying' AND e.kind = 'start' THEN 'waiting' ELSE w.phase END,
+    CASE WHEN w.phase = 'idle' AND e.kind = 'start' THEN 'submit' WHEN w.phase = 'waiting' AND e.kind = 'applied' THEN 'complete' WHEN w.phase = 'waiting' AND e.kind = 'deadline' THEN 'schedule-retry'
+      WHEN w.phase = 'retrying' AND e.kind = 'start' THEN 'submit' ELSE 'ignored' END
+  FROM walk w JOIN e ON e.client_id = w.client_id AND e.r = w.r + 1)
+SELECT client_id, idx AS ord, action FROM walk""")
+def stream_sessions(spark, sf):
+    """The session automaton over a stream: PUTs start an operation (or retry one that waits for it),
+    GETs apply what is in flight, errors are its deadline."""
+    from ..streaming import sessions
+
+    path = _work_dir(spark, "session-input")
+    c = src.raw_commands(spark, sf)
+    kind = F.when(c.op == "PUT", "start").when(c.op == "GET", "applied").otherwise("deadline")
+    events = c.select("client_id", c.idx.alias("ord"), kind.alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("generation"))
+    events.write.parquet(path)
+    stream = spark.readStream.schema(sessions.SESSION_EVENT).parquet(path)
+    return sessions.run_to_files(spark, sessions.session_automaton(stream), _work_dir(spark, "stream"), "append", _work_dir(spark, "checkpoint"))
+
+
 @query("""SELECT event_id AS id, printf('%06d.sst', event_id) AS name, lower(hex(event_id)) AS k, lower(to_base(event_id, 36)) AS b36, greatest(1, event_id - 50) AS pos,
  replace(replace(event_type || '&<', '&', '&amp;'), '<', '&lt;') AS esc FROM events""", raw=True)
 def scalar_functions(spark, sf):
@@ -828,12 +1021,14 @@ def utc_timestamps(spark, sf):
     return t.select("id", scalars.is_utc_timestamp(F.col("x")).alias("ok"))
 
 
-@query()
+@query("""SELECT event_id, crc FROM (SELECT event_id, list_reduce(flatten(list_transform(range(1, length(props) + 1), lambda i: [ascii(props[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 2197175160) END, 4294967295::BIGINT) AS c, xor(c, 4294967295) AS crc FROM events)""", raw=True)
 def crc32c_rows(spark, sf):
     return src.table(spark, sf, "events").select("event_id", hashing.crc32c(F.col("props").cast("binary")).alias("crc"))
 
 
-@query()
+@query("""SELECT event_id, printf('%016x', h::UBIGINT) AS h FROM (SELECT event_id, list_reduce(list_transform(range(1, length(props) + 1), lambda i: ascii(props[i])::HUGEINT),
+  lambda a, x: (xor(a, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM events)""", raw=True)
 def fnv1a_rows(spark, sf):
     return src.table(spark, sf, "events").select("event_id", hashing.fnv1a64(F.col("props").cast("binary")).alias("h"))
 
@@ -842,8 +1037,8 @@ def fnv1a_rows(spark, sf):
 def bloom_membership(spark, sf):
     """Each run's filter holds each of the run's keys: no false negatives."""
     v = src.versions(spark, sf).select("file", F.col("key").cast("string").cast("binary").alias("k")).distinct()
-    filters = hashing.bloom_filters(v, "file", "k")
-    return v.join(filters, "file").agg(F.count(F.lit(1)).alias("keys"), F.count_if(hashing.may_contain("filter", "k")).alias("hits"))
+    found = hashing.may_contain(v, hashing.bloom_filters(v, "file", "k"), "file", "k")
+    return found.agg(F.count(F.lit(1)).alias("keys"), F.count_if("hit").alias("hits"))
 
 
 # Store and streams.
@@ -857,8 +1052,7 @@ def store_flush_compact_read(spark, sf):
     v = src.versions(spark, sf).select(F.col("key").cast("string").alias("key"), "seq", "value", "tombstone")
     store = RunStore(spark, _work_dir(spark, "store"))
     top = v.agg(F.max("seq")).first()[0] or 0
-    for i in range(1, 9):
-        store.flush(v, top * i // 8)
+    store.flush(v, *[top * i // 8 for i in range(1, 9)])
     store.compact()
     return store.read().select("key", "seq", "value")
 
@@ -875,12 +1069,16 @@ def _work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Files that each part of a stream's input is written in, and that one micro-batch takes.
+STREAM_FILES = 4
+
+
 def _stream_input(spark, sf, files: int = 4) -> str:
     path = _work_dir(spark, "stream-input")
     c = src.commands(spark, sf).select("idx", "client_id", "seq", "op", "key", "value")
     n = c.agg(F.max("idx")).first()[0] + 1
-    for i in range(files):  # files arrive in log order
-        c.where((F.col("idx") >= n * i // files) & (F.col("idx") < n * (i + 1) // files)).coalesce(1).write.mode("append").parquet(path)
+    for i in range(files):  # parts arrive in log order
+        c.where((F.col("idx") >= n * i // files) & (F.col("idx") < n * (i + 1) // files)).repartition(STREAM_FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -888,16 +1086,16 @@ def _stream_input(spark, sf, files: int = 4) -> str:
 def stream_latest_state(spark, sf):
     from ..streaming import sessions
 
-    stream = sessions.command_stream(spark, _stream_input(spark, sf))
-    return sessions.run_to_table(spark, sessions.live_state(stream), f"live_{abs(hash(sf)) % 10**6}", "complete", _work_dir(spark, "checkpoint"))
+    stream = sessions.command_stream(spark, _stream_input(spark, sf), per_trigger=STREAM_FILES)
+    return sessions.run_to_files(spark, sessions.live_state(stream), _work_dir(spark, "stream"), "complete", _work_dir(spark, "checkpoint"))
 
 
 @query(DEDUP + "SELECT idx, client_id, seq, duplicate FROM flag")
 def stream_exactly_once(spark, sf):
     from ..streaming import sessions
 
-    stream = sessions.command_stream(spark, _stream_input(spark, sf))
-    return sessions.run_to_table(spark, sessions.exactly_once(stream), f"once_{abs(hash(sf)) % 10**6}", "append", _work_dir(spark, "checkpoint"))
+    stream = sessions.command_stream(spark, _stream_input(spark, sf), per_trigger=STREAM_FILES)
+    return sessions.run_to_files(spark, sessions.exactly_once(stream), _work_dir(spark, "stream"), "append", _work_dir(spark, "checkpoint"))
 
 
 def queries() -> dict[str, Query]:

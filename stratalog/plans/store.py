@@ -5,14 +5,14 @@ row-group bounds; the manifest is a table of edits, one file a commit, written a
 names. Readers take the live files of the manifest, so an unfinished write is never seen. A store
 holds a snapshot of the manifest (a row a live file) and updates it with its own commits, so it is
 the only writer; other readers open a store of their own. Data stays distributed, and what the
-manifest says of a file (bounds, count) is observed while the file is written.
+manifest says of a file (bounds, count) is aggregated from what was written.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.runs import FAN_IN, live_files
@@ -62,7 +62,7 @@ class RunStore:
                 self._files[row[2]] = row
             if row[7] is not None:
                 self._flushed = max(self._flushed, row[7])
-        self._ord = rows[0][0]
+        self._ord = max(r[0] for r in rows)
 
     def _exists(self, name: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -71,52 +71,70 @@ class RunStore:
 
     # Data.
 
-    def _write(self, rows: DataFrame, number: int) -> tuple:
-        """name, min_key, max_key, n of the file written."""
+    def _write(self, rows: DataFrame, number: int) -> list[tuple]:
+        """(part, name, min_key, max_key, n) of the files written, one a value of ``part`` (a whole
+        number), all by one job. Rows are dealt by part and key range, and sorted."""
         name = f"{number:06d}-{uuid.uuid4().hex[:8]}"
-        seen = Observation()
+        path = f"{self.path}/data/{name}"
         (
-            rows.repartitionByRange("key").sortWithinPartitions("key", F.desc("seq"))
-            .observe(seen, F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n"))
-            .write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/data/{name}")
+            rows.repartitionByRange("part", "key").sortWithinPartitions("part", "key", F.desc("seq"))
+            .write.option("parquet.bloom.filter.enabled#key", "true").partitionBy("part").parquet(path)
         )
-        got = seen.get
-        return name, got["lo"], got["hi"], got["n"]
+        written = self.spark.read.schema(f"{VERSION}, part long").parquet(path)
+        bounds = written.groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n"))
+        return [(r["part"], f"{name}/part={r['part']}", r["lo"], r["hi"], r["n"]) for r in bounds.orderBy("part").collect()]  # a row a file
 
     def _read(self, files: list[str]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], VERSION)
         return self.spark.read.schema(VERSION).parquet(*[f"{self.path}/data/{f}" for f in files])
 
-    def flush(self, log: DataFrame, through: int, tier: int = 0) -> None:
-        """Write the winners of the versions above the flushed index, up to ``through``. An empty
-        flush still moves the index (its empty file is left to vacuum); one that would set it back
-        is an error."""
-        if through < self._flushed:
+    def flush(self, log: DataFrame, *through: int, tier: int = 0) -> None:
+        """Write the winners of the versions above the flushed index, up to ``through``; of several
+        bounds, each ends a generation with a file of its own, and all are written by one job. An
+        empty generation still moves the index; one that would set it back is an error."""
+        if min(through) < self._flushed or list(through) != sorted(through):
             raise ValueError(f"flush through {through} is below the flushed index {self._flushed}")
-        rows = latest_versions(log.where((F.col("seq") > self._flushed) & (F.col("seq") <= through))).select("key", "seq", "value", "tombstone")
+        new = log.where((F.col("seq") > self._flushed) & (F.col("seq") <= through[-1]))
+        part = sum((F.col("seq") > t).cast("long") for t in through[:-1]) if len(through) > 1 else F.lit(0).cast("long")
+        rows = latest_versions(new.withColumn("part", part), ["part", "key"]).select("part", "key", "seq", "value", "tombstone")
         number = self._ord + 1
-        name, lo, hi, n = self._write(rows, number)
-        self._commit([(number, "add", name, tier, lo, hi, n, through) if n else (number, "advance", None, None, None, None, None, through)])
+        found = {r[0]: r for r in self._write(rows, number)}
+        edits = []
+        for i, top in enumerate(through):
+            if i in found:
+                _, name, lo, hi, n = found[i]
+                edits.append((number + i, "add", name, tier, lo, hi, n, top))
+            else:
+                edits.append((number + i, "advance", None, None, None, None, None, top))
+        self._commit(edits)
 
     def compact(self) -> int:
         """Merge FAN_IN files of the lowest tier that has as many into one of the next tier, until
-        no tier has. Tombstones are kept: an older version may lie in a run outside the merge."""
-        rounds = 0
+        no tier has; the merges of a tier are one job. Tombstones are kept: an older version may
+        lie in a run outside the merge."""
+        merges = 0
         while True:
             tiers: dict[int, list[str]] = {}
             for row in self._files.values():
                 tiers.setdefault(row[3], []).append(row[2])
             full = [t for t, names in tiers.items() if len(names) >= FAN_IN]
             if not full:
-                return rounds
+                return merges
             tier = min(full)
-            files = sorted(tiers[tier])[:FAN_IN]
+            names = sorted(tiers[tier])
+            groups = [names[i : i + FAN_IN] for i in range(0, len(names) - FAN_IN + 1, FAN_IN)]
+            rows = None
+            for i, group in enumerate(groups):
+                part = self._read(group).withColumn("part", F.lit(i).cast("long"))
+                rows = part if rows is None else rows.unionByName(part)
             number = self._ord + 1
-            name, lo, hi, n = self._write(latest_versions(self._read(files)).select("key", "seq", "value", "tombstone"), number)
-            removed = [(number, "remove", f, None, None, None, None, None) for f in files]
-            self._commit([*removed, (number, "add", name, tier + 1, lo, hi, n, None)])
-            rounds += 1
+            edits = []
+            for i, name, lo, hi, n in self._write(latest_versions(rows, ["part", "key"]).select("part", "key", "seq", "value", "tombstone"), number):
+                edits += [(number + i, "remove", f, None, None, None, None, None) for f in groups[i]]
+                edits.append((number + i, "add", name, tier + 1, lo, hi, n, None))
+            self._commit(edits)
+            merges += len(groups)
 
     def versions(self, key: str | None = None) -> DataFrame:
         """All live versions; with a key, of the runs whose bounds hold it, by a pushed-down filter."""
@@ -133,8 +151,15 @@ class RunStore:
         root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
         fs = root.getFileSystem(conf)
         gone = []
-        for status in fs.listStatus(root) if fs.exists(root) else []:
-            if status.getPath().getName() not in self._files:
-                gone.append(status.getPath().getName())
-                fs.delete(status.getPath(), True)
+        for folder in fs.listStatus(root) if fs.exists(root) else []:
+            name, held = folder.getPath().getName(), 0
+            for part in fs.listStatus(folder.getPath()):
+                file = f"{name}/{part.getPath().getName()}"
+                if file in self._files:
+                    held += 1
+                elif part.isDirectory():
+                    gone.append(file)
+                    fs.delete(part.getPath(), True)
+            if not held:
+                fs.delete(folder.getPath(), True)
         return sorted(gone)

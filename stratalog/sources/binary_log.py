@@ -38,13 +38,31 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes | None, bool]]:
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """segment, ord, offset, payload, terminated of every frame of segment-<n>.wal files."""
+    files = spark.read.format("binaryFile").load(f"{path}/segment-*.wal")
+    return _frames(files.select(F.regexp_extract("path", r"segment-(\d+)\.wal$", 1).alias("segment"), "content"))
 
+
+def _frames(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(int(s), i, *f) for s, data in zip(pdf["segment"], pdf["content"]) for i, f in enumerate(frames(bytes(data)))]
             yield pd.DataFrame(rows, columns=["segment", "ord", "offset", "payload", "terminated"])
 
-    files = spark.read.format("binaryFile").load(f"{path}/segment-*.wal").select(
-        F.regexp_extract("path", r"segment-(\d+)\.wal$", 1).alias("segment"), "content"
-    )
-    return files.mapInPandas(run, "segment int, ord long, offset long, payload binary, terminated boolean")
+    return segments.mapInPandas(run, "segment int, ord long, offset long, payload binary, terminated boolean")
+
+
+def append_segments(rows: DataFrame, path: str) -> None:
+    """Append records to a framed log: a segment is one binary value of its frames in order, written
+    with its number. rows: segment, ord, payload; a segment is bounded by the log's rotation. The
+    write is one commit: it appears whole or not at all."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = b"".join(frame(bytes(p)) for p in pdf.sort_values("ord")["payload"])
+        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "content": [data]})
+
+    rows.groupBy("segment").applyInPandas(run, "segment long, content binary").write.mode("append").parquet(path)
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """segment, ord, offset, payload, terminated of every frame that append_segments wrote."""
+    return _frames(spark.read.schema("segment long, content binary").parquet(path))

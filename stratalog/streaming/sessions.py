@@ -55,9 +55,10 @@ SESSION_EVENT = "client_id long, ord long, kind string, seq long, generation lon
 
 
 def session_automaton(stream: DataFrame) -> DataFrame:
-    """client_id, ord, action of each session event: submit and retry start an attempt, applied
-    completes it, a deadline of the current generation or a lost leader asks for a retry, and
-    events of an older generation are ignored."""
+    """client_id, ord, action of each session event: start (when idle, or when a retry is due) and
+    retry start an attempt, applied completes it, a deadline of the current generation or a lost
+    leader asks for a retry, and events of an older generation or sequence are ignored. An event
+    without a sequence or a generation concerns the current one."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         phase, seq, generation = state.get if state.exists else ("idle", 0, 0)
@@ -66,11 +67,11 @@ def session_automaton(stream: DataFrame) -> DataFrame:
             action = "ignored"
             if row.kind == "start" and phase == "idle":
                 phase, seq, generation, action = "waiting", seq + 1, generation + 1, "submit"
-            elif row.kind == "applied" and phase == "waiting" and row.seq == seq:
+            elif row.kind == "applied" and phase == "waiting" and (pd.isna(row.seq) or row.seq == seq):
                 phase, action = "idle", "complete"
-            elif phase == "waiting" and row.kind in ("deadline", "leadership-lost") and row.generation == generation:
+            elif phase == "waiting" and row.kind in ("deadline", "leadership-lost") and (pd.isna(row.generation) or row.generation == generation):
                 phase, action = "retrying", "schedule-retry"
-            elif row.kind == "retry" and phase == "retrying":
+            elif row.kind in ("retry", "start") and phase == "retrying":
                 phase, generation, action = "waiting", generation + 1, "submit"
             out.append((key[0], row.ord, action))
         state.update((phase, seq, generation))
@@ -98,8 +99,18 @@ def apply_batches(stream: DataFrame, store, checkpoint: str):
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(spark: SparkSession, frame: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a finite stream to its end into an in-memory table: for tests and small results."""
-    query = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def run_to_files(spark: SparkSession, frame: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Run a finite stream to its end into Parquet files, and read them: all rows in append mode, the
+    last result in complete mode."""
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        last[:] = [number]
+
+    out = frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").start(path).awaitTermination()
+        return spark.read.schema(frame.schema).parquet(path)
+    out.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{path}/{last[0]}")

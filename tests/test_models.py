@@ -256,7 +256,7 @@ def test_stream_sessions(spark, tmp_path):
     rows = [(1, 1, "start", 0, 0), (1, 2, "deadline", 0, 9), (1, 3, "deadline", 0, 1), (1, 4, "retry", 0, 0), (1, 5, "applied", 1, 0), (1, 6, "applied", 1, 0)]
     spark.createDataFrame(rows, sessions.SESSION_EVENT).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = sessions.command_stream(spark, str(tmp_path / "in"), sessions.SESSION_EVENT)
-    out = sessions.run_to_table(spark, sessions.session_automaton(stream), "sessions", "append", str(tmp_path / "cp"))
+    out = sessions.run_to_files(spark, sessions.session_automaton(stream), str(tmp_path / "out"), "append", str(tmp_path / "cp"))
     assert [r["action"] for r in out.orderBy("ord").collect()] == ["submit", "ignored", "schedule-retry", "submit", "complete", "ignored"]
 
 
