@@ -410,7 +410,7 @@ def test_katz(docs, empty):
     from pyspark.sql import functions as F
 
     rows = fixture_rows()
-    got = lm_scoring.katz_scores(docs, F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False)), block=500).collect()
+    got = lm_scoring.katz_scores(docs, F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False)), block=500, orders=2).collect()
     assert len(got) == len(rows)
     held = lambda i: i is not None and i % 10 == 0
     uni, bi, ctx, texts = collections.Counter(), collections.Counter(), collections.Counter(), []
