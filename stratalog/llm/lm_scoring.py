@@ -25,7 +25,8 @@ the numbers asked for travel back:
 2. pairs of a block, by context -> partitions of the bigram table -> pair counts, and per context
    its counts of counts and the unigram mass of its followers;
 3. triples of a block whose two pairs occur twice or more (no other can occur twice), by context and
-   with the bigram probability of their last word -> partitions of the trigram table -> the same;
+   with what gives the bigram probability of their last word -> partitions of the trigram table ->
+   the same;
 4. each block scores its texts, order by order from the lowest.
 
 Partitions hold the tables, and write them (``tables``): words, and pairs and triples from a count
@@ -56,7 +57,7 @@ from .substring_dedup import _IS_SPACE, SLAB, _mix
 
 K = 5
 STORED = 2
-BLOCK = 800_000
+BLOCK = 1_000_000
 #: Bytes of text for each partition of the tables, about.
 PART_BYTES = 8 << 20
 #: The end of a text, as a word.
@@ -303,11 +304,11 @@ class Known:
         context = np.full(len(self.tok), -1)
         context[live] = self.ctx[live]
         h, w = h[order], w[order]
-        return Asked(h, np.full(len(h), -1), self.number[h], w, part[order], seen[order], dealt[order], self.c[w].astype(np.float64), token, context, width)
+        return Asked(h, np.full(len(h), -1), self.number[h], w, part[order], seen[order], dealt[order], self.c[w], np.zeros(width), token, context, width)
 
-    def triples(self, two: Asked, r: np.ndarray, p2: np.ndarray, parts: int, hot: int) -> Asked:
-        """The triples that may be stored; r: training counts of the pairs two, p2: the bigram
-        probability of each token."""
+    def triples(self, two: Asked, r: np.ndarray, whole: np.ndarray, parts: int, hot: int) -> Asked:
+        """The triples that may be stored; r: training counts of the pairs two, whole: what the counts
+        of each of their contexts are divided by."""
         width = self.begin + 1
         before = np.concatenate(([-1], two.token[:-1]))  # the pair of the two words before
         before[np.cumsum(self.lens) - self.lens] = -1
@@ -316,8 +317,8 @@ class Known:
         real = (pair >= 0) & (np.append(r, 0)[pair] >= STORED)
         own, at = np.unique(before[live] * width + np.where(real, self.tok[live], self.tok[-1]), return_inverse=True)
         seen = np.bincount(at[self.train[live] & real], minlength=len(own)).astype(np.uint32)
-        p = np.zeros(len(own))
-        np.maximum.at(p, at[real], p2[live[real]])
+        lower = np.zeros(len(own), np.int64)
+        lower[at[real]] = r[pair[real]]
         h, w = own // width, own % width
         u, v = self.number[two.h[h]], self.number[two.w[h]]
         part, dealt = self._deal(_mix(_mix(u.astype(np.uint64)) + v.astype(np.uint64)), r[h], w, parts, hot)
@@ -327,18 +328,19 @@ class Known:
         token, context = np.full(len(self.tok), -1), np.full(len(self.tok), -1)
         token[live[real]] = place[at[real]]
         context[live] = before[live]
-        return Asked(h[order], u[order], v[order], w[order], part[order], seen[order], dealt[order], p[order], token, context, len(r))
+        return Asked(h[order], u[order], v[order], w[order], part[order], seen[order], dealt[order], lower[order], whole[two.w], token, context, len(r))
 
 
 class Asked:
     """Pairs or triples of a block, sorted by part, context and word: the context in the block (h)
     and by its words' numbers (u, v), the word in the block (w), the part, the training count, whether
-    the context is dealt over several parts, and what the lower order says of the word; which of
-    them, and which context, each token has (-1: none); and how many contexts there are."""
+    the context is dealt over several parts, and the lower order's count of the word; for each context,
+    what that count is divided by; which of them, and which context, each token has (-1: none); and
+    how many contexts there are."""
 
-    def __init__(self, h, u, v, w, part, seen, dealt, lower, token, context, contexts):
+    def __init__(self, h, u, v, w, part, seen, dealt, lower, whole, token, context, contexts):
         self.h, self.u, self.v, self.w, self.part, self.seen, self.dealt = h, u, v, w, part, seen, dealt
-        self.lower, self.token, self.context, self.contexts = lower, token, context, contexts
+        self.lower, self.whole, self.token, self.context, self.contexts = lower, whole, token, context, contexts
 
     def rows(self, block: int, number: np.ndarray, parts: int) -> list[tuple]:
         out = []
@@ -347,7 +349,7 @@ class Asked:
             n = np.diff(np.append(first, y)).astype(np.uint32)
             out.append((
                 p, block, pack(self.u[first]), pack(self.v[first]), pack(self.dealt[first].astype(np.uint8)), pack(n),
-                pack(number[self.w[x:y]]), pack(self.lower[x:y]), pack(self.seen[x:y]),
+                pack(number[self.w[x:y]]), pack(self.lower[x:y]), pack(self.whole[self.h[first]].astype(np.int64)), pack(self.seen[x:y]),
             ))
         return out
 
@@ -371,7 +373,7 @@ class Asked:
         return r, of_counts, mass
 
 
-ASKED = "part int, block long, u binary, v binary, dealt binary, n binary, word binary, lower binary, seen binary"
+ASKED = "part int, block long, u binary, v binary, dealt binary, n binary, word binary, lower binary, whole binary, seen binary"
 
 
 def _unique_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,9 +385,11 @@ def _unique_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], at
 
 
-def _reduce(kind: int, least: int, mass_of):
-    """A part of the table of pairs or triples: it adds up the counts, stores those from ``least`` on,
-    and answers. mass_of: from ``lower`` to the lower order's probability of a word."""
+def _reduce(kind: int, lower_p):
+    """A part of the table of pairs or triples: it adds up the counts, and answers. Pairs back off if
+    they are not met, triples if they are not stored. lower_p(count, whole) is the lower order's
+    probability of a word."""
+    least = 1 if kind == 2 else STORED
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
@@ -398,13 +402,17 @@ def _reduce(kind: int, least: int, mass_of):
         pair, at = np.unique(np.repeat(ctx, np.concatenate(n)) * len(own_word) + word_at, return_inverse=True)
         del word_at
         r = np.bincount(at, np.concatenate([unpack(b, np.uint32) for b in pdf["seen"]]), len(pair)).astype(np.int64)
-        lower = np.zeros(len(pair))
-        np.maximum.at(lower, at, np.concatenate([unpack(b, np.float64) for b in pdf["lower"]]))
+        lower = np.zeros(len(pair), np.int64)
+        np.maximum.at(lower, at, np.concatenate([unpack(b, np.int64) for b in pdf["lower"]]))
+        whole = np.zeros(len(first), np.int64)
+        whole[ctx] = np.concatenate([unpack(b, np.int64) for b in pdf["whole"]])
         held = r >= least
         own = pair // len(own_word)
+        p = np.where(held, lower_p(lower, whole[own]), 0.0)
+        del lower
         start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         of_counts = np.stack([np.add.reduceat(((r == k) & held).astype(np.int64), start) for k in range(1, K + 1)] + [np.add.reduceat(np.where(held, r, 0), start)])
-        mass = np.add.reduceat(np.where(held, mass_of(lower), 0.0), start)
+        mass = np.add.reduceat(p, start)
         stats = np.bincount(np.minimum(r, K + 2), minlength=K + 3)[: K + 2]
         out = [(-1, kind, part, pack(np.append(stats, (r * (r >= STORED)).sum()).astype(np.int64)), None, None)]
         some = np.flatnonzero(r >= STORED)
@@ -438,11 +446,18 @@ class Model:
         self.d: dict[int, np.ndarray] = {}
         self.shared: dict[int, dict] = {}
 
+    def lower(self, order: int):
+        """The probability one order below, of words that it has met in the context."""
+        if order == 2:
+            return lambda count, _, p=self.unigrams: p(count)
+        return lambda count, whole, d=self.d[order - 1]: np.where(count <= K, d[np.minimum(count, K)], 1.0) * count / np.maximum(whole, 1)
+
     def known(self, row: pd.Series, answers: pd.DataFrame) -> Known:
         return Known(row, answers, self.parts, self.offsets, self.docs)
 
-    def step(self, order: int, asked: Asked, answers: pd.DataFrame, size: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of what was asked, and the probability of each token at this order. size: the counts
+    def step(self, order: int, asked: Asked, answers: pd.DataFrame, size: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of what was asked, the probability of each token at this order, and what the counts of
+        each context are divided by. size: the counts
         of contexts; lower: the probability of each token one order below."""
         own = answers[answers["kind"] == order]
         got = {int(p): (a, b, c) for p, a, b, c in zip(own["part"], own["a"], own["b"], own["c"])}
@@ -458,20 +473,20 @@ class Model:
         cut = np.where(count <= K, d[np.minimum(count, K)], 1.0)
         ctx = asked.context
         backed_off = np.append(alpha, 1.0)[ctx] * lower
-        return r, np.where(count > 0, cut * count / np.maximum(np.append(whole, 1)[ctx], 1), backed_off)
+        return r, np.where(count > 0, cut * count / np.maximum(np.append(whole, 1)[ctx], 1), backed_off), whole
 
     def evaluate(self, b: Known, answers: pd.DataFrame, order: int):
         """The probability of each token of a block at an order, from the order below; what was asked
-        at this order, and its counts."""
+        at this order, its counts, and what they are divided by."""
         if order == 1:
-            return self.unigrams(b.c[: b.begin])[b.tok], None, None
-        lower, two, r = self.evaluate(b, answers, order - 1)
-        asked = b.pairs(self.parts, self.hot) if order == 2 else b.triples(two, r, lower, self.parts, self.hot)
-        size = b.c.astype(float) if order == 2 else r.astype(float)
+            return self.unigrams(b.c[: b.begin])[b.tok], None, None, None
+        lower, two, r, whole = self.evaluate(b, answers, order - 1)
+        asked = b.pairs(self.parts, self.hot) if order == 2 else b.triples(two, r, whole, self.parts, self.hot)
         if order not in self.d:  # not answered yet: this is the question
-            return lower, asked, None
-        r, p = self.step(order, asked, answers, size, lower)
-        return p, asked, r
+            return lower, asked, None, None
+        size = b.c.astype(float) if order == 2 else r.astype(float)
+        r, p, whole = self.step(order, asked, answers, size, lower)
+        return p, asked, r, whole
 
 
 def _ask(model: Model, order: int):
@@ -480,7 +495,7 @@ def _ask(model: Model, order: int):
         for _, row in left.iterrows():
             b = model.known(row, right)
             rows += model.evaluate(b, right, order)[1].rows(row["block"], b.number, model.parts)
-        return pd.DataFrame(rows, columns=["part", "block", "u", "v", "dealt", "n", "word", "lower", "seen"])
+        return pd.DataFrame(rows, columns=["part", "block", "u", "v", "dealt", "n", "word", "lower", "whole", "seen"])
 
     return run
 
@@ -528,6 +543,12 @@ def _add_order(model: Model, order: int, answers: DataFrame) -> None:
         shared[u, v] = (counts + unpack(bytes(x["b"]), np.int64), mass + float(unpack(bytes(x["c"]), np.float64)[0]))
 
 
+def _count(model: Model, order: int, packed: DataFrame, answers: DataFrame) -> DataFrame:
+    """The written tables and answers of an order."""
+    asked = _with_answers(packed, answers, _ask(model, order), ASKED).repartition(model.parts, "part").groupBy("part")
+    return materialize(asked.applyInPandas(_reduce(order, model.lower(order)), ANSWER), f"lm-order-{order}")
+
+
 def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, orders: int = 3) -> tuple[Model | None, DataFrame, DataFrame | None]:
     """The model, the blocks, and the written answers and tables. None where there is no text."""
     spark = docs.sparkSession
@@ -546,10 +567,8 @@ def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
     model = Model(parts, offsets, int(sums[1]), int(sums[2]), train_docs, Unigrams(int(sums[2]), sums[3:]))
     answers = words
     for order in range(2, orders + 1):
-        asked = _with_answers(packed, answers, _ask(model, order), ASKED).repartition(parts, "part").groupBy("part")
-        reduce = _reduce(order, 1 if order == 2 else STORED, (lambda c, p=model.unigrams: p(c.astype(np.int64))) if order == 2 else (lambda p: p))
-        more = materialize(asked.applyInPandas(reduce, ANSWER), f"lm-order-{order}")
-        release(spark)
+        more = _count(model, order, packed, answers)
+        release(spark)  # nothing refers to the step's shuffles any more
         _add_order(model, order, more)
         answers = answers.unionByName(more)
     return model, packed, answers
