@@ -57,7 +57,9 @@ from .substring_dedup import _IS_SPACE, SLAB, _mix
 
 K = 5
 STORED = 2
-BLOCK = 1_000_000
+BLOCK = 1_200_000
+#: Triples travel in so many rounds, a share of the partitions each, so that less is in flight at once.
+ROUNDS = 2
 #: Bytes of text for each partition of the tables, about.
 PART_BYTES = 8 << 20
 #: The end of a text, as a word.
@@ -241,6 +243,10 @@ def word_table(packed: DataFrame, parts: int) -> DataFrame:
         coded = pa.array([x for w in words for x in w], pa.large_binary()).dictionary_encode()
         at, own = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
         c = np.bincount(at, seen, len(own)).astype(np.int64)
+        order = np.argsort(-c, kind="stable")  # frequent words have small numbers, which compress better
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at, own, c = place[at], own.take(pa.array(order)), c[order]
         n = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[: K + 2]
         out = [(-1, 1, part, pack(np.concatenate(([len(own), (c > 0).sum(), c.sum()], n)).astype(np.int64)), None, None)]
         out.append((-3, 1, part, pack_words(own.to_pylist()), pack(c), None))
@@ -258,7 +264,7 @@ def word_table(packed: DataFrame, parts: int) -> DataFrame:
 class Known:
     """A block and what the unigram table says of its words."""
 
-    def __init__(self, row: pd.Series, answers: pd.DataFrame, parts: int, offsets: np.ndarray, docs: int):
+    def __init__(self, row: pd.Series, answers: pd.DataFrame, parts: int, beginning: int, docs: int):
         ids = unpack(row["ids"], np.int64)
         self.ids, self.some = np.split(ids, 2)
         self.held, self.lens = unpack(row["held"], np.uint8), unpack(row["lens"], np.uint32).astype(np.int64)
@@ -269,9 +275,9 @@ class Known:
         n = len(order)
         self.c, self.number = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
         self.c[order] = np.concatenate([unpack(b, np.int64) for b in own["a"]])
-        self.number[order] = np.concatenate([unpack(b, np.uint32) for b in own["b"]]).astype(np.int64) + offsets[part[order].astype(np.int64)]
+        self.number[order] = np.concatenate([unpack(b, np.uint32) for b in own["b"]]).astype(np.int64) * parts + part[order].astype(np.int64)
         # The context before the first word.
-        self.c[n], self.number[n] = docs, offsets[-1]
+        self.c[n], self.number[n] = docs, beginning
         self.begin = n
         first = np.cumsum(self.lens) - self.lens
         self.ctx = np.concatenate(([n], self.tok[:-1]))
@@ -342,9 +348,12 @@ class Asked:
         self.h, self.u, self.v, self.w, self.part, self.seen, self.dealt = h, u, v, w, part, seen, dealt
         self.lower, self.whole, self.token, self.context, self.contexts = lower, whole, token, context, contexts
 
-    def rows(self, block: int, number: np.ndarray, parts: int) -> list[tuple]:
+    def rows(self, block: int, number: np.ndarray, parts: int, turn: int, turns: int) -> list[tuple]:
+        """What goes to every ``turns``-th part."""
         out = []
         for p, x, y in _split(self.part, parts):
+            if p % turns != turn:
+                continue
             first = self.first(x, y)
             n = np.diff(np.append(first, y)).astype(np.uint32)
             out.append((
@@ -440,8 +449,8 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 class Model:
     """What the driver knows and all tasks share: a few numbers, and the sums of dealt contexts."""
 
-    def __init__(self, parts: int, offsets: np.ndarray, types: int, total: int, docs: int, unigrams: Unigrams):
-        self.parts, self.offsets, self.types, self.total, self.docs, self.unigrams = parts, offsets, types, total, docs, unigrams
+    def __init__(self, parts: int, beginning: int, types: int, total: int, docs: int, unigrams: Unigrams):
+        self.parts, self.beginning, self.types, self.total, self.docs, self.unigrams = parts, beginning, types, total, docs, unigrams
         self.hot = max(1, total // (4 * parts))
         self.d: dict[int, np.ndarray] = {}
         self.shared: dict[int, dict] = {}
@@ -453,7 +462,7 @@ class Model:
         return lambda count, whole, d=self.d[order - 1]: np.where(count <= K, d[np.minimum(count, K)], 1.0) * count / np.maximum(whole, 1)
 
     def known(self, row: pd.Series, answers: pd.DataFrame) -> Known:
-        return Known(row, answers, self.parts, self.offsets, self.docs)
+        return Known(row, answers, self.parts, self.beginning, self.docs)
 
     def step(self, order: int, asked: Asked, answers: pd.DataFrame, size: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts of what was asked, the probability of each token at this order, and what the counts of
@@ -489,12 +498,13 @@ class Model:
         return p, asked, r, whole
 
 
-def _ask(model: Model, order: int):
+def _ask(model: Model, order: int, turn: int, turns: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, row in left.iterrows():
             b = model.known(row, right)
-            rows += model.evaluate(b, right, order)[1].rows(row["block"], b.number, model.parts)
+            asked = model.evaluate(b, right, order)[1]
+            rows += asked.rows(row["block"], b.number, model.parts, turn, turns)
         return pd.DataFrame(rows, columns=["part", "block", "u", "v", "dealt", "n", "word", "lower", "whole", "seen"])
 
     return run
@@ -543,9 +553,9 @@ def _add_order(model: Model, order: int, answers: DataFrame) -> None:
         shared[u, v] = (counts + unpack(bytes(x["b"]), np.int64), mass + float(unpack(bytes(x["c"]), np.float64)[0]))
 
 
-def _count(model: Model, order: int, packed: DataFrame, answers: DataFrame) -> DataFrame:
-    """The written tables and answers of an order."""
-    asked = _with_answers(packed, answers, _ask(model, order), ASKED).repartition(model.parts, "part").groupBy("part")
+def _count(model: Model, order: int, turn: int, turns: int, packed: DataFrame, answers: DataFrame) -> DataFrame:
+    """The written tables and answers of an order, of every ``turns``-th part."""
+    asked = _with_answers(packed, answers, _ask(model, order, turn, turns), ASKED).repartition(model.parts, "part").groupBy("part")
     return materialize(asked.applyInPandas(_reduce(order, model.lower(order)), ANSWER), f"lm-order-{order}")
 
 
@@ -562,13 +572,16 @@ def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
     if not stats:
         return None, packed, None
     sums = np.sum(list(stats.values()), axis=0)
-    offsets = np.concatenate(([0], np.cumsum([int(stats[p][0]) if p in stats else 0 for p in range(parts)])))
+    beginning = parts * max(int(x[0]) for x in stats.values())  # the number of no word
     train_docs = rows.where(~F.col("held")).count()
-    model = Model(parts, offsets, int(sums[1]), int(sums[2]), train_docs, Unigrams(int(sums[2]), sums[3:]))
+    model = Model(parts, beginning, int(sums[1]), int(sums[2]), train_docs, Unigrams(int(sums[2]), sums[3:]))
     answers = words
     for order in range(2, orders + 1):
-        more = _count(model, order, packed, answers)
-        release(spark)  # nothing refers to the step's shuffles any more
+        turns, more = 1 if order == 2 else ROUNDS, None
+        for turn in range(turns):
+            part = _count(model, order, turn, turns, packed, answers)
+            more = part if more is None else more.unionByName(part)
+            release(spark)  # nothing refers to the step's shuffles any more
         _add_order(model, order, more)
         answers = answers.unionByName(more)
     return model, packed, answers
@@ -591,7 +604,7 @@ def tables(model: Model, answers: DataFrame) -> DataFrame:
             for kind, part, a, b, c in zip(pdf["kind"], pdf["part"], pdf["a"], pdf["b"], pdf["c"]):
                 if kind == 1:
                     text, count = unpack_words(a), unpack(b, np.int64)
-                    out = {"u": -1, "v": -1, "word": np.arange(len(count)) + model.offsets[part], "text": text}
+                    out = {"u": -1, "v": -1, "word": np.arange(len(count)) * model.parts + part, "text": text}
                 else:
                     (u, v), word, count = unpack(a, np.int64).reshape(2, -1), unpack(b, np.int64), unpack(c, np.int64)
                     out = {"u": u, "v": v, "word": word, "text": None}

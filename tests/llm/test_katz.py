@@ -115,7 +115,7 @@ def test_stored_tables(spark, plain):
     model, _, answers = lm_scoring.fit(docs, fold(), block=300)
     rows = lm_scoring.tables(model, answers).toPandas()
     one = rows[rows["order"] == 1]
-    name = {int(n): bytes(t) or "</s>" for n, t in zip(one["word"], one["text"])} | {-1: None, int(model.offsets[-1]): "<s>"}
+    name = {int(n): bytes(t) or "</s>" for n, t in zip(one["word"], one["text"])} | {-1: None, model.beginning: "<s>"}
     assert {name[w]: c for w, c in zip(one["word"], one["count"]) if c} == dict(plain.n[0])
     for k, order in ((1, 2), (2, 3)):
         some = rows[rows["order"] == order]
