@@ -29,6 +29,8 @@ the numbers asked for travel back:
    the same;
 4. each block scores its texts, order by order from the lowest.
 
+Triples travel in ``ROUNDS`` shares of the partitions, and blocks are scored in as many shares.
+
 Partitions hold the tables, and write them (``tables``): words, and pairs and triples from a count
 of ``STORED`` on. Their number grows with the bytes of text, so that a task's does not. A context
 with over 1 / (4 x partitions) of all tokens has its followers dealt over several partitions; there
@@ -58,7 +60,8 @@ from .substring_dedup import _IS_SPACE, SLAB, _mix
 K = 5
 STORED = 2
 BLOCK = 1_200_000
-#: Triples travel in so many rounds, a share of the partitions each, so that less is in flight at once.
+#: Triples travel, and blocks are scored, in so many rounds, a share each, so that less is in flight
+#: at once.
 ROUNDS = 2
 #: Bytes of text for each partition of the tables, about.
 PART_BYTES = 8 << 20
@@ -74,7 +77,7 @@ def pack(a: np.ndarray) -> bytes:
     import zstandard
 
     planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T) if len(a) else a
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:
@@ -374,8 +377,10 @@ class Asked:
             a, b, c = answers[p]
             r[x:y] = unpack(a, np.uint32)
             own = self.h[self.first(x, y)]
-            of_counts[own] = unpack(b, np.uint32).reshape(K + 1, -1).T
-            mass[own] = unpack(c, np.float64)
+            b = unpack(b, np.uint32).reshape(-1, len(own)).T
+            of_counts[own, : b.shape[1]] = b
+            if c is not None:
+                mass[own] = unpack(c, np.float64)
         own = np.flatnonzero(self.dealt)
         for i in own[np.unique(self.h[own], return_index=True)[1]]:
             of_counts[self.h[i]], mass[self.h[i]] = shared[int(self.u[i]), int(self.v[i])]
@@ -436,7 +441,7 @@ def _reduce(kind: int, lower_p):
         for block, own_n in zip(pdf["block"], n):
             size = int(own_n.sum())
             i = ctx[x : x + len(own_n)]
-            out.append((block, kind, part, pack(r[at[end : end + size]].astype(np.uint32)), pack(of_counts[:, i].astype(np.uint32).ravel()), pack(mass[i])))
+            out.append((block, kind, part, pack(r[at[end : end + size]].astype(np.uint32)), pack(of_counts[: K + (kind > 2), i].astype(np.uint32).ravel()), pack(mass[i])))
             end, x = end + size, x + len(own_n)
         return _answers(out)
 
@@ -471,6 +476,8 @@ class Model:
         own = answers[answers["kind"] == order]
         got = {int(p): (a, b, c) for p, a, b, c in zip(own["part"], own["a"], own["b"], own["c"])}
         r, of_counts, mass = asked.answered(got, self.parts, self.shared[order])
+        if order == 2:  # every pair counts
+            of_counts[:, K] = size
         d = self.d[order]
         left = size - of_counts[:, K] + (of_counts[:, :K] * ((1 - d[1:]) * np.arange(1, K + 1))).sum(1)
         whole = np.where(left > 1e-9 * size, size, size + 1.0)
@@ -554,7 +561,9 @@ def _add_order(model: Model, order: int, answers: DataFrame) -> None:
 
 
 def _count(model: Model, order: int, turn: int, turns: int, packed: DataFrame, answers: DataFrame) -> DataFrame:
-    """The written tables and answers of an order, of every ``turns``-th part."""
+    """The written tables and answers of an order, of every ``turns``-th part. The question needs
+    counts only, not the mass of followers."""
+    answers = answers.withColumn("c", F.lit(None).cast("binary"))
     asked = _with_answers(packed, answers, _ask(model, order, turn, turns), ASKED).repartition(model.parts, "part").groupBy("part")
     return materialize(asked.applyInPandas(_reduce(order, model.lower(order)), ANSWER), f"lm-order-{order}")
 
@@ -640,10 +649,17 @@ def contexts(model: Model, answers: DataFrame) -> DataFrame:
 
 def katz_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, orders: int = 3) -> DataFrame:
     """One row per row of ``docs``; texts for which ``held`` is true don't train the model."""
+    spark = docs.sparkSession
     model, packed, answers = fit(docs, held, id_col, text_col, block, orders)
     if model is None:
-        return docs.sparkSession.createDataFrame([], SCORES)
-    return _with_answers(packed, answers, _score(model), SCORES)
+        return spark.createDataFrame([], SCORES)
+    scores = None
+    for turn in range(ROUNDS):
+        own = F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn
+        part = materialize(_with_answers(packed.where(own), answers.where(own), _score(model), SCORES), "lm-scores")
+        release(spark)
+        scores = part if scores is None else scores.unionByName(part)
+    return scores
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
