@@ -1069,8 +1069,9 @@ def _work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Files that each part of a stream's input is written in, and that one micro-batch takes.
-STREAM_FILES = 4
+#: Files that each part of a stream's input is written in, and that one micro-batch takes: one, as
+#: only whole parts arrive in log order.
+STREAM_FILES = 1
 
 
 def _stream_input(spark, sf, files: int = 4) -> str:
