@@ -59,7 +59,7 @@ from .substring_dedup import _IS_SPACE, SLAB, _mix
 
 K = 5
 STORED = 2
-BLOCK = 1_200_000
+BLOCK = 1_000_000
 #: Triples travel, and blocks are scored, in so many rounds, a share each, so that less is in flight
 #: at once.
 ROUNDS = 2
