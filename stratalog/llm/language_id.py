@@ -255,7 +255,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     )
     counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     share = F.ceil(F.lit(4 * per_lang << 32) / F.col("n")).alias("share")  # of hashes below 2^32
-    thin = rows.withColumn("u", F.pmod(F.xxhash64("i", "t"), F.lit(1 << 32))).join(counts.select("l", share), "l").where("u < share")
+    thin = rows.withColumn("u", F.pmod(F.xxhash64("i", "t"), F.lit(1 << 32))).join(F.broadcast(counts.select("l", share)), "l").where("u < share")  # a row a language, as the model has columns
     w = Window.partitionBy("l").orderBy("u", "i", "t")
     sample = thin.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang)
     words = sample.select("l", F.explode(F.split(F.lower("t"), r"\s+")).alias("w")).where(F.length("w").between(1, TRAIN_LETTERS))

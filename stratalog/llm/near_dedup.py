@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, text_or_empty
+from .common import bounded_batches, materialize, release, text_or_empty
 from .components import components
 from .simhash import LOWER, GrayIndex, gray_rank, majority, ones_of
 
 SHINGLE = 5
 #: Bits that fingerprints of texts of similarity 0.8 differ in at most, but for chance.
 DISTANCE = 24
+#: Pairs are checked in so many rounds, so that fewer sets are in flight at once.
+ROUNDS = 4
 #: (query, fingerprint) pairs that one search may look at, at most.
 SLICE = 4_000_000
 #: Documents in the sample for common shingles, and the common shingles taken, at most.
@@ -203,8 +205,13 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = materialize(_sets(texts.join(needed, "v", "left_semi").dropDuplicates(["v"])), "near-sets")
     one, two = (sets.select(F.col("v").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    # shared / (both - shared) >= 4 / 5
-    return pairs.join(one, "a").join(two, "b").where(shared * 9 >= both * 4).select("a", "b")
+    spark, found = texts.sparkSession, None
+    for turn in range(ROUNDS):  # shared / (both - shared) >= 4 / 5
+        own = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(ROUNDS)) == turn)
+        part = materialize(own.join(one, "a").join(two, "b").where(shared * 9 >= both * 4).select("a", "b"), "near-similar")
+        release(spark)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -212,6 +219,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     texts = docs.select(_key().alias("v"), text_or_empty().alias("t"))
     prefixes = _sets(texts, *_common(texts)).select(F.explode("s").alias("h"), "v", "n", "fp")
     met = materialize(_by_bucket(prefixes, _first_pairs, "h long, a long, b long, n long, fp long"), "near-met")
+    release(docs.sparkSession)
     links = materialize(_similar(met.where("b IS NOT NULL AND a <> b").select("a", "b"), texts), "near-links")
     found = materialize(components(links), "near-found")
     rest = met.where("b IS NULL").select("h", F.col("a").alias("v"), "n", "fp").join(found, "v", "left")
