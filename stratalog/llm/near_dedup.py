@@ -13,7 +13,7 @@ that similarity, and checks what they find on whole texts.
    0.8 of either, so they meet in the first n - ceil(0.8 n) + 1 shingles of both. Only these are
    sent to buckets.
 3. In a bucket, fingerprints are sorted by Gray rank. Each text is first paired with its neighbour in
-   that order and with the first text of fitting size. Pairs are checked on the shingle sets of the
+   that order and with the first text of fitting size, if within ``DISTANCE``. Pairs are checked on the shingle sets of the
    whole texts, and components are made. Only then are the buckets searched in full: the
    hierarchical index finds the pairs within ``DISTANCE``, of which those of different components
    and fitting sizes are checked. A large group of near copies so costs pairs linear in its size, and
@@ -160,9 +160,12 @@ def _first_pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     left, right = gray[:-1][near], gray[1:][near]
     near = 5 * np.minimum(n[left], n[right]) >= 4 * np.maximum(n[left], n[right])
     fits = first < many
-    a = np.concatenate((v[many][fits], v[left[near]]))
-    b = np.concatenate((v[first[fits]], v[right[near]]))
-    rest = np.flatnonzero(size[bucket] > 3)
+    x = np.concatenate((many[fits], left[near]))
+    y = np.concatenate((first[fits], right[near]))
+    bits = fp.view(np.uint64)
+    close = np.bitwise_count(bits[x] ^ bits[y]) <= DISTANCE
+    a, b = v[x[close]], v[y[close]]
+    rest = np.flatnonzero(size[bucket] > 2)
     none, nones = pa.nulls(len(a), pa.int64()), pa.nulls(len(rest), pa.int64())
     names = ["h", "a", "b", "n", "fp"]
     yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none], names)
