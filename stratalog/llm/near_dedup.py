@@ -45,8 +45,9 @@ SHINGLE = 5
 DISTANCE = 24
 #: Pairs are checked in so many rounds, so that fewer sets are in flight at once.
 ROUNDS = 4
-#: (query, fingerprint) pairs that one search may look at, at most.
-SLICE = 4_000_000
+#: (query, fingerprint) pairs that one search may look at, at most. At this distance few groups are
+#: pruned, and a pair takes about 80 bytes: more of them, in two workers beside a full heap, are more than an executor has.
+SLICE = 1 << 18
 #: Documents in the sample for common shingles, and the common shingles taken, at most.
 SAMPLE, COMMON = 20_000, 100_000
 

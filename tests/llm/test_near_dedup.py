@@ -1,7 +1,9 @@
 """The pipeline's near-duplicate stage against all pairs."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -64,3 +66,27 @@ def test_near_dedup_drops_rows_not_ids(spark):
     docs = spark.createDataFrame([(3, a), (5, a + " more"), (5, b), (None, a)], "doc_id long, text string")
     assert {tuple(r) for r in near_dedup.near_dedup(docs).collect()} == {(3, a), (5, b), (None, a)}
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_search_of_a_bucket_in_little_memory():
+    """All pairs of a bucket within the distance, in slices that leave an executor's memory alone."""
+    rng = np.random.default_rng(1)
+    n = 3000
+    fp = rng.integers(-(2**63), 2**63 - 1, 40)[rng.integers(0, 40, n)]
+    for _ in range(15):
+        fp = fp ^ (np.int64(1) << rng.integers(0, 63, n))
+    size, c = rng.integers(70, 130, n), rng.integers(0, 60, n)
+    tracemalloc.start()
+    found = list(near_dedup._other_pairs([np.zeros(n, np.int64), np.arange(n), size, fp, c]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    bits = fp.view(np.uint64)
+    want = set()
+    for a in range(n):
+        b = np.arange(a + 1, n)
+        fits = (np.bitwise_count(bits[a] ^ bits[b]) <= near_dedup.DISTANCE) & (c[a] != c[b])
+        fits &= 5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])
+        want.update((a, int(x)) for x in b[fits])
+    assert len(want) > 10_000
+    assert sorted((x["a"], x["b"]) for batch in found for x in batch.to_pylist()) == sorted(want)
+    assert most < 64e6
