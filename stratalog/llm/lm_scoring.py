@@ -29,7 +29,8 @@ the numbers asked for travel back:
    the same;
 4. each block scores its texts, order by order from the lowest.
 
-Triples travel in ``ROUNDS`` shares of the partitions, and blocks are scored in as many shares.
+The questions about triples are worked out once and written; they travel in ``ROUNDS`` shares of the
+partitions, each deleted once answered. Blocks are scored in as many shares.
 
 Partitions hold the tables, and write them (``tables``): words, and pairs and triples from a count
 of ``STORED`` on. Their number grows with the bytes of text, so that a task's does not. A context
@@ -45,15 +46,16 @@ fold of the empty string; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, release, shuffle_partitions, text_or_empty
+from .common import bounded_batches, materialize, process_cache, release, shared_dir, shuffle_partitions, text_or_empty
 from .language_id import remainder
 from .substring_dedup import _IS_SPACE, SLAB, _mix
 
@@ -62,9 +64,10 @@ STORED = 2
 BLOCK = 1_000_000
 #: Triples travel, and blocks are scored, in so many rounds, a share each, so that less is in flight
 #: at once.
-ROUNDS = 2
-#: Bytes of text for each partition of the tables, about.
-PART_BYTES = 8 << 20
+ROUNDS = 4
+#: Bytes of text for each partition of the tables, about. Each block sends each partition a message, so
+#: messages grow with the square of the input and should not be many.
+PART_BYTES = 16 << 20
 #: The end of a text, as a word.
 END = b""
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -72,33 +75,43 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ADD = 0.1
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Compressed, one byte of all numbers after the other: high bytes are mostly zero."""
+def _compress(raw: bytes, level: int) -> bytes:
     import zstandard
 
-    planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T) if len(a) else a
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return process_cache(("zstd", level), lambda: zstandard.ZstdCompressor(level=level)).compress(raw)
 
 
-def unpack(blob: bytes, dtype) -> np.ndarray:
+def _decompress(blob: bytes | memoryview) -> bytes:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(dtype).ravel()
+    return process_cache(("unzstd",), zstandard.ZstdDecompressor).decompress(blob)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Compressed, one byte of all numbers after the other; high bytes that are all zero are left out.
+    The first byte tells how many are there."""
+    kept = a.itemsize
+    if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
+        kept = max(1, (int(a.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize)[:, :kept].T
+    return bytes((kept,)) + _compress(planes.tobytes(), 3)
+
+
+def unpack(blob: bytes, dtype) -> np.ndarray:
+    kept = blob[0]
+    raw = np.frombuffer(_decompress(memoryview(blob)[1:]), np.uint8)
+    out = np.zeros((len(raw) // kept, np.dtype(dtype).itemsize), np.uint8)
+    out[:, :kept] = raw.reshape(kept, -1).T
+    return out.view(dtype).ravel()
 
 
 def pack_words(words: list[bytes]) -> bytes:
     """Compressed; words hold no white space, and there is one at least."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+    return _compress(b" ".join(words), 1)
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(blob).split(b" ")
+    return _decompress(blob).split(b" ")
 
 
 def _split(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
@@ -107,6 +120,11 @@ def _split(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return [(p, int(a), int(b)) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
+def _by_part(part: np.ndarray, parts: int) -> np.ndarray:
+    """A stable sort; of short numbers it is a radix sort."""
+    return np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+
+
 def good_turing(n: np.ndarray) -> np.ndarray:
     """Discounts of counts 0 to K (1 where the counts of counts don't allow one). n[r]: how many
     have count r, r up to K + 1."""
@@ -279,9 +297,14 @@ class Known:
         self.c, self.number = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
         self.c[order] = np.concatenate([unpack(b, np.int64) for b in own["a"]])
         self.number[order] = np.concatenate([unpack(b, np.uint32) for b in own["b"]]).astype(np.int64) * parts + part[order].astype(np.int64)
-        # The context before the first word.
+        # The context before the first word; its number is above all others.
         self.c[n], self.number[n] = docs, beginning
         self.begin = n
+        # From here on the block's words are in the order of their numbers.
+        order = np.argsort(self.number)
+        place = np.empty(n + 1, np.int64)
+        place[order] = np.arange(n + 1)
+        self.c, self.number, self.tok = self.c[order], self.number[order], place[self.tok]
         first = np.cumsum(self.lens) - self.lens
         self.ctx = np.concatenate(([n], self.tok[:-1]))
         self.ctx[first] = n
@@ -305,7 +328,7 @@ class Known:
         seen = np.bincount(at[self.train[live]], minlength=len(own)).astype(np.uint32)
         h, w = own // width, own % width
         part, dealt = self._deal(_mix(self.number[h].astype(np.uint64) + np.uint64(1)), self.c[h], w, parts, hot)
-        order = np.lexsort((self.number[w], self.number[h], part))
+        order = _by_part(part, parts)  # then by context and word: so own is sorted
         place = np.empty(len(own), np.int64)
         place[order] = np.arange(len(own))
         token = np.full(len(self.tok), -1)
@@ -313,7 +336,7 @@ class Known:
         context = np.full(len(self.tok), -1)
         context[live] = self.ctx[live]
         h, w = h[order], w[order]
-        return Asked(h, np.full(len(h), -1), self.number[h], w, part[order], seen[order], dealt[order], self.c[w], np.zeros(width), token, context, width)
+        return Asked(h, np.full(len(h), -1), self.number[h], w, part[order], seen[order], dealt[order], self.c[w], np.zeros(width), token, context, width, order)
 
     def triples(self, two: Asked, r: np.ndarray, whole: np.ndarray, parts: int, hot: int) -> Asked:
         """The triples that may be stored; r: training counts of the pairs two, whole: what the counts
@@ -324,39 +347,39 @@ class Known:
         live = np.flatnonzero((before >= 0) & (np.append(r, 0)[before] >= STORED))
         pair = two.token[live]
         real = (pair >= 0) & (np.append(r, 0)[pair] >= STORED)
-        own, at = np.unique(before[live] * width + np.where(real, self.tok[live], self.tok[-1]), return_inverse=True)
+        own, at = np.unique(two.rank[before[live]] * width + np.where(real, self.tok[live], self.tok[-1]), return_inverse=True)
         seen = np.bincount(at[self.train[live] & real], minlength=len(own)).astype(np.uint32)
         lower = np.zeros(len(own), np.int64)
         lower[at[real]] = r[pair[real]]
-        h, w = own // width, own % width
+        pair_at = np.empty(len(two.rank), np.int64)
+        pair_at[two.rank] = np.arange(len(two.rank))
+        h, w = pair_at[own // width], own % width
         u, v = self.number[two.h[h]], self.number[two.w[h]]
         part, dealt = self._deal(_mix(_mix(u.astype(np.uint64)) + v.astype(np.uint64)), r[h], w, parts, hot)
-        order = np.lexsort((self.number[w], v, u, part))
+        order = _by_part(part, parts)
         place = np.empty(len(own), np.int64)
         place[order] = np.arange(len(own))
         token, context = np.full(len(self.tok), -1), np.full(len(self.tok), -1)
         token[live[real]] = place[at[real]]
         context[live] = before[live]
-        return Asked(h[order], u[order], v[order], w[order], part[order], seen[order], dealt[order], lower[order], whole[two.w], token, context, len(r))
+        return Asked(h[order], u[order], v[order], w[order], part[order], seen[order], dealt[order], lower[order], whole[two.w], token, context, len(r), order)
 
 
 class Asked:
     """Pairs or triples of a block, sorted by part, context and word: the context in the block (h)
     and by its words' numbers (u, v), the word in the block (w), the part, the training count, whether
     the context is dealt over several parts, and the lower order's count of the word; for each context,
-    what that count is divided by; which of them, and which context, each token has (-1: none); and
-    how many contexts there are."""
+    what that count is divided by; which of them, and which context, each token has (-1: none); how many
+    contexts there are; and the rank of each by context and word alone."""
 
-    def __init__(self, h, u, v, w, part, seen, dealt, lower, whole, token, context, contexts):
+    def __init__(self, h, u, v, w, part, seen, dealt, lower, whole, token, context, contexts, rank):
         self.h, self.u, self.v, self.w, self.part, self.seen, self.dealt = h, u, v, w, part, seen, dealt
-        self.lower, self.whole, self.token, self.context, self.contexts = lower, whole, token, context, contexts
+        self.lower, self.whole, self.token, self.context, self.contexts, self.rank = lower, whole, token, context, contexts, rank
 
-    def rows(self, block: int, number: np.ndarray, parts: int, turn: int, turns: int) -> list[tuple]:
-        """What goes to every ``turns``-th part."""
+    def rows(self, block: int, number: np.ndarray, parts: int) -> list[tuple]:
+        """What goes to the parts."""
         out = []
         for p, x, y in _split(self.part, parts):
-            if p % turns != turn:
-                continue
             first = self.first(x, y)
             n = np.diff(np.append(first, y)).astype(np.uint32)
             out.append((
@@ -505,13 +528,13 @@ class Model:
         return p, asked, r, whole
 
 
-def _ask(model: Model, order: int, turn: int, turns: int):
+def _ask(model: Model, order: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, row in left.iterrows():
             b = model.known(row, right)
             asked = model.evaluate(b, right, order)[1]
-            rows += asked.rows(row["block"], b.number, model.parts, turn, turns)
+            rows += asked.rows(row["block"], b.number, model.parts)
         return pd.DataFrame(rows, columns=["part", "block", "u", "v", "dealt", "n", "word", "lower", "whole", "seen"])
 
     return run
@@ -560,12 +583,33 @@ def _add_order(model: Model, order: int, answers: DataFrame) -> None:
         shared[u, v] = (counts + unpack(bytes(x["b"]), np.int64), mass + float(unpack(bytes(x["c"]), np.float64)[0]))
 
 
-def _count(model: Model, order: int, turn: int, turns: int, packed: DataFrame, answers: DataFrame) -> DataFrame:
-    """The written tables and answers of an order, of every ``turns``-th part. The question needs
-    counts only, not the mass of followers."""
-    answers = answers.withColumn("c", F.lit(None).cast("binary"))
-    asked = _with_answers(packed, answers, _ask(model, order, turn, turns), ASKED).repartition(model.parts, "part").groupBy("part")
-    return materialize(asked.applyInPandas(_reduce(order, model.lower(order)), ANSWER), f"lm-order-{order}")
+def _count(model: Model, order: int, packed: DataFrame, answers: DataFrame) -> DataFrame:
+    """The written tables and answers of an order. The question needs counts only, not the mass of
+    followers."""
+    spark = packed.sparkSession
+    asked = _with_answers(packed, answers.withColumn("c", F.lit(None).cast("binary")), _ask(model, order), ASKED)
+
+    def answer(asked: DataFrame) -> DataFrame:
+        own = asked.repartition(model.parts, "part").groupBy("part")
+        return materialize(own.applyInPandas(_reduce(order, model.lower(order)), ANSWER), f"lm-order-{order}")
+
+    if order == 2:
+        return answer(asked)
+    path, found = f"{shared_dir(spark)}/lm-asked-{uuid.uuid4().hex}", None
+    asked.withColumn("turn", F.pmod("part", F.lit(ROUNDS))).write.partitionBy("turn").parquet(path)
+    del asked
+    release(spark)  # nothing refers to the step's shuffles any more
+    for turn in range(ROUNDS):
+        part = answer(spark.read.schema(f"{ASKED}, turn int").parquet(path).where(F.col("turn") == turn).drop("turn"))
+        found = part if found is None else found.unionByName(part)
+        _delete(spark, f"{path}/turn={turn}")
+        release(spark)
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, orders: int = 3) -> tuple[Model | None, DataFrame, DataFrame | None]:
@@ -586,11 +630,8 @@ def fit(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
     model = Model(parts, beginning, int(sums[1]), int(sums[2]), train_docs, Unigrams(int(sums[2]), sums[3:]))
     answers = words
     for order in range(2, orders + 1):
-        turns, more = 1 if order == 2 else ROUNDS, None
-        for turn in range(turns):
-            part = _count(model, order, turn, turns, packed, answers)
-            more = part if more is None else more.unionByName(part)
-            release(spark)  # nothing refers to the step's shuffles any more
+        more = _count(model, order, packed, answers)
+        release(spark)
         _add_order(model, order, more)
         answers = answers.unionByName(more)
     return model, packed, answers

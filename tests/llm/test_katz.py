@@ -138,3 +138,34 @@ def test_words_that_a_polynomial_hash_confuses(spark):
     docs = spark.createDataFrame([(1, x), (10, x.translate(str.maketrans("ab", "ba")))], SCHEMA)
     got = {r["doc_id"]: r["n_known"] for r in lm_scoring.katz_scores(docs, fold()).collect()}
     assert got == {1: 2, 10: 1}
+
+
+def test_blocks_work_out_their_questions_once(spark, plain, monkeypatch):
+    """Two questions a block (pairs, triples), however many rounds they travel in; the written questions
+    are deleted."""
+    asked, deleted = spark.sparkContext.accumulator(0), []
+    rows, delete = lm_scoring.Asked.rows, lm_scoring._delete
+
+    def counted(self, *args):
+        asked.add(1)
+        return rows(self, *args)
+
+    monkeypatch.setattr(lm_scoring.Asked, "rows", counted)
+    monkeypatch.setattr(lm_scoring, "_delete", lambda s, path: (deleted.append(path), delete(s, path)))
+    docs = spark.createDataFrame(corpus(), SCHEMA).coalesce(1)
+    model, packed, answers = lm_scoring.fit(docs, fold(), block=300)
+    assert asked.value == 2 * packed.count()
+    assert len(deleted) == lm_scoring.ROUNDS
+    assert lm_scoring.tables(model, answers).where("order = 3").count() == sum(c >= lm_scoring.STORED for c in plain.n[2].values())
+
+
+@pytest.mark.parametrize("dtype", ["uint8", "uint32", "int64", "float64"])
+def test_packed_numbers(dtype):
+    for a in ([], [0], [0, 1, 255], [3, 200] * 40, [256, 65_536, 2**31], [-1, 5], [2**62, 0]):
+        if a and (min(a) < 0 and dtype[0] == "u" or dtype[0] != "f" and max(a) > np.iinfo(dtype).max):
+            continue
+        x = np.array(a, dtype)
+        got = lm_scoring.unpack(lm_scoring.pack(x), dtype)
+        assert got.dtype == x.dtype and got.tolist() == x.tolist()
+    small = lm_scoring.pack(np.random.default_rng(1).integers(0, 256, 1000))
+    assert len(small) < 1100
