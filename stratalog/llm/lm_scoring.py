@@ -66,8 +66,8 @@ BLOCK = 1_000_000
 #: at once.
 ROUNDS = 4
 #: Bytes of text for each partition of the tables, about. Each block sends each partition a message, so
-#: messages grow with the square of the input and should not be many.
-PART_BYTES = 16 << 20
+#: messages grow with the square of the input; twice as much took more than 3,000 MB of an executor.
+PART_BYTES = 8 << 20
 #: The end of a text, as a word.
 END = b""
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -429,6 +429,7 @@ def _reduce(kind: int, lower_p):
     least = 1 if kind == 2 else STORED
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _trim()
         part = int(key[0])
         pdf = pdf.sort_values("block")
         u, v = ([unpack(b, np.int64) for b in pdf[c]] for c in "uv")
@@ -528,8 +529,19 @@ class Model:
         return p, asked, r, whole
 
 
+def _trim() -> None:
+    """Give memory of the last group or block back: the C library keeps it, and a worker lives long."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def _ask(model: Model, order: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        _trim()
         rows = []
         for _, row in left.iterrows():
             b = model.known(row, right)
@@ -542,6 +554,7 @@ def _ask(model: Model, order: int):
 
 def _score(model: Model):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        _trim()
         out = []
         for _, row in left.iterrows():
             b = model.known(row, right)
