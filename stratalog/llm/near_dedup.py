@@ -14,10 +14,13 @@ that similarity, and checks what they find on whole texts.
    sent to buckets.
 3. In a bucket, fingerprints are sorted by Gray rank. Each text is first paired with its neighbour in
    that order and with the first text of fitting size, if within ``DISTANCE``. Pairs are checked on the shingle sets of the
-   whole texts, and components are made. Only then are the buckets searched in full: the
-   hierarchical index finds the pairs within ``DISTANCE``, of which those of different components
-   and fitting sizes are checked. A large group of near copies so costs pairs linear in its size, and
-   texts that are not alike but share a shingle are pruned as groups.
+   whole texts, and components are made. Only then are the buckets searched: the hierarchical index
+   finds the pairs within ``DISTANCE``, of which those of different components, fitting sizes and
+   fitting parities are checked. First each text's nearest such pair alone, then, with the components
+   that this makes, all of them. A large group of near copies so costs pairs linear in its size.
+4. Parities: bit i of ``PARITY_BITS`` tells whether an odd number of a set's shingles hash to i. Two sets' parities
+   differ in at most as many bits as the sets in shingles, of which similarity 0.8 allows a ninth of both sizes. This
+   loses no pair, and leaves few that are not alike, at sizes up to about twice ``PARITY_BITS``; far longer texts are told apart by fingerprint and size only.
 
 Of pairs at exactly 0.8, a few in a million are beyond the distance by chance, more where sets hold only
 four or five shingles (one in ten thousand); tests measure the recall against brute force.
@@ -30,6 +33,7 @@ id stay; an empty table gives an empty result. Texts are told apart by a 64-bit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +47,11 @@ from .simhash import LOWER, GrayIndex, gray_rank, majority, ones_of
 SHINGLE = 5
 #: Bits that fingerprints of texts of similarity 0.8 differ in at most, but for chance.
 DISTANCE = 24
-#: Pairs are checked in so many rounds, so that fewer sets are in flight at once.
-ROUNDS = 4
 #: (query, fingerprint) pairs that one search may look at, at most. At this distance few groups are
 #: pruned, and a pair takes about 80 bytes: more of them, in two workers beside a full heap, are more than an executor has.
 SLICE = 1 << 18
+#: A multiple of 64.
+PARITY_BITS = 1024
 #: Documents in the sample for common shingles, and the common shingles taken, at most.
 SAMPLE, COMMON = 20_000, 100_000
 
@@ -71,6 +75,24 @@ def shingle_set(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     return np.unique((h ^ (h >> np.uint64(31))).view(np.int64))
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Of each of ``PARITY_BITS`` residues, whether an odd number of the hashes have it."""
+    odd = np.bincount(s & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _parity_words(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(-1, PARITY_BITS // 64)
+
+
+def _parity_distance(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits rows a of x differ from rows b of y."""
+    out = np.zeros(len(a), np.int64)
+    for j in range(x.shape[1]):
+        out += np.bitwise_count(x[a, j] ^ y[b, j])
+    return out
+
+
 def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The shingles of which two sets of similarity 0.8 share one; common is sorted."""
     if len(common):
@@ -85,8 +107,8 @@ def _key() -> Column:
 
 
 def _sets(texts: DataFrame, common: np.ndarray | None = None, rank: np.ndarray | None = None) -> DataFrame:
-    """v, n, fp, s: sizes, fingerprints and shingle sets of rows (v, t), or their prefixes if common
-    is given."""
+    """v, n, fp, parity, s: sizes, fingerprints, parities and shingle sets of rows (v, t), or their
+    prefixes if common is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,14 +116,15 @@ def _sets(texts: DataFrame, common: np.ndarray | None = None, rank: np.ndarray |
             sets = [shingle_set(t, known) for t in batch.column(1).to_pylist()]
             n = pa.array([len(s) for s in sets], pa.int64())
             fps = np.array([majority(ones_of(s), len(s)) for s in sets], np.uint64)
+            odd = pa.array([parities(s) for s in sets], pa.binary())
             if common is not None:
                 sets = [prefix(s, common, rank) for s in sets]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            columns = [batch.column(0), n, pa.array(fps.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["v", "n", "fp", "s"])
+            columns = [batch.column(0), n, pa.array(fps.view(np.int64)), odd, pa.ListArray.from_arrays(pa.array(ends), flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["v", "n", "fp", "parity", "s"])
 
-    return bounded_batches(texts.select("v", "t")).mapInArrow(run, "v long, n long, fp long, s array<long>")
+    return bounded_batches(texts.select("v", "t")).mapInArrow(run, "v long, n long, fp long, parity binary, s array<long>")
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -173,10 +196,11 @@ def _first_pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(h[rest]), pa.array(v[rest]), nones, pa.array(n[rest]), pa.array(fp[rest])], names)
 
 
-def _other_pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _other_pairs(columns: list[np.ndarray], nearest: bool = False) -> Iterator[pa.RecordBatch]:
     """a, b: the pairs of each bucket within DISTANCE that lie in different components and fit in
-    size."""
-    h, v, n, fp, c = columns
+    size, and in parities if these are given; with nearest, only that of each text whose parities
+    differ least."""
+    h, v, n, fp, c, *parity = columns
     start, end = _runs(h)
     mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
     keep = np.repeat(mixed, end - start)
@@ -185,14 +209,23 @@ def _other_pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     h, v, n, fp, c = h[keep], v[keep], n[keep], fp[keep].view(np.uint64), c[keep]
     order = np.lexsort((gray_rank(fp), h))
     h, v, n, fp, c = h[order], v[order], n[order], fp[order], c[order]
+    odd = _parity_words(parity[0][keep][order]) if parity else np.zeros((len(h), 0), np.uint64)
     root = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
     index = GrayIndex(fp, root)
     size = np.bincount(root)[root]
     slices = np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1
     for part in np.split(np.arange(len(h)), slices):
         q, leaf = index.links(part, root[part], DISTANCE, whole_groups=False)
-        ok = (q < leaf) & (c[q] != c[leaf]) & (5 * np.minimum(n[q], n[leaf]) >= 4 * np.maximum(n[q], n[leaf]))
-        a, b = v[q[ok]], v[leaf[ok]]
+        ok = ((q < leaf) | nearest) & (c[q] != c[leaf]) & (5 * np.minimum(n[q], n[leaf]) >= 4 * np.maximum(n[q], n[leaf]))
+        q, leaf = q[ok], leaf[ok]
+        differ = _parity_distance(odd, odd, q, leaf)
+        ok = 9 * differ <= n[q] + n[leaf]
+        q, leaf, differ = q[ok], leaf[ok], differ[ok]
+        if nearest and len(q):
+            by = np.lexsort((leaf, differ, q))
+            by = by[np.concatenate(([True], np.diff(q[by]) != 0))]
+            q, leaf = q[by], leaf[by]
+        a, b = v[q], v[leaf]
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -209,27 +242,46 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = materialize(_sets(texts.join(needed, "v", "left_semi").dropDuplicates(["v"])), "near-sets")
     one, two = (sets.select(F.col("v").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    spark, found = texts.sparkSession, None
-    for turn in range(ROUNDS):  # shared / (both - shared) >= 4 / 5
-        own = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(ROUNDS)) == turn)
-        part = materialize(own.join(one, "a").join(two, "b").where(shared * 9 >= both * 4).select("a", "b"), "near-similar")
-        release(spark)
-        found = part if found is None else found.unionByName(part)
-    return found
+    # shared / (both - shared) >= 4 / 5
+    found = pairs.join(one, "a").join(two, "b").where(shared * 9 >= both * 4).select("a", "b")
+    return materialize(found, "near-similar")
+
+
+def _fitting(pairs: DataFrame, parity: DataFrame) -> DataFrame:
+    """The pairs (a, b) that fit in parities. parity: v, n, parity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (_parity_words(batch.column(i).to_pylist()) for i in (4, 5))
+            at = np.arange(len(na))
+            ok = 9 * _parity_distance(x, y, at, at) <= na + nb
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    one, two = (parity.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
+    both = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """(v, component) of each text hash that is linked and not its component itself."""
+    spark = docs.sparkSession
     texts = docs.select(_key().alias("v"), text_or_empty().alias("t"))
-    prefixes = _sets(texts, *_common(texts)).select(F.explode("s").alias("h"), "v", "n", "fp")
+    sets = materialize(_sets(texts, *_common(texts)), "near-prefixes")
+    parity = sets.select("v", "n", "parity").dropDuplicates(["v"])
+    prefixes = sets.select(F.explode("s").alias("h"), "v", "n", "fp")
     met = materialize(_by_bucket(prefixes, _first_pairs, "h long, a long, b long, n long, fp long"), "near-met")
-    release(docs.sparkSession)
-    links = materialize(_similar(met.where("b IS NOT NULL AND a <> b").select("a", "b"), texts), "near-links")
-    found = materialize(components(links), "near-found")
-    rest = met.where("b IS NULL").select("h", F.col("a").alias("v"), "n", "fp").join(found, "v", "left")
-    rest = rest.select("h", "v", "n", "fp", F.coalesce("component", "v").alias("c"))
-    more = _similar(_by_bucket(rest, _other_pairs, "a long, b long"), texts)
-    return components(links.unionByName(more))
+    release(spark)
+    links = materialize(_similar(_fitting(met.where("b IS NOT NULL AND a <> b").select("a", "b"), parity), texts), "near-links")
+    rest = met.where("b IS NULL").select("h", F.col("a").alias("v"), "n", "fp")
+    for nearest in (True, False):
+        found = materialize(components(links), "near-found")
+        named = parity.select("v", "parity").join(found, "v", "left").select("v", F.coalesce("component", "v").alias("c"), "parity")
+        rows = rest.join(named, "v").select("h", "v", "n", "fp", "c", "parity")
+        more = _similar(_by_bucket(rows, partial(_other_pairs, nearest=nearest), "a long, b long"), texts)
+        links = links.unionByName(more)
+        release(spark)
+    return components(links)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

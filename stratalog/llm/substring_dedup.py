@@ -10,10 +10,10 @@ is repeated if it also starts in a document with a smaller id.
    (map-side minimum, maximum, count) finds the shared ones, and a bit map of at most ``MAP_BITS``
    bits, filled by the executors a segment each and broadcast, lets only their fragments through.
    A bit set by chance costs work, never a result; the fuller the map, the more goes on.
-3. A shared minimiser with over ``HOT`` occurrences (a passage in very many documents; more where
-   there are so many that ``HOT_COUNT`` would be exceeded) is dealt by window instead: each of its
-   windows is a fragment of its own, keyed by its own hash, so that the many contexts around a
-   passage spread over all tasks.
+3. A shared minimiser with over ``HOT`` occurrences (more where there are so many that ``HOT_COUNT``
+   would be exceeded) in many different fragments (their hashes set ``HOT_BITS`` of 64 bits, as about ninety do)
+   is dealt by window instead: each of its windows is a fragment of its own, keyed by its own hash, so that the
+   many contexts around a passage spread over all tasks. Inside a passage fragments are equal, however many there are, and stay whole.
 4. Equal fragments are combined before and after the shuffle. Documents are in two shards by the
    hash of their id, and a task builds an FM-index of each shard's fragments: Burrows-Wheeler
    transform as a wavelet matrix over packed bit vectors with block ranks, bit vectors of the runs
@@ -51,6 +51,7 @@ WINDOW = 13
 GRAM = 4
 HOT = 2_000
 HOT_COUNT = 1 << 24
+HOT_BITS = 48
 MAP_BITS = 1 << 29
 SEGMENT_BITS = 1 << 23
 MAX_RUN = 64
@@ -129,6 +130,13 @@ class Slab:
         first = np.flatnonzero(new | (run % MAX_RUN == 0))
         return m[first], at[first], np.diff(np.append(first, len(at)))
 
+    def fragment_bits(self, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """One of 64 bits for each fragment, by a hash of its words."""
+        words = len(self.word)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(self.word * _powers(BASE, words))))
+        h = _mix((sums[first + n + WINDOW - 1] - sums[first]) * _powers(pow(BASE, -1, 1 << 64), words)[first])
+        return np.uint64(1) << (h & np.uint64(63))
+
     def text(self, first: int, words: int) -> bytes:
         return self.flat[self.at[first] : self.to[first + words - 1]]
 
@@ -156,16 +164,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def minimisers(docs: DataFrame) -> DataFrame:
-    """(m, doc_id) of every fragment. docs: doc_id, text."""
+    """(m, doc_id, bit) of every fragment. docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slab in _slabs(batch):
-                m, first, _ = slab.fragments()
-                own = slab.ids[slab.doc[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(own)], ["m", "doc_id"])
+                m, first, n = slab.fragments()
+                own, bit = slab.ids[slab.doc[first]], slab.fragment_bits(first, n)
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(own), pa.array(bit.view(np.int64))], ["m", "doc_id", "bit"])
 
-    return bounded_batches(docs).mapInArrow(run, "m long, doc_id long")
+    return bounded_batches(docs).mapInArrow(run, "m long, doc_id long, bit long")
 
 
 def bit_map(keys: DataFrame, n: int) -> bytes:
@@ -452,13 +460,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     the xxhash64 of the text. docs: doc_id, text."""
     spark = docs.sparkSession
     spread = minimisers(docs).groupBy("m").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")
-    ).where("lo < hi").select("m", "n")
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("bits")
+    ).where("lo < hi").select("m", "n", F.bit_count("bits").alias("kinds"))
     spread = materialize(spread, "substring-minimisers")
     release(spark)
     n_shared, total = spread.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     hot_at = max(HOT, total // HOT_COUNT)
-    over = spread.where(F.col("n") > hot_at)
+    over = spread.where((F.col("n") > hot_at) & (F.col("kinds") >= HOT_BITS))
     shared, hot = (spark.sparkContext.broadcast(bit_map(keys, n)) for keys, n in ((spread, n_shared), (over, over.count())))  # MAP_BITS / 8 bytes at most
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     lo = [F.coalesce(F.min(F.when(shard == k, F.col("doc_id"))), F.lit(int(NEVER))).alias(f"lo{k}") for k in range(2)]

@@ -90,3 +90,42 @@ def test_search_of_a_bucket_in_little_memory():
     assert len(want) > 10_000
     assert sorted((x["a"], x["b"]) for batch in found for x in batch.to_pylist()) == sorted(want)
     assert most < 64e6
+
+
+def test_pairs_to_check_are_few(spark, monkeypatch):
+    """A large group of near copies, and many texts that share a passage and are not alike: what is
+    checked on whole texts is linear in both, and nothing is lost."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(5000)]
+    base, passage = rng.choices(vocabulary, k=120), rng.choices(vocabulary, k=70)
+    texts = []
+    for _ in range(200):
+        w = list(base)
+        for at in rng.sample(range(len(w)), 2):
+            w[at] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+        texts.append(" ".join(passage + rng.choices(vocabulary, k=60)))
+    rows = list(enumerate(texts))
+    checked, similar = [], near_dedup._similar
+
+    def counted(pairs, texts):
+        checked.append(pairs.distinct().count())
+        return similar(pairs, texts)
+
+    monkeypatch.setattr(near_dedup, "_similar", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_dedup.near_dedup(docs).collect()) == brute_kept(rows)
+    assert sum(checked) < 8 * len(rows)
+
+
+def test_parities_lose_no_pair():
+    """Sets of similarity 0.8 or more differ in at most a ninth of both sizes; others mostly in more."""
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 300, 1500, 20_000):
+        s = rng.integers(-(2**63), 2**63 - 1, 2 * n)
+        for shared in (n - n // 10, n // 2):
+            a, b = s[:n], np.concatenate((s[:shared], s[n : 2 * n - shared]))
+            x, y = (near_dedup._parity_words([near_dedup.parities(z)]) for z in (a, b))
+            differ = int(near_dedup._parity_distance(x, y, np.zeros(1, int), np.zeros(1, int))[0])
+            assert differ <= 2 * (n - shared)
+            assert shared > n // 2 or not 40 <= n <= 1500 or 9 * differ > 2 * n

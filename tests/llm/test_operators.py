@@ -338,6 +338,31 @@ def test_substring_dedup(docs, hot, monkeypatch):
     assert sum(r["n_removed"] for r in got) > 300
 
 
+@pytest.mark.parametrize("bits", [48, 0])
+def test_passage_in_many_documents_stays_whole(spark, monkeypatch, bits):
+    """Equal fragments of a common passage are not dealt by window: only its ends, where contexts
+    differ, are, and the joined rows grow with the documents."""
+    monkeypatch.setattr(substring_dedup, "HOT", 150)
+    monkeypatch.setattr(substring_dedup, "HOT_BITS", bits)
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(200)]
+    def word():
+        return "".join(rng.choices("abcdefgh", k=7))
+    rows = [(i, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, occurrences = [], substring_dedup.occurrences
+
+    def counted(*args):
+        out = occurrences(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "occurrences", counted)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.removal_report(docs).collect()}
+    assert got == {i: (240, 200 if i else 0) for i in range(200)}
+    assert bits == 0 or max(made) < 200 * 100  # by windows: 188 in each document
+
+
 def test_substring_dedup_with_a_full_bit_map(docs, monkeypatch):
     """With too many keys for the map every fragment goes on, and all windows count as hot; the
     result is the same."""
