@@ -301,19 +301,27 @@ class FMIndex:
         inside[ends] = False
         text[inside] = seqs
         n = self.n = len(text)
-        # Suffix array by prefix doubling; separators are distinct and below all symbols.
+        # Suffix array, in the order of the first depth symbols or more, which is what patterns of
+        # that length need: ranks by k symbols, packed three to a key, give those by 3 k (two to a key
+        # where three don't fit). Separators are distinct and below all symbols.
         ordinal = text + count
         ordinal[ends] = np.arange(count)
-        sa = np.argsort(ordinal, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(np.concatenate(([0], np.diff(ordinal[sa]) != 0)))
-        k = 1
-        while rank[sa[-1]] < n - 1:
-            second = np.concatenate((rank[k:] + 1, np.zeros(min(k, n), np.int64)))[:n]
-            key = rank * (n + 1) + second
-            sa = np.argsort(key, kind="stable")
-            rank[sa] = np.cumsum(np.concatenate(([0], np.diff(key[sa]) != 0)))
-            k *= 2
+        rank, k, top = ordinal, 1, int(ordinal.max()) + 2
+        while True:
+            many = 3 if top**3 < 1 << 63 else 2
+            key = rank + 1
+            for j in range(1, many):
+                key = key * top
+                key[: max(0, n - j * k)] += rank[j * k :] + 1
+            k *= many
+            sa = np.argsort(key)
+            new = key[sa]
+            new = np.concatenate(([0], new[1:] != new[:-1]))
+            if k >= depth:
+                break
+            rank = np.empty(n, np.int64)
+            rank[sa] = np.cumsum(new)
+            top = int(n) + 1
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma)))).astype(np.int32)
         self.levels: list[tuple[int, BitRanks, int]] = []
         x = text[sa - 1]
@@ -365,7 +373,8 @@ class FMIndex:
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the interval of symbol + pattern, from that of the pattern."""
         base = self.base[symbol]
-        return base + self._descend(symbol, lo), base + self._descend(symbol, hi)
+        both = self._descend(np.concatenate((symbol, symbol)), np.concatenate((lo, hi)))
+        return base + both[: len(lo)], base + both[len(lo) :]
 
     def matches(self, text: np.ndarray, start: np.ndarray, length: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of ``text`` at which the matching statistic reaches ``depth`` symbols, and the
@@ -399,10 +408,12 @@ class FMIndex:
 def least_owners(frags: list[bytes], owners: tuple[np.ndarray, ...], depth: int = WINDOW) -> list[np.ndarray]:
     """For each fragment, and each of its windows, the least owner of a fragment with that window.
     owners: for each shard of documents, the least owner of each fragment there, or NEVER."""
-    ids: dict[bytes, int] = {}
     split = [f.split(b" ") for f in frags]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
-    seqs = np.fromiter((ids.setdefault(w, len(ids) + 1) for s in split for w in s), np.int64, int(lengths.sum()))
+    words = [w for s in split for w in s]
+    ids = {w: i for i, w in enumerate(dict.fromkeys(words), 1)}
+    seqs = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    del split, words
     start = np.cumsum(lengths) - lengths
     of = np.repeat(np.arange(len(frags)), lengths)
     out = np.full(len(seqs), NEVER)

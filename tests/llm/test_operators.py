@@ -417,6 +417,24 @@ def test_fm_index_matches_external_text():
     assert index.own.tolist() == [have[tuple(s[i : i + 3])] if i + 3 <= len(s) else substring_dedup.NEVER for s in seqs for i in range(len(s))]
 
 
+def test_fm_index_sorts_to_its_depth_only(monkeypatch):
+    """Sequences that agree in far more symbols than the depth take no more sorts."""
+    rng = np.random.default_rng(8)
+    long = rng.integers(1, 50, 4000)
+    sorts, argsort = [], np.argsort
+
+    def counted(*args, **kwargs):
+        sorts.append(1)
+        return argsort(*args, **kwargs)
+
+    monkeypatch.setattr(np, "argsort", counted)
+    index = substring_dedup.FMIndex(np.concatenate((long, long)), np.array([4000, 4000]), np.array([7, 3]), 13, 50)
+    assert len(sorts) <= 3
+    index.own = None
+    at, lo = index.matches(long, np.array([0]), np.array([4000]), 13)
+    assert sorted(at.tolist()) == list(range(4000 - 12)) and set(index.least_owner(lo).tolist()) == {3}
+
+
 def test_fm_index_is_smaller_than_its_text():
     rng = np.random.default_rng(1)
     vocab = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(5000)])
