@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .order import least_later
+
 #: Fault kinds and crash points of a schedule, numbered from 1.
 FAULT_KINDS = (
     "drop-rate", "duplicate-rate", "partition", "heal", "partition-groups", "heal-groups",
@@ -106,12 +108,13 @@ def in_force(probes: DataFrame, settings: DataFrame, by: str = "target") -> Data
     return marks.withColumn("in_force", F.last("v", ignorenulls=True).over(w)).where("o = 1").select("probe_id", "in_force")
 
 
-def open_intervals(rows: DataFrame) -> DataFrame:
+def open_intervals(rows: DataFrame, width: int = 600_000_000) -> DataFrame:
     """target, opened, closed of each opening event: until the next closing one of its target, null
-    if there is none. rows: target, at, ord, opens."""
-    w = Window.partitionBy("target").orderBy("at", "ord").rowsBetween(1, Window.unboundedFollowing)
-    closed = F.min(F.when(~F.col("opens"), F.col("at"))).over(w)
-    return rows.withColumn("closed", closed).where("opens").select("target", F.col("at").alias("opened"), "closed")
+    if there is none. A task has one target's events of one time bucket; an event without a time
+    comes last. rows: target, at, ord, opens."""
+    closes = rows.withColumn("closes", F.when(~F.col("opens"), F.col("at")))
+    closed = least_later(closes, ["target"], F.floor(F.col("at") / width), ["at", "ord"], "closes", "closed")
+    return closed.where("opens").select("target", F.col("at").alias("opened"), "closed")
 
 
 def normalized_pairs(pairs: DataFrame) -> DataFrame:
