@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import least_later
+
 OPS = ("PUT", "DELETE", "GET")
 
 
@@ -88,19 +90,11 @@ def entries_between(rows: DataFrame, lo: int, hi: int, idx: str = "idx") -> Data
 def wal_survivors(wal: DataFrame) -> DataFrame:
     """Entries that later records don't cut off. A truncation cuts from its index; so does a record
     of entries from its first. Decided per record, before entries are exploded, with the least cut
-    of all later records: the minimum over later segments, then within the segment, so that no
-    task sees more than one segment."""
-    later_in = F.min("from_index").over(Window.partitionBy("segment").orderBy("ord").rowsBetween(1, Window.unboundedFollowing))
-    per_segment = wal.groupBy("segment").agg(F.min("from_index").alias("cut"))
-    later = per_segment.select(  # a row a segment
-        "segment", F.min("cut").over(Window.orderBy("segment").rowsBetween(1, Window.unboundedFollowing)).alias("later_cut")
-    )
-    cut = F.least("in_cut", "later_cut")
+    of all later records; a task has one segment."""
     return (
-        wal.withColumn("in_cut", later_in)
-        .join(later, "segment")
+        least_later(wal, [], F.col("segment"), ["ord"], "from_index", "cut")
         .where("kind = 'entries'")
-        .select("ord", cut.alias("cut"), F.inline("entries"))
+        .select("ord", "cut", F.inline("entries"))
         .where("cut IS NULL OR cut > index")
         .drop("cut")
     )

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.operators import faults
+from stratalog.operators import faults, log
 from stratalog.operators.order import least_later
 
 LAST = (1, 0)
@@ -32,3 +32,14 @@ def test_open_intervals_without_time_or_target(spark):
     got = faults.open_intervals(spark.createDataFrame(rows, "target long, at long, ord long, opens boolean"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 10, 2_000_000_000), (1, None, None), (None, 5, 6), (2, 7, None)], key=str)
     assert "unboundedfollowing" not in _plan(got)
+
+
+def test_wal_survivors_of_many_segments(spark):
+    """A cut reaches back over thousands of segments; no frame up to the end, over segments or in one."""
+    wal = spark.range(9000).selectExpr(
+        "cast(id as int) AS segment", "id AS ord", "if(id IN (4500, 8998), 'truncate', 'entries') AS kind", "if(id = 8998, 3L, if(id = 4500, 1L, id)) AS from_index",
+        "if(id IN (4500, 8998), null, array(named_struct('index', id, 'term', 0L))) AS entries",
+    )
+    got = log.wal_survivors(wal)
+    assert sorted(r["index"] for r in got.collect()) == [0, 8999]
+    assert "unboundedfollowing" not in _plan(got)
