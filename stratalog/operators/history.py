@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.linearizability import Search
+from .order import least_later
 
 FAR = (1 << 62) - 1
 
@@ -128,6 +129,38 @@ def stale_read_candidates(ops: DataFrame) -> DataFrame:
     return asof.join(source, (asof["key"] == source["key"]) & (asof["read"] == source["value"])).where("w_ret < latest").select("id")
 
 
+def _reach(ops: DataFrame, width: int = 600_000_000) -> DataFrame:
+    """ops with ``until``, of a write: the last call of a read that asks for its state and can see it,
+    i.e. not after the first return of a write called after its own return; and ``again``, of a read:
+    a write of the state it asks for is called from its call to its return. Null until for none."""
+    write = F.coalesce(F.col("op").isin("PUT", "DELETE"), F.lit(False))
+    present = F.when(write, F.col("op") == "PUT").otherwise(F.coalesce("found", F.lit(False)))
+    value = F.when(present, F.when(write, F.col("in_value")).otherwise(F.col("out_value")))
+    if dict(ops.dtypes)["in_value"] in ("float", "double"):
+        value = F.nanvl(value, F.lit(None).cast("double"))  # as the search takes it
+    # States that share a hash only count as seen for longer, or as written again.
+    ops = ops.withColumns({"write": write, "state": F.xxhash64("key", present, value)})
+    done = ops.where("write AND NOT unknown")
+    marks = done.select("key", F.col("invoke").alias("at"), F.lit(0).alias("o"), F.col("ret").alias("back"))
+    ended = done.withColumns({"at": F.col("ret"), "o": F.lit(1), "back": F.lit(None).cast("long")})
+    ended = least_later(ended.unionByName(marks, allowMissingColumns=True), ["key"], F.floor(F.col("at") / width), ["at", "o"], "back", "end")
+    ended = ended.where("o = 1").withColumn("at", F.col("end")).drop("end", "back")
+    # Per state, in this order at a tie: reads, calls of writes, and the last moments writes can be seen.
+    none = F.lit(None).cast("long")
+    rows = (
+        ops.where("NOT write").withColumns({"at": F.col("invoke"), "o": F.lit(0), "asked": F.when(~F.col("unknown"), F.col("invoke")), "called": none})
+        .unionByName(ops.where("write").select("state", F.col("invoke").alias("at"), F.lit(1).alias("o"), none.alias("asked"), F.col("invoke").alias("called")), allowMissingColumns=True)
+        .unionByName(
+            ended.unionByName(ops.where("write AND unknown").withColumns({"at": none, "o": F.lit(2)}))
+            .withColumns({"at": F.coalesce("at", F.lit(FAR)), "o": F.lit(2), "asked": none, "called": none})
+        )
+    )
+    on = Window.partitionBy("state").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("state").orderBy(F.col("at").desc(), F.col("o").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    reach = rows.withColumns({"until": F.max("asked").over(on), "next": F.min("called").over(back)}).where("o <> 1")
+    return reach.withColumns({"until": F.when(F.col("write"), F.col("until")), "again": F.coalesce(F.col("next") <= F.col("ret"), F.lit(False))})
+
+
 def linearizable_per_key(ops: DataFrame, max_steps: int | None = None) -> DataFrame:
     """key, operations, verdict (ok, illegal; unchecked only beyond max_steps, if given): the calls
     and returns of each key are streamed in order through one task, which holds a batch and what is
@@ -156,17 +189,12 @@ def linearizable_per_key(ops: DataFrame, max_steps: int | None = None) -> DataFr
         key, n, verdict = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(key, of), pa.array(n, pa.int64()), pa.array(verdict, pa.string())], ["key", "operations", "verdict"])
 
-    unknown = F.col("unknown") | F.col("ret").isNull()
+    unknown = F.coalesce("unknown", F.lit(False)) | F.col("ret").isNull()
     moments = F.array(
         F.struct(F.col("invoke").alias("at"), F.lit(False).alias("is_return")),
-        F.struct(F.when(~unknown, F.col("ret")).alias("at"), F.lit(True).alias("is_return")),
+        F.struct(F.when(~F.col("unknown"), F.col("ret")).alias("at"), F.lit(True).alias("is_return")),
     )
-    present = F.when(F.col("op") == "GET", F.col("found")).otherwise(F.col("op") == "PUT")
-    value = F.when(present, F.when(F.col("op") == "GET", F.col("out_value")).otherwise(F.col("in_value")))
-    state = F.xxhash64("key", present, value)  # states that share a hash are only looked for longer
-    ops = ops.withColumn("state", state)
-    asked = ops.where("op = 'GET'").groupBy("state").agg(F.max("invoke").alias("until"))
-    ops = ops.join(asked, "state", "left")
-    events = ops.select("key", F.inline(moments), "id", "op", "in_value", "out_value", "found", "ok", unknown.alias("unknown"), "ret", "until").where("at IS NOT NULL")
+    ops = _reach(ops.withColumn("unknown", unknown))
+    events = ops.select("key", F.inline(moments), "id", "op", "in_value", "out_value", "found", "ok", "unknown", "ret", "until", "again").where("at IS NOT NULL")
     key_type = dict(ops.dtypes)["key"]
     return events.repartition("key").sortWithinPartitions("key", "at", "is_return", "id").mapInArrow(run, f"key {key_type}, operations long, verdict string")
