@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.linearizability import Search
+from ..plans.linearizability import BoundedSearch, Search
 from .order import least_later
 
 FAR = (1 << 62) - 1
@@ -174,7 +174,7 @@ def linearizable_per_key(ops: DataFrame, max_steps: int | None = None) -> DataFr
                 if search is None or key != current:
                     if search is not None:
                         out.append((current, n, search.verdict))
-                    search, current, n = Search(max_steps), key, 0
+                    search, current, n = Search(None) if max_steps is None else BoundedSearch(max_steps), key, 0
                 if is_return:
                     search.ret(at, i)
                 else:
